@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import exact_dedup, packing, sharding, token_counts
+from lumenframe.llm import exact_dedup, mixing, packing, sharding, token_counts, token_output, transport_stream
 
-_MODULES = (exact_dedup, token_counts, packing, sharding)
+_MODULES = (exact_dedup, token_counts, packing, sharding, token_output, mixing, transport_stream)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

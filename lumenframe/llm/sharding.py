@@ -31,21 +31,17 @@ def communication_matrix(partition_rows: list[int], shards: int, seed: int) -> n
     rng = np.random.default_rng(seed)
     out = np.zeros((len(partition_rows), shards), np.int64)
     for p, n in enumerate(partition_rows):
-        # The method of marginals takes populations below 1e9; larger ones are drawn shard by shard.
+        # The method of marginals takes populations below 1e9.
         out[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < 10**9 else _conditional(rng, left, n)
         left -= out[p]
     return out
 
 
 def _conditional(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """The same law by halving: a binomial split corrected by rejection isn't needed, as rows are few against shards."""
-    out = np.zeros(len(left), np.int64)
-    rest = left.astype(np.float64)
-    for _ in range(n):  # one draw without replacement at a time
-        s = int(np.searchsorted(np.cumsum(rest), rng.random() * rest.sum(), side="right"))
-        out[s] += 1
-        rest[s] -= 1
-    return out
+    """The same law for larger populations: n distinct places among those left, counted by shard."""
+    upto = np.cumsum(left)
+    places = rng.choice(int(upto[-1]), n, replace=False, shuffle=False)
+    return np.bincount(np.searchsorted(upto, places, side="right"), minlength=len(left))
 
 
 def shard_rows(df: DataFrame, shards: int = 24, *, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
