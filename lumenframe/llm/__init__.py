@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import exact_dedup, language_id, mixing, packing, sharding, token_counts, token_output, toxicity, transport_stream
+from lumenframe.llm import exact_dedup, jaccard_join, language_id, mixing, packing, sharding, token_counts, token_output, toxicity, transport_stream
 
-_MODULES = (exact_dedup, token_counts, packing, language_id, toxicity, sharding, token_output, mixing, transport_stream)
+_MODULES = (exact_dedup, token_counts, jaccard_join, packing, language_id, toxicity, sharding, token_output, mixing, transport_stream)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
