@@ -100,7 +100,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # The id is among the join's keys, so a hot group isn't gathered here.
     same = (groups.fp == rows.fp) & (groups.text_sha256 == rows.text_sha256) & groups.keep_id.eqNullSafe(rows.doc_id)
     keepers = groups.join(rows, same).groupBy(groups.fp, groups.text_sha256).agg(F.min("row").alias("keep_row"))
-    groups = groups.join(keepers, ["fp", "text_sha256"])
+    groups = materialize(groups.join(keepers, ["fp", "text_sha256"]), "dedup-keepers")
     grouped = F.col("group_size").isNotNull()
     return rows.join(groups, ["fp", "text_sha256"], "left").select(
         "doc_id",
