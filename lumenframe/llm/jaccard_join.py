@@ -19,7 +19,7 @@ named if no other id is; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,6 +112,23 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' hash classes, about four bits a token: two sketches differ in no more bits than the sets in tokens."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mixed(tokens ^ _M2) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets; the longer sketch is folded to the shorter one's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
     edges = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     flat = np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)
@@ -119,7 +136,7 @@ def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(df: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, cls (its first 8 bytes), prefix tokens and combinations."""
+    """doc_id, n, digest of the set, cls (its first 8 bytes), prefix tokens, combinations and a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,40 +152,35 @@ def signatures(df: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")),
                         _longs([prefix(s, percent) for s in sets]),
                         _longs([combinations(s, percent) for s in sets]),
+                        pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "cls", "prefix", "keys"],
+                    ["doc_id", "n", "digest", "cls", "prefix", "keys", "sketch"],
                 )
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, cls long, prefix array<long>, keys array<long>")
+    schema = "doc_id long, n int, digest binary, cls long, prefix array<long>, keys array<long>, sketch binary"
+    return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def token_sets(df: DataFrame, words: int) -> DataFrame:
-    """cls, n, the tokens' upper halves and the tokens, from (cls, text)."""
+    """cls, n and the tokens, from (cls, digest, text); texts of another digest (of a repeated id) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-                columns = [
-                    batch.column("cls"),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "halves", "tokens"])
+                sets = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+                own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+                columns = [batch.column("cls"), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.filter(own) for c in columns], ["cls", "n", "tokens"])
 
-    return df.select("cls", "text").mapInArrow(run, "cls long, n int, halves binary, tokens binary")
+    return df.select("cls", "digest", "text").mapInArrow(run, "cls long, n int, tokens binary")
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted arrays, repeated values counted as often as both have them."""
+    """Size of the intersection of two sorted sets."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
-    if len(x) and len(y):
-        # With repeated values this counts each adjacent equal pair: never less than the true intersection.
-        return int((both[1:] == both[:-1]).sum())
-    return 0
+    return int((both[1:] == both[:-1]).sum())
 
 
 def _limited(df: DataFrame) -> tuple[DataFrame, bool]:
@@ -204,26 +216,39 @@ def candidates(sig: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return materialize(pairs, "pairs"), materialize(keys.join(hot, "key", "left_semi"), "hot-postings")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar.  Halves of the tokens come first: they never count too little."""
+def _joined(pairs: DataFrame, values: DataFrame, column: str, keep: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) for whose values ``keep`` holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array([keep(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    with_b = pairs.join(values.select(F.col("cls").alias("b"), F.col(column).alias("y")), "b")
+    both = with_b.join(values.select(F.col("cls").alias("a"), F.col(column).alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their sketches don't rule out: no similar pair is lost."""
+    sized = sketches.select("cls", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), F.col("sketch")).alias("sized"))
+
+    def keep(x: bytes, y: bytes) -> bool:
+        together = int.from_bytes(x[:8], "big") + int.from_bytes(y[:8], "big")
+        return sketch_difference(x[8:], y[8:]) * (100 + percent) <= together * (100 - percent)
+
+    return _joined(pairs, sized, "sized", keep)
+
 
-    def passing(column: str, kind: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("x"), batch.column("y")):
-                    x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                    both = shared(x, y)
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose whole sets are similar."""
 
-        with_b = pairs_now.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("y")), "b")
-        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x")), "a")
-        return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), f"links-{column}")
+    def keep(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = shared(a, b)
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
-    pairs_now = pairs
-    pairs_now = passing("halves", "<u4")
-    return passing("tokens", "<u8")
+    return _joined(pairs, sets, "tokens", keep)
 
 
 def links_between(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
@@ -296,11 +321,16 @@ def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, i
     sig = every.where("n > 0")
     classes = materialize(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n")), "classes")
     pairs, hot = candidates(sig, percent)
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).union(hot.select("cls")).distinct()
+    # Sketches first: whole sets are then needed of few classes.
+    ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls")))
+    paired = _limited(materialize(classes.join(ends(pairs).distinct(), "cls").select("digest", F.col("rep").alias("doc_id")), "paired"))[0]
+    sketches = sig.join(paired, ["digest", "doc_id"], "left_semi").select("cls", "n", "sketch")
+    pairs = materialize(near(pairs, sketches, percent), "near-pairs")
+    needed = ends(pairs).union(hot.select("cls")).distinct()
     wanted = materialize(classes.join(needed, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "wanted")
-    texts = source.join(_limited(wanted)[0], "doc_id").select("cls", "text")
-    sets = materialize(token_sets(texts, words).dropDuplicates(["cls", "tokens"]), "token-sets")
-    links = verified(pairs, sets, percent).union(block_links(hot, sets, percent))
+    texts = source.join(_limited(wanted)[0], "doc_id").select("cls", "digest", "text")
+    sets = materialize(token_sets(texts, words), "token-sets")
+    links = similar(pairs, sets, percent).union(block_links(hot, sets, percent))
     reached = materialize(connected_components(links), "components")
     # Class names to the least document id of the component.
     named = classes.join(reached, classes.cls == reached.id, "left").select("digest", "rep", F.coalesce("component", "cls").alias("component"))
