@@ -9,13 +9,14 @@ space, control characters that count as white space in Python alone) go to the l
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 
 #: Distinct pieces that a Python worker keeps; beyond it the memory starts afresh (results don't change).
-MAX_PIECES = 1_000_000
+MAX_PIECES = 750_000
 #: White space in Python alone: never taken as a cut.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -27,7 +28,9 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _WORDS_ONLY = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Byte-level alphabet: printable Latin-1 characters stand for their bytes, the other bytes follow from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(sorted(set(range(0x100)) - set(_PRINTABLE)))}
+_OTHERS = sorted(set(range(0x100)) - set(_PRINTABLE))
+_BYTE_LEVEL = [chr(0x100 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(0x100)]
+_BLANK = _BYTE_LEVEL[0x20]
 _SENTENCE_END = re.compile("[.!?…。][\"')\\]»”]*$|\n")
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
@@ -45,6 +48,17 @@ class _Index(dict):
         return n
 
 
+class _Marks(dict):
+    """Ids of the words within pieces of several words."""
+
+    def __init__(self, word: Callable[[str], list[int]]) -> None:
+        self.word = word
+
+    def __missing__(self, word: str) -> list[int]:
+        self[word] = ids = self.word(word)
+        return ids
+
+
 def encoder(path: str, drops_blanks: bool) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
     key = (path, drops_blanks)
@@ -67,7 +81,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index()
+        self.index, self.marks = _Index(), _Marks(self.word)
         self.flat = np.empty(0, np.uint32)
         self.start = np.zeros(1, np.int64)
         self.ends = np.empty(0, bool)
@@ -75,14 +89,23 @@ class PieceEncoder:
     def library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def word(self, word: str) -> list[int]:
+        """Ids of one word of the pattern, in the byte-level alphabet of the model."""
+        if word.isascii() and word.isprintable():
+            word = word.replace(" ", _BLANK)
+        else:
+            word = "".join(map(_BYTE_LEVEL.__getitem__, word.encode()))
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def piece(self, piece: str) -> list[int]:
         """A piece's ids.  Plain Latin text is split here and each word goes to the library's model."""
         if not _PLAIN.fullmatch(piece) or "<|" in piece:
             return self.library(piece)
         if self.drops_blanks:
             piece = piece.lower()
-        tokenize = self.tokenizer.model.tokenize
-        return [t.id for word in self.words(piece) for t in tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+        if piece.lstrip(" ").isalpha():
+            return self.word(piece)
+        return [i for word in self.words(piece) for i in self.marks[word]]
 
     def _learn(self) -> None:
         """Encode the pieces met since the last call.  A text's first piece is the key (piece,): no blank precedes it."""
@@ -108,7 +131,7 @@ class PieceEncoder:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
         """(pieces of all texts in a row, each text's piece count, piece lengths, sentence ends, ids of texts encoded whole)."""
-        if len(self.index) > MAX_PIECES:
+        if len(self.index) + len(self.marks) > MAX_PIECES:
             self._reset()
         cuts = list(map(self.cut, texts))
         whole = {i: self.library(text) for i, text in enumerate(texts) if text and not cuts[i]}
@@ -127,28 +150,36 @@ class PieceEncoder:
             out[i] = len(ids)
         return out
 
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text, and the positions in them (ascending) where a sentence ends."""
+    def ids(self, texts: list[str], end_id: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text (with ``end_id`` at its end), and where sentences end in all of them in a row."""
         pieces, counts, lengths, ends, whole = self.batch(texts)
-        flat, bounds, sizes = gather(self.flat, self.start, pieces, lengths)
-        out_ids, out_ends = [], []
-        at = 0
-        for i, n in enumerate(counts.tolist()):
-            if i in whole:
-                out_ids.append(np.array(whole[i], np.uint32))
-                out_ends.append(np.empty(0, np.int64))
-                continue
-            a, b = bounds[at], bounds[at + n]
-            out_ids.append(flat[a:b])
-            cut = bounds[at + 1 : at + n + 1][ends[pieces[at : at + n]]] - a
-            out_ends.append(cut)
-            at += n
-        return out_ids, out_ends
-
-
-def gather(flat: np.ndarray, start: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenate the slices ``flat[start[p] : start[p + 1]]`` of all pieces; also their bounds and sizes."""
+        flat, bounds = gather(self.flat, self.start, pieces, lengths)
+        stop = np.cumsum(counts)
+        edges = bounds[np.concatenate([np.zeros(1, np.int64), stop])]  # of texts, in ``flat``
+        closing = ends[pieces]
+        extra = 0 if end_id is None else 1
+        if not whole:  # end ids are put in by one copy
+            marks = bounds[1:][closing]
+            if extra:
+                flat = np.insert(flat, edges[1:], end_id)
+                marks = marks + np.repeat(np.arange(len(counts)), counts)[closing]
+                edges = edges + np.arange(len(edges))
+            return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], marks
+        out, marks, at = [], [], 0
+        tail = np.full(extra, end_id or 0, np.uint32)
+        for i, (a, b, n) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), counts.tolist())):
+            own = np.array(whole[i], np.uint32) if i in whole else flat[a:b]
+            part = slice(stop[i] - n, stop[i])
+            marks.append(bounds[1:][part][closing[part]] - a + at)
+            out.append(np.concatenate([own, tail]))
+            at += len(out[-1])
+        return out, np.concatenate(marks)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenate the slices ``flat[start[p] : start[p + 1]]`` of all pieces; also their bounds."""
     sizes = lengths[pieces]
-    bounds = np.r_[0, np.cumsum(sizes)]
-    index = np.repeat(start[pieces] - bounds[:-1], sizes) + np.arange(bounds[-1])
-    return flat[index], bounds, sizes
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    index = np.repeat(start[pieces] - bounds[:-1], sizes)
+    index += np.arange(bounds[-1])
+    return flat[index], bounds

@@ -10,7 +10,7 @@ import numpy as np
 from lumenframe.llm._pieces import _Index
 
 #: Distinct words that a Python worker keeps; beyond it the memory starts afresh (results don't change).
-MAX_WORDS = 1_000_000
+MAX_WORDS = 750_000
 
 _SCORERS: dict[str, WordScorer] = {}
 

@@ -1,14 +1,14 @@
 """Operator 4, packing: order-preserving dynamic programming over window cuts.
 
 Within each input partition the documents' tokens form one stream, in the order of the rows.  Cuts are
-allowed at document ends and sentence ends (and every ``capacity`` tokens inside a sentence longer than a
-sequence).  The cuts chosen minimise padding plus a penalty for each document that a cut truncates: with
+allowed at document ends and sentence ends (and, at a higher penalty, every 32nd of a sequence inside long
+sentences).  The cuts chosen minimise padding plus a penalty for each document that a cut truncates: with
 ``dp[j]`` the least cost of the stream up to cut ``j``,
 
     dp[j] = capacity - pos[j] + penalty[j] + min(dp[i] + pos[i] for i < j, pos[j] - pos[i] <= capacity)
 
 and the minimum over the moving window comes from a monotone queue.  A sequence whose length is a power of
-two needs no padding; those predecessors are looked up by position.
+two needs no padding; such predecessors, from an eighth of the capacity on, are looked up by position.
 
 Defined results: a null or empty text is its end id alone; every id lies in exactly one piece; repeated rows
 are packed as documents of their own; an empty table gives no pieces.
@@ -30,7 +30,9 @@ from lumenframe.llm._common import documents, materialize, running_offsets
 from lumenframe.llm._pieces import encoder
 
 #: Cost, in tokens, of a sequence besides its padding, of a cut inside a document, and of one inside a sentence.
-SEQUENCE_COST, TRUNCATION_COST, SENTENCE_COST = 256, 8, 64
+SEQUENCE_COST, TRUNCATION_COST, SENTENCE_COST = 512, 4, 32
+#: Within sentences of more thirty-seconds of a sequence than these, a cut may fall at each of them.
+LONG_SENTENCE = 4
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, chunk long, local_sequence long, offset long"
 )
@@ -40,7 +42,7 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int
     """Indices of the cuts chosen among ``pos`` (ascending, from 0, steps up to ``capacity``; the last is the end)."""
     at, cost = pos.tolist(), penalty.tolist()
     where = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k < capacity]
+    powers = [1 << k for k in range(capacity.bit_length()) if capacity // 8 <= 1 << k < capacity]
     dp, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (dp[i] + pos[i], i), ascending in both
     for j in range(1, len(at)):
@@ -66,32 +68,29 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int
     return cuts[::-1]
 
 
-def cut_candidates(lengths: list[int], ends: list[np.ndarray], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in the stream where a cut may be, and each one's penalty."""
-    pos, penalty, base = [np.zeros(1, np.int64)], [np.zeros(1)], 0
-    for n, sentence in zip(lengths, ends):
-        inside = np.unique(sentence[(sentence > 0) & (sentence < n)])
-        marks = np.r_[0, inside, n]
-        forced = np.empty(0, np.int64)
-        if np.diff(marks).max() > capacity:  # a sentence longer than a sequence
-            forced = np.concatenate([np.arange(a + capacity, b, capacity) for a, b in zip(marks[:-1], marks[1:])])
-        where = np.r_[inside, forced, n]
-        what = np.r_[np.full(len(inside), TRUNCATION_COST), np.full(len(forced), SENTENCE_COST), 0.0]
-        order = np.argsort(where, kind="stable")
-        pos.append(base + where[order])
-        penalty.append(what[order])
-        base += n
-    return np.concatenate(pos), np.concatenate(penalty)
+def cut_candidates(lengths: np.ndarray, ends: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the stream where a cut may be, and each one's penalty.  ``ends``: sentence ends in the stream, ascending."""
+    bounds = np.cumsum(lengths)
+    marks = np.unique(np.concatenate([np.zeros(1, np.int64), ends, bounds]))
+    penalty = np.where(np.isin(marks, bounds, kind="sort"), 0.0, TRUNCATION_COST)
+    step = max(1, capacity // 32)
+    long = np.flatnonzero(np.diff(marks) > LONG_SENTENCE * step)
+    if len(long):
+        forced = np.concatenate([np.arange(marks[k] + step, marks[k + 1], step) for k in long])
+        marks, penalty = np.concatenate([marks, forced]), np.concatenate([penalty, np.full(len(forced), SENTENCE_COST)])
+        order = np.argsort(marks, kind="stable")
+        marks, penalty = marks[order], penalty[order]
+    return marks, penalty
 
 
-def pack_stream(ids: list[np.ndarray], ends: list[np.ndarray], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+def pack_stream(ids: list[np.ndarray], ends: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Pieces of consecutive documents: (document index, start, length, crc32, sequence, offset)."""
-    lengths = [len(x) for x in ids]
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     pos, penalty = cut_candidates(lengths, ends, capacity)
     cuts = pos[choose_cuts(pos, penalty, capacity)].tolist()
     out, base, sequence, begun = [], 0, 0, 0
-    for d, n in enumerate(lengths):
-        raw, at = ids[d].astype("<u4").tobytes(), 0
+    for d, n in enumerate(lengths.tolist()):
+        raw, at = memoryview(np.ascontiguousarray(ids[d], "<u4")).cast("B"), 0
         while at < n:
             stop = min(n, cuts[sequence] - base)
             out.append((d, at, stop - at, zlib.crc32(raw[4 * at : 4 * stop]), sequence, base + at - begun))
@@ -109,8 +108,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: in
         part = TaskContext.get().partitionId()
         for chunk, batch in enumerate(batches):  # the batches of a task bound its memory
             docs = batch.column("doc_id")
-            ids, ends = encoder(tokenizer_path, False).ids([x or "" for x in batch.column("text").to_pylist()])
-            ids = [np.append(x, np.uint32(end_id)) for x in ids]
+            ids, ends = encoder(tokenizer_path, False).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
             if not ids:
                 continue
             doc, start, length, crc, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_stream(ids, ends, capacity)))

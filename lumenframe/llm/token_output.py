@@ -48,10 +48,10 @@ def write_token_ids(
         for batch in batches:
             names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(names), 256):
-                for name, x in zip(names[at : at + 256], encoder(tokenizer_path, drops_blanks).ids([t or "" for t in texts[at : at + 256]])[0]):
+                for name, x in zip(names[at : at + 256], encoder(tokenizer_path, drops_blanks).ids([t or "" for t in texts[at : at + 256]], end_id)[0]):
                     docs.append(name)
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(x) + 1
+                    ids.append(x)
+                    held += len(x)
                     if held >= BLOCK_IDS:
                         yield close()
                         docs, ids, held, block = [], [], 0, block + 1
