@@ -13,8 +13,8 @@ with similarity of at least ``p`` share a token of their prefixes, the first ``n
 
 Defined results: null texts and texts without words have the empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat an id are in the component of each of their
-texts, and a row's component is the least id reached by its own text; a row with a null id is reached, and
-named if no other id is; an empty table gives an empty result.
+texts, and a row's component is the least id reached by its own text; a row with a null id takes part through
+equal sets of rows that have one, and else has a null component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ FREQUENT, HOT = 32, 48
 BROADCAST_ROWS = 2_000_000
 #: Sets and tokens of one verification block at most (a larger set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
-MAX_WORDS = 1_000_000
+MAX_WORDS = 750_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -344,7 +344,9 @@ def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, i
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """One document of each component stays, that with the smallest id; all columns stay."""
     found = similarity_components(df, id_col=id_col, **options)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    # An id that repeats is dropped only if none of its texts stays.
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__gone"))
     return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 

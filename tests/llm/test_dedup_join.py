@@ -74,6 +74,10 @@ def test_join_edges(spark):
     assert jaccard_join.similarity_components(table(spark, [])).count() == 0
     out = [(r["doc_id"], r["component_id"]) for r in jaccard_join.similarity_components(table(spark, ["a b c d e f"] * 3, [4, 4, 2]), words=3, percent=90).collect()]
     assert sorted(out) == [(2, 2), (4, 2), (4, 2)]
+    nameless = table(spark, ["a b c d", "A b c d", "q r s t", None], [None, 3, None, None])
+    out = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.similarity_components(nameless).collect())
+    assert out == Counter({(None, 3): 1, (3, 3): 1, (None, None): 2})
+    assert jaccard_join.drop_near_copies(table(spark, ["a b c d e f", "a b c d e f", "z"], [1, 2, 2])).count() == 3
     kept = jaccard_join.drop_near_copies(table(spark, ["a b c d e f", "a b c d e f", "z"]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2] and kept.columns == table(spark, []).columns
 
