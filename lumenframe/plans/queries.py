@@ -87,7 +87,6 @@ def normalize_controls_robust(spark, sf_dir):
 
 
 _AB = "ab AS (SELECT count(*) FILTER (quantity <= 5) AS na, count(*) FILTER (quantity >= 46) AS nb, avg(quantity) FILTER (quantity <= 5) AS ma, avg(quantity) FILTER (quantity >= 46) AS mb, var_samp(quantity) FILTER (quantity <= 5) AS va, var_samp(quantity) FILTER (quantity >= 46) AS vb FROM wells)"
-_LOW, _HIGH = F.expr("quantity <= 5"), F.expr("quantity >= 46")
 
 
 @query(f"WITH {WELLS_SQL}, {_AB} SELECT {r('1 - 3 * (sqrt(va) + sqrt(vb)) / abs(mb - ma) AS z_prime')} FROM ab")
