@@ -540,6 +540,103 @@ def otsu_threshold(spark, sf_dir):
     return pixels.otsu_threshold(views.pixels(spark, sf_dir).withColumn("v", F.col("v") / 255), ["image_id"])
 
 
+@query(f"WITH {_VOXELS}, p AS (SELECT image_id, y, x, max(label) AS v FROM vx GROUP BY ALL) SELECT image_id, y, x, {r('CAST(v AS DOUBLE) AS v')} FROM p")
+def project_z(spark, sf_dir):
+    return pixels.project_z(_voxels(spark, sf_dir).withColumn("v", F.col("label").cast("double")), ["image_id"])
+
+
+@query(f"WITH {PIXELS_SQL}, f AS (SELECT y, x, avg(v) AS r FROM px GROUP BY ALL), m AS (SELECT avg(r) AS m FROM f) SELECT image_id, y, x, {r('v * m / greatest(r, 0.000001) AS v', digits=4)} FROM px JOIN f USING (y, x), m", digits=4)
+def flat_field(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    return pixels.flat_field_correct(px, px.groupBy("y", "x").agg(F.avg("v").alias("r")), ["image_id"]).select("image_id", "y", "x", "v")
+
+
+_NEAR = "n AS (SELECT a.image_id, a.label, min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))) AS d FROM o a LEFT JOIN o b ON a.image_id = b.image_id AND a.label <> b.label GROUP BY 1, 2)"
+
+
+@query(f"WITH {_CENTRES}, {_NEAR} SELECT image_id, count(*) AS object_count, {r('count(*) / (64.0::DOUBLE / 100000) AS density_per_100k_px', 'avg(d) AS mean_nn', 'median(d) AS median_nn', 'coalesce(CASE WHEN avg(d) <> 0 THEN stddev_samp(d) / avg(d) END, 0) AS nn_cv', digits=4)} FROM n GROUP BY 1", digits=4)
+def spatial_summary(spark, sf_dir):
+    objects = pixels.object_features(_labelled(spark, sf_dir), ["image_id"])
+    return pixels.summarize_spatial_features(pixels.add_spatial_features(objects, ["image_id"], height=8, width=8), ["image_id"])
+
+
+@query(f"WITH {_VOXELS}, l AS (SELECT image_id, label, count(*) AS volume FROM vx WHERE label > 0 GROUP BY 1, 2) SELECT image_id, count(*) AS object_count, {r('CAST(sum(volume) AS DOUBLE) AS total_volume', 'avg(volume) AS mean_volume', 'median(volume) AS median_volume', 'sum(volume) / 64 AS volume_fraction', 'count(*) / (64 / 1e9) AS density_per_mm3')} FROM l GROUP BY 1")
+def volume_summary(spark, sf_dir):
+    return pixels.summarize_volume(pixels.volume_features(_voxels(spark, sf_dir), ["image_id"]), 64, ["image_id"])
+
+
+@query(f"WITH {_VOXELS}, c AS (SELECT image_id, label, avg(z) AS z, avg(y) AS y, avg(x) AS x FROM vx WHERE label > 0 GROUP BY 1, 2) SELECT a.image_id, a.label, {r('min(sqrt(pow(a.z - b.z, 2) + pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) AS nearest_neighbor_distance')} FROM c a LEFT JOIN c b ON a.image_id = b.image_id AND a.label <> b.label GROUP BY 1, 2")
+def nn_3d(spark, sf_dir):
+    objects = pixels.volume_features(_voxels(spark, sf_dir), ["image_id"])
+    axes = ("centroid_z_um", "centroid_y_um", "centroid_x_um")
+    return pixels.nearest_neighbors(objects, ["image_id"], axes=axes).select("image_id", "label", "nearest_neighbor_distance")
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, {_LABELLED} SELECT image_id, label, {r('stddev_pop(v) AS std', 'quantile_cont(v, 0.1) AS p10', 'quantile_cont(v, 0.9) AS p90', digits=4)} FROM lp WHERE label > 0 GROUP BY 1, 2""",
+    digits=4,
+)
+def object_texture(spark, sf_dir):
+    return pixels.object_texture_features(_labelled(spark, sf_dir), ["image_id"]).select("image_id", "label", "std", "p10", "p90")
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, c AS (SELECT image_id, y, x, v, CAST(1 + x // 4 AS INT) AS cell, CAST(CASE WHEN y BETWEEN 2 AND 5 AND x % 4 IN (1, 2) THEN 1 + x // 4 ELSE 0 END AS INT) AS nucleus FROM px)
+    SELECT image_id, cell, count(*) AS cell_area, count(*) FILTER (nucleus = 0) AS cytoplasm_area, count(*) FILTER (nucleus > 0) AS nucleus_area, 1::BIGINT AS nucleus_count,
+    {r('avg(v) AS cell_mean', 'avg(v) FILTER (nucleus = 0) AS cytoplasm_mean', 'avg(v) FILTER (nucleus > 0) AS nucleus_mean', 'count(*) FILTER (nucleus > 0) / count(*) AS nucleus_cell_ratio', 'avg(v) FILTER (nucleus > 0) / avg(v) FILTER (nucleus = 0) AS nucleus_cytoplasm_ratio', digits=7)} FROM c GROUP BY 1, 2""",
+    digits=7,
+)
+def compartment_features(spark, sf_dir):
+    cell = F.expr("CAST(1 + x DIV 4 AS INT)")
+    px = views.pixels(spark, sf_dir).withColumn("cell", cell).withColumn("nucleus", F.when(F.expr("y BETWEEN 2 AND 5 AND x % 4 IN (1, 2)"), cell).otherwise(0))
+    cells, nuclei = (px.select("image_id", "y", "x", F.col(c).alias("label")) for c in ("cell", "nucleus"))
+    return pixels.compartment_features(px, pixels.assign_nuclei_to_cells(cells, nuclei, ["image_id"]), ["image_id"])
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, m AS (SELECT image_id, count(*) FILTER (v > 110 AND v > 114) AS b, count(*) FILTER (v > 110) AS p, count(*) FILTER (v > 114) AS q FROM px GROUP BY 1)
+    SELECT image_id, {r('CASE WHEN p + q - b > 0 THEN b / (p + q - b) ELSE 1 END AS agreement_fraction')} FROM m"""
+)
+def ensemble_iou(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    members = [px.select("image_id", F.lit(f"t{t}").alias("member"), F.lit(i).alias("idx"), "y", "x", (F.col("v") > t).cast("int").alias("label")) for i, t in enumerate((110, 114))]
+    return pixels.ensemble_agreement(members[0].unionByName(members[1]), ["image_id"]).select("image_id", "agreement_fraction")
+
+
+_RUNS = "CROSS JOIN (VALUES (105), (110), (115)) AS t(threshold)"
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, r AS (SELECT image_id, threshold, count(*) FILTER (v > threshold) AS object_count, count(*) FILTER (v > threshold) / 64 AS fg FROM px {_RUNS} GROUP BY 1, 2)
+    SELECT image_id, threshold, object_count, {r('fg AS foreground_fraction')}, {r('coalesce(CASE WHEN avg(object_count) OVER w <> 0 THEN stddev_samp(object_count) OVER w / avg(object_count) OVER w END, 0) AS count_cv', 'max(fg) OVER w - min(fg) OVER w AS foreground_range')} FROM r WINDOW w AS (PARTITION BY image_id)"""
+)
+def threshold_sensitivity(spark, sf_dir):
+    px = views.pixels(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, (105, 110, 115)))))
+    hits = F.count_if(F.col("v") > F.col("threshold"))
+    return pixels.threshold_sensitivity(px.groupBy("image_id", "threshold").agg(hits.alias("object_count"), (hits / 64).alias("foreground_fraction")), ["image_id"])
+
+
+@query(f"WITH m AS (SELECT l_orderkey AS id, l_linenumber AS n, l_discount AS low, l_tax AS high FROM lineitem) SELECT count(*) AS n, {r('avg(greatest(0.0, least(100.0, 100 - least(25.0, low * 50) - least(25.0, high * 50)))) AS burden')} FROM m")
+def artifact_burden(spark, sf_dir):
+    m = views.table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("low_clip_fraction"), F.col("l_tax").alias("high_clip_fraction"))
+    return gates.artifact_burden_score(m).agg(F.count("*").alias("n"), F.avg("artifact_burden_score").alias("burden"))
+
+
+@query(
+    f"""WITH b AS (SELECT event_type AS backend, value, CASE WHEN event_id % 9 = 0 THEN 'failed' END AS error FROM events) SELECT backend, count(*) AS runs, count(error) AS failed_runs, count(value) AS value_count,
+    {r('avg(value) AS value_mean', 'median(value) AS value_median', 'stddev_samp(value) AS value_std')} FROM b GROUP BY 1"""
+)
+def backend_benchmarks(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("backend"), "value", F.when(F.col("event_id") % 9 == 0, "failed").alias("error"))
+    return reporting.aggregate_backend_benchmarks(e, ["value"])
+
+
+@query(f"WITH {_NODES} SELECT track_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_frames, max(frame) - min(frame) + 1 AS duration, false AS is_child FROM nodes GROUP BY 1")
+def lineage_summary(spark, sf_dir):
+    nodes = views.tracks(spark, sf_dir).select("track_id", "frame", F.col("track_id").cast("int").alias("label"))
+    return tracks.summarize_lineages(tracks.lineage_table(nodes)).drop("parents")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
