@@ -42,7 +42,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 BINS = 1 << 13
 #: Labelled rows that the machines are fitted on, of each language, about.
-SAMPLE_PER_LANGUAGE = 600
+SAMPLE_PER_LANGUAGE = 400
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -118,9 +118,10 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     family_of = {c: FAMILY_OF.get(c.lower(), c) for c in codes}
     families = sorted(set(family_of.values()))
     languages = {f: [c for c in codes if family_of[c] == f] for f in families}
-    scale = 1 / (x.std(axis=0) + 1e-4)
     mean = x.mean(axis=0)
-    z = ((x - mean) * scale).astype(np.float32) / np.float32(np.sqrt(x.shape[1]))
+    z = x - mean
+    unit = (1 / (np.sqrt((z * z).mean(axis=0)) + 1e-4) / np.sqrt(x.shape[1])).astype(x.dtype)
+    z *= unit
     lang, family = np.array(langs), np.array([family_of[c] for c in langs])
     machines: list[tuple[str, str]] = []
     found: list[tuple[np.ndarray, float]] = []
@@ -132,7 +133,6 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
             rows = (lang == a) | (lang == b)
             machines.append((a, b))
             found.append(fit_machine(z[rows], np.where(lang[rows] == a, 1.0, -1.0)))
-    unit = scale / np.sqrt(x.shape[1])
     weights = np.stack([w * unit for w, _ in found], axis=1) if found else np.zeros((x.shape[1], 0))
     bias = np.array([b for _, b in found]) - mean @ weights
     return Model(families, languages, machines, weights, bias)
@@ -165,10 +165,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     if not len(rows):
         return None
     rows = rows.sort_values("lang", kind="stable")
-    x = np.zeros((len(rows), BINS), np.float32)
+    langs, x = rows["lang"].tolist(), np.zeros((len(rows), BINS), np.float32)
     for k, (bins, values) in enumerate(zip(rows["bins"], rows["values"])):
         x[k, bins] = values
-    return fit(x, rows["lang"].tolist())
+    del rows
+    return fit(x, langs)
 
 
 def predict_language(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
