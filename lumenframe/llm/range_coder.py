@@ -20,7 +20,7 @@ import zlib
 
 import numpy as np
 
-LANES, MIN_STEPS, HASH_BITS, REFRESH = 2048, 64, 20, 8
+LANES, MIN_STEPS, HASH_BITS, REFRESH = 4096, 64, 16, 8
 FLAG_BITS, LEVELS = 12, 16
 _FLAGS = 1 << FLAG_BITS
 _TOTAL = 1 << 20
