@@ -8,8 +8,9 @@ with similarity of at least ``p`` share a token of their prefixes, the first ``n
   tokens are indexed instead: the tokens of a set fall into ``d + 1`` classes by their hash, ``d`` being the
   largest symmetric difference that the similarity allows at that size, so in one class at least both sets
   have the same combination.
-* Equal sets are one class from the start.  Candidates are verified with the whole sets.  A combination that
-  many sets share is verified in blocks of bounded size, which return links only.
+* Equal sets are one class from the start.  Candidates that parity sketches don't rule out are verified with
+  the whole sets.  Sets that share a combination with many others are compared in blocks of bounded size by
+  their sketches: first as many pairs as connect a block, then pairs of sets that no link connects yet.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; a text of
 fewer words than a shingle is one shingle; rows that repeat an id are in the component of each of their
@@ -113,8 +114,8 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' hash classes, about four bits a token: two sketches differ in no more bits than the sets in tokens."""
-    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+    """Parities of the tokens' hash classes, one or two bits a token: two sketches differ in no more bits than the sets in tokens."""
+    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
     odd = np.bincount((mixed(tokens ^ _M2) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -251,24 +252,35 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _joined(pairs, sets, "tokens", keep)
 
 
-def links_between(sets: list[np.ndarray], first: int, percent: int) -> list[tuple[int, int]]:
-    """Links of the first ``first`` sets with the others (all with all if ``first`` is 0), less those already implied."""
-    n = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    token, place = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    split = first or len(sets)
-    both = np.zeros((split, len(sets)), np.float32)
-    step = max(1, 4_000_000 // len(sets))
-    edges = np.searchsorted(place, np.arange(0, len(token) + step, step))
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        grid = np.zeros((len(sets), min(step, len(token) - k * step)), np.float32)
-        grid[owner[a:b], place[a:b] - k * step] = 1
-        both += grid[:split] @ grid.T
-    similar = 100 * both >= percent * (n[:split, None] + n[None, :] - both) - 1e-3
-    rows, columns = np.nonzero(similar)
-    root = list(range(len(sets)))
+def near_in_blocks(sketches: list[bytes], sizes: np.ndarray, labels: np.ndarray, first: int, percent: int, forest: bool) -> list[tuple[int, int]]:
+    """Pairs that their sketches don't rule out, of the first ``first`` sets with the others (of all if ``first`` is 0),
+    with different labels; with ``forest``, only as many, the likeliest first, as connect what all of them connect."""
+    lengths = np.array([len(x) for x in sketches])
+    rows = np.arange(first or len(sketches))
+    columns = np.arange(first, len(sketches))
+    found, distance = [], []
+    for la in np.unique(lengths[rows]):
+        for lb in np.unique(lengths[columns]):
+            x, y = rows[lengths[rows] == la], columns[lengths[columns] == lb]
+            a, b = (np.frombuffer(b"".join(sketches[i] for i in side), np.uint64).reshape(len(side), -1) for side in (x, y))
+            while a.shape[1] > b.shape[1]:
+                a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+            while b.shape[1] > a.shape[1]:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            apart = np.zeros((len(x), len(y)), np.int64)
+            for k in range(a.shape[1]):
+                apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+            na, nb = sizes[x][:, None], sizes[y][None, :]
+            keep = (apart * (100 + percent) <= (na + nb) * (100 - percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (labels[x][:, None] != labels[y][None, :])
+            if not first:
+                keep &= x[:, None] < y[None, :]
+            i, j = np.nonzero(keep)
+            found.append(np.stack([x[i], y[j]], axis=1))
+            distance.append(apart[i, j] / (sizes[x[i]] + sizes[y[j]]))
+    pairs = np.concatenate(found)
+    if not forest:
+        return [tuple(p) for p in pairs.tolist()]
+    root = list(range(len(sketches)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -277,41 +289,53 @@ def links_between(sets: list[np.ndarray], first: int, percent: int) -> list[tupl
         return x
 
     out = []
-    for i, j in zip(rows.tolist(), columns.tolist()):
-        if (j >= first if first else i < j) and find(i) != find(j):
-            root[find(j)] = find(i)
+    for i, j in pairs[np.argsort(np.concatenate(distance), kind="stable")].tolist():
+        x, y = find(i), find(j)
+        if x != y:
+            root[y] = x
             out.append((i, j))
     return out
 
 
-def block_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among classes that share hot combinations, verified in pairs of blocks of each cluster."""
+def blocks(hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (component, id, n, block) of the clusters that share hot combinations, and the block pairs to look at."""
     # Clusters: classes connected by hot combinations (a key is linked with the least class it has).
     hubs = hot.groupBy("key").agg(F.min("cls").alias("a"))
     clusters = connected_components(hot.join(hubs, "key").select("a", F.col("cls").alias("b")).distinct())
-    members = clusters.join(sets.select(F.col("cls").alias("id"), "n"), "id")
+    members = clusters.join(hot.groupBy(F.col("cls").alias("id")).agg(F.first("n").alias("n")), "id")
     # In the order of size, blocks hold so many sets and tokens at most; ranks come from per-size counts.
-    sizes = members.groupBy("component", "n").agg(F.count("*").alias("many"))
-    upto = Window.partitionBy("component").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.pmod(F.xxhash64("id"), F.lit(64))  # equal sizes are ranked in parts, not in one task
+    members = members.withColumn("part", part)
+    sizes = members.groupBy("component", "n", "part").agg(F.count("*").alias("many"))
+    upto = Window.partitionBy("component").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("base", F.sum("many").over(upto) - F.col("many")).withColumn("tokens", F.sum(F.col("many") * F.col("n")).over(upto) - F.col("many") * F.col("n"))
-    spot = F.row_number().over(Window.partitionBy("component", "n").orderBy("id")) - 1
+    spot = F.row_number().over(Window.partitionBy("component", "n", "part").orderBy("id")) - 1
     number = F.floor((F.col("base") + F.col("spot")) / BLOCK_SETS) + F.floor((F.col("tokens") + F.col("spot") * F.col("n")) / BLOCK_TOKENS)
-    placed = materialize(members.withColumn("spot", spot).join(sizes, ["component", "n"]).select("component", "id", "n", number.alias("block")), "blocks")
+    placed = materialize(members.withColumn("spot", spot).join(sizes, ["component", "n", "part"]).select("component", "id", "n", number.alias("block")), "blocks")
     ranges = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     left, right = ranges.alias("l"), ranges.alias("r")
     fits = (F.col("l.block") <= F.col("r.block")) & (100 * F.col("l.hi") >= percent * F.col("r.lo"))
     tasks = left.join(right, "component").where(fits).select("component", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    return placed, materialize(tasks, "block-pairs")
+
+
+def block_candidates(placed: DataFrame, tasks: DataFrame, sketches: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Candidates (a, b) of the blocks.  Without ``labels`` forests; with (id, component) of what is linked, all pairs across."""
+    own = placed if labels is None else placed.join(labels.select("id", F.col("component").alias("label")), "id", "left")
+    own = own.withColumn("label", F.coalesce(F.col("label"), F.col("id")) if labels is not None else F.col("id"))
+    own = own.join(sketches.select(F.col("cls").alias("id"), "sketch"), "id").select("component", "block", "id", "n", "label", "sketch")
     sides = tasks.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    work = sides.join(placed.select("component", "block", "id"), ["component", "block"]).join(sets.select(F.col("cls").alias("id"), "tokens"), "id")
+    forest = labels is None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "id"], kind="stable")
         first = 0 if pdf["i"].iloc[0] == pdf["j"].iloc[0] else int((pdf["block"] == pdf["i"]).sum())
-        found = links_between([np.frombuffer(t, "<u8") for t in pdf["tokens"]], first, percent)
         ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype=np.int64)
+        found = near_in_blocks(pdf["sketch"].tolist(), pdf["n"].to_numpy(np.int64), pdf["label"].to_numpy(), first, percent, forest)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[at[:, 0]], "b": ids[at[:, 1]]}, dtype=np.int64)
 
-    return work.groupBy("component", "i", "j").applyInPandas(run, "a long, b long")
+    return sides.join(own, ["component", "block"]).groupBy("component", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,14 +347,22 @@ def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, i
     pairs, hot = candidates(sig, percent)
     # Sketches first: whole sets are then needed of few classes.
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls")))
-    paired = _limited(materialize(classes.join(ends(pairs).distinct(), "cls").select("digest", F.col("rep").alias("doc_id")), "paired"))[0]
-    sketches = sig.join(paired, ["digest", "doc_id"], "left_semi").select("cls", "n", "sketch")
-    pairs = materialize(near(pairs, sketches, percent), "near-pairs")
-    needed = ends(pairs).union(hot.select("cls")).distinct()
-    wanted = materialize(classes.join(needed, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "wanted")
-    texts = source.join(_limited(wanted)[0], "doc_id").select("cls", "digest", "text")
-    sets = materialize(token_sets(texts, words), "token-sets")
-    links = similar(pairs, sets, percent).union(block_links(hot, sets, percent))
+    paired = ends(pairs).union(hot.select("cls")).distinct()
+    paired = _limited(materialize(classes.join(paired, "cls").select("digest", F.col("rep").alias("doc_id")), "paired"))[0]
+    sketches = sig.join(paired, ["digest", "doc_id"], "left_semi").select("cls", "n", "sketch").dropDuplicates(["cls", "sketch"])
+    sketches = materialize(sketches, "sketches")
+
+    def checked(candidates: DataFrame, name: str) -> DataFrame:
+        """The similar ones of some candidates, by the whole sets."""
+        candidates = materialize(candidates, f"near-pairs-{name}")
+        wanted = classes.join(ends(candidates).distinct(), "cls").select(F.col("rep").alias("doc_id"), "cls", "digest")
+        texts = source.join(_limited(materialize(wanted, f"wanted-{name}"))[0], "doc_id").select("cls", "digest", "text")
+        return materialize(similar(candidates, materialize(token_sets(texts, words), f"token-sets-{name}"), percent), f"links-{name}")
+
+    placed, tasks = blocks(hot, percent)
+    links = checked(near(pairs, sketches, percent).union(block_candidates(placed, tasks, sketches, None, percent)).distinct(), "first")
+    # What the forests of the blocks left open: pairs of classes that no link connects so far.
+    links = links.union(checked(block_candidates(placed, tasks, sketches, connected_components(links), percent), "rest"))
     reached = materialize(connected_components(links), "components")
     # Class names to the least document id of the component.
     named = classes.join(reached, classes.cls == reached.id, "left").select("digest", "rep", F.coalesce("component", "cls").alias("component"))
