@@ -1,13 +1,14 @@
 """Operator 3, n-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are the 64-bit hashes of its distinct word shingles, in the order of the hash.  Two sets
-with similarity of at least ``p`` share a token of their prefixes, the first ``n - ceil(p n) + 1`` tokens.
+A document's tokens are the 64-bit hashes of its distinct word shingles: those that many documents have last,
+both kinds in the order of the hash.  Two sets with similarity of at least ``p`` share a token of their prefixes,
+the first ``n - ceil(p n) + 1`` tokens, so only sets of nearly all frequent tokens have such in their prefixes.
 
 * Tokens that few documents have in their prefixes are indexed singly.
 * Where all shared prefix tokens are frequent, the prefix is extended to the whole set and combinations of
-  tokens are indexed instead: the tokens of a set fall into ``d + 1`` classes by their hash, ``d`` being the
-  largest symmetric difference that the similarity allows at that size, so in one class at least both sets
-  have the same combination.
+  tokens are indexed instead: the tokens of a set fall into more than ``d + 1`` classes by their hash, ``d`` being
+  the largest symmetric difference that the similarity allows at that size, so in one class at least both sets
+  have the same combination.  Classes without a token are left out where one with tokens is sure to agree.
 * Equal sets are one class from the start.  Candidates that parity sketches don't rule out are verified with
   the whole sets.  Sets that share a combination with many others are compared in blocks of bounded size by
   their sketches: first as many pairs as connect a block, then pairs of sets that no link connects yet.
@@ -40,6 +41,10 @@ FREQUENT, HOT = 32, 48
 BROADCAST_ROWS = 2_000_000
 #: Sets and tokens of one verification block at most (a larger set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
+#: Frequent tokens that are ordered last, at most (sent to each task); any others stay in the order of the hash.
+MAX_FREQUENT = 1_000_000
+#: Characters of text whose tokens are counted in one group, and tokens that a task collects before it sends them.
+COUNTED_CHARS, COUNTED_TOKENS = 8_000_000, 200_000
 MAX_WORDS = 750_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -88,6 +93,60 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(h)
 
 
+def token_codes(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """Group and 32 bits of each token: what tokens are counted by."""
+    return (tokens >> np.uint64(32)) % np.uint64(groups) << np.uint64(32) | tokens & np.uint64(0xFFFFFFFF)
+
+
+def frequent_tokens(df: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """Sorted codes of the tokens that more than ``FREQUENT`` rows have, and the number of groups that codes are made with.
+
+    A rare token whose code is also another's can count as frequent; any order that holds for all sets is right.
+    """
+    chars = df.agg(F.sum(F.length("text")).alias("chars")).first()["chars"] or 0
+    groups = max(64, -(-chars // COUNTED_CHARS))
+    most = FREQUENT + 1
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            codes, times = np.unique(token_codes(np.concatenate(held), groups), return_counts=True)
+            codes = np.repeat(codes, np.minimum(times, most))  # more needn't be told apart
+            group = (codes >> np.uint64(32)).astype(np.int64)
+            edge = np.searchsorted(group, np.arange(groups + 1))
+            low = codes.astype(np.uint32)
+            used = np.flatnonzero(edge[1:] > edge[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([low[edge[g] : edge[g + 1]].tobytes() for g in used], pa.binary())], ["group", "low"])
+
+        held, many = [], 0
+        for batch in batches:
+            for text in batch.column("text"):
+                held.append(shingles(text.as_py(), words))
+                many += len(held[-1])
+                if many >= COUNTED_TOKENS:
+                    yield packed()
+                    held, many = [], 0
+        if many:
+            yield packed()
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, times = np.unique(np.frombuffer(b"".join(pdf["low"]), np.uint32), return_counts=True)
+        often = times >= most
+        return pd.DataFrame({"code": int(pdf["group"].iloc[0]) << 32 | low[often].astype(np.int64), "times": times[often]})
+
+    counted = df.select("text").mapInArrow(collect, "group long, low binary").groupBy("group").applyInPandas(count, "code long, times long")
+    codes = counted.orderBy(F.desc("times"), "code").limit(MAX_FREQUENT).select("code").toPandas()["code"]
+    return np.sort(codes.to_numpy(np.uint64)), groups
+
+
+def rare_first(tokens: np.ndarray, frequent: tuple[np.ndarray, int]) -> np.ndarray:
+    codes, groups = frequent
+    if not len(codes):
+        return tokens
+    own = token_codes(tokens, groups)
+    often = codes[np.minimum(np.searchsorted(codes, own), len(codes) - 1)] == own
+    return np.concatenate([tokens[~often], tokens[often]])
+
+
 def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
     return tokens[: n - -(-percent * n // 100) + 1] if n else tokens
@@ -103,13 +162,16 @@ def combinations(tokens: np.ndarray, percent: int) -> np.ndarray:
     spread, out = mixed(tokens * _M1), []
     for size_class in (own, own + 1):
         largest = int(np.exp((size_class + 1) * width)) + 1
-        parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+        apart = 2 * largest * (100 - percent) // (100 + percent)
+        parts = apart + 3 + apart // 6  # about as many more as stay empty
         part = (tokens % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread[order])])  # sums wrap around
         edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(part, minlength=parts))])
         label = np.arange(parts, dtype=np.uint64) * _M2 + np.uint64(size_class)
-        out.append(mixed(mixed(label) + total[edge[1:]] - total[edge[:-1]]))
+        keys, full = mixed(mixed(label) + total[edge[1:]] - total[edge[:-1]]), edge[1:] > edge[:-1]
+        # At least parts - apart of them agree: more than are empty, so one that agrees has tokens.
+        out.append(keys[full] if parts - apart - int((~full).sum()) >= 1 else keys)
     return np.concatenate(out)
 
 
@@ -136,8 +198,8 @@ def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
 
 
-def signatures(df: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, cls (its first 8 bytes), prefix tokens, combinations and a parity sketch."""
+def signatures(df: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, int]) -> DataFrame:
+    """doc_id, n, digest of the set, cls (its first 8 bytes), prefix tokens and a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -151,32 +213,48 @@ def signatures(df: DataFrame, words: int, percent: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array(digests, pa.binary()),
                         pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")),
-                        _longs([prefix(s, percent) for s in sets]),
-                        _longs([combinations(s, percent) for s in sets]),
+                        _longs([prefix(rare_first(s, frequent), percent) for s in sets]),
                         pa.array([sketch(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "cls", "prefix", "keys", "sketch"],
+                    ["doc_id", "n", "digest", "cls", "prefix", "sketch"],
                 )
 
-    schema = "doc_id long, n int, digest binary, cls long, prefix array<long>, keys array<long>, sketch binary"
+    schema = "doc_id long, n int, digest binary, cls long, prefix array<long>, sketch binary"
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _own_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """cls and sets, from (cls, digest, text); texts of another digest (of a repeated id) are left out."""
+    for whole in batches:
+        for at in range(0, len(whole), 512):
+            batch = whole.slice(at, 512)
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
+            yield batch.column("cls").filter(pa.array(own, pa.bool_())), [s for s, x in zip(sets, own) if x]
+
+
 def token_sets(df: DataFrame, words: int) -> DataFrame:
-    """cls, n and the tokens, from (cls, digest, text); texts of another digest (of a repeated id) are left out."""
+    """cls, n and the tokens, from (cls, digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                sets = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
-                own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
-                columns = [batch.column("cls"), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.filter(own) for c in columns], ["cls", "n", "tokens"])
+        for cls, sets in _own_sets(batches, words):
+            columns = [cls, pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "tokens"])
 
     return df.select("cls", "digest", "text").mapInArrow(run, "cls long, n int, tokens binary")
 
 
+def combination_keys(df: DataFrame, words: int, percent: int) -> DataFrame:
+    """cls, n and the combinations, from (cls, digest, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cls, sets in _own_sets(batches, words):
+            columns = [cls, pa.array([len(s) for s in sets], pa.int32()), _longs([combinations(s, percent) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["cls", "n", "keys"])
+
+    return df.select("cls", "digest", "text").mapInArrow(run, "cls long, n int, keys array<long>")
+
+
 def shared(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     both = np.concatenate([x, y])
@@ -197,8 +275,11 @@ def _bucket_pairs(postings: DataFrame, key: str, percent: int) -> DataFrame:
     return x.join(y, key).where(fits).select("a", "b")
 
 
-def candidates(sig: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b), and postings (key, cls, n) of the combinations that are verified in blocks."""
+def candidates(sig: DataFrame, percent: int, keys_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), and postings (key, cls, n) of the combinations that are verified in blocks.
+
+    ``keys_of`` gives (cls, n, keys) of the classes (cls) that combinations are needed of.
+    """
     tokens = sig.select(F.explode("prefix").alias("token"), "cls", "n")
     spread = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     spread = materialize(spread.where("lo <> hi").select("token", "df"), "prefix-tokens")
@@ -207,7 +288,8 @@ def candidates(sig: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = _bucket_pairs(rare, "token", percent)
 
     dense = materialize(postings.where(F.col("df") > FREQUENT).select("cls").distinct(), "frequent-classes")
-    keys = sig.join(_limited(dense)[0], "cls", "left_semi").select(F.explode("keys").alias("key"), "cls", "n")
+    keys = materialize(keys_of(dense), "combination-keys")
+    keys = keys.select(F.explode("keys").alias("key"), "cls", "n")
     spread = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     spread = materialize(spread.where("lo <> hi").select("key"), "combinations")
     keys = materialize(keys.join(_limited(spread)[0], "key", "left_semi").distinct(), "combination-postings")
@@ -341,10 +423,16 @@ def block_candidates(placed: DataFrame, tasks: DataFrame, sketches: DataFrame, l
 def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, for links of Jaccard similarity ``percent`` / 100 or more."""
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    every = materialize(signatures(source, words, percent), "signatures")
+    every = materialize(signatures(source, words, percent, frequent_tokens(source, words)), "signatures")
     sig = every.where("n > 0")
     classes = materialize(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n")), "classes")
-    pairs, hot = candidates(sig, percent)
+
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """cls, digest and text of some classes."""
+        wanted = classes.join(wanted, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest")
+        return source.join(_limited(materialize(wanted, f"wanted-{name}"))[0], "doc_id").select("cls", "digest", "text")
+
+    pairs, hot = candidates(sig, percent, lambda dense: combination_keys(texts_of(dense, "frequent"), words, percent))
     # Sketches first: whole sets are then needed of few classes.
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls")))
     paired = ends(pairs).union(hot.select("cls")).distinct()
@@ -355,9 +443,8 @@ def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, i
     def checked(candidates: DataFrame, name: str) -> DataFrame:
         """The similar ones of some candidates, by the whole sets."""
         candidates = materialize(candidates, f"near-pairs-{name}")
-        wanted = classes.join(ends(candidates).distinct(), "cls").select(F.col("rep").alias("doc_id"), "cls", "digest")
-        texts = source.join(_limited(materialize(wanted, f"wanted-{name}"))[0], "doc_id").select("cls", "digest", "text")
-        return materialize(similar(candidates, materialize(token_sets(texts, words), f"token-sets-{name}"), percent), f"links-{name}")
+        sets = materialize(token_sets(texts_of(ends(candidates).distinct(), name), words), f"token-sets-{name}")
+        return materialize(similar(candidates, sets, percent), f"links-{name}")
 
     placed, tasks = blocks(hot, percent)
     links = checked(near(pairs, sketches, percent).union(block_candidates(placed, tasks, sketches, None, percent)).distinct(), "first")

@@ -90,6 +90,41 @@ def test_sketches_never_rule_out_a_pair():
         assert jaccard_join.sketch_difference(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= len(np.setxor1d(a, b))
 
 
+def test_frequent_tokens_come_last(spark):
+    rng = random.Random(7)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [" ".join([common, *(f"u{rng.randrange(10**6)}" for _ in range(60))]) for _ in range(jaccard_join.FREQUENT + 1)] + [None, "c0 c1"]
+    sets = [jaccard_join.shingles(t, 3) for t in texts]
+    df = Counter(np.concatenate(sets).tolist())
+    often = np.array([t for t, n in df.items() if n > jaccard_join.FREQUENT], np.uint64)
+    found = jaccard_join.frequent_tokens(table(spark, texts), 3)
+    assert len(often) == 28 and set(found[0].tolist()) == set(jaccard_join.token_codes(often, found[1]).tolist())
+    for s in sets[: jaccard_join.FREQUENT + 1]:
+        assert np.isin(jaccard_join.prefix(s, 80), often).any()  # in the order of the hash alone
+        ordered = jaccard_join.rare_first(s, found)
+        assert sorted(ordered.tolist()) == s.tolist() and not np.isin(jaccard_join.prefix(ordered, 80), often).any()
+    assert len(jaccard_join.frequent_tokens(table(spark, []), 3)[0]) == 0
+
+
+def test_combinations_of_unrelated_sets_differ():
+    rng = np.random.default_rng(6)
+    for n in (20, 60, 300):
+        keys = Counter(np.concatenate([jaccard_join.combinations(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), 80) for _ in range(200)]).tolist())
+        assert max(keys.values()) == 1
+
+
+def test_combinations_of_similar_sets_meet():
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        for n in [*range(1, 60), 200, 700]:
+            for _ in range(20):
+                both = int(rng.integers(-(-percent * n // 100), n + 1))  # of n tokens in the union
+                every = rng.integers(0, 2**63, n, dtype=np.uint64)
+                cut = int(rng.integers(both, n + 1))
+                a, b = np.unique(every[:cut]), np.unique(np.concatenate([every[:both], every[cut:]]))
+                assert np.isin(jaccard_join.combinations(a, percent), jaccard_join.combinations(b, percent)).any()
+
+
 def test_components(spark):
     links = [(5, 3), (3, 9), (9, 12), (7, 8), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (12, 40)]
     out = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
