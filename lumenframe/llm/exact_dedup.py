@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import documents, materialize
+from lumenframe.llm._common import documents, materialize, numbered, only_rows
 
 #: Local quotients of one block (their run lengths are stored with it).
 LOCAL_BITS = 8
@@ -56,8 +56,11 @@ def merge_blocks(blocks: list[tuple[bytes, bytes, bytes]], block: int, range_bit
         local = np.repeat(np.arange(1 << LOCAL_BITS, dtype=np.uint64), np.frombuffer(runs, "<u4"))
         keys.append((np.uint64(block) << np.uint64(64 - range_bits)) | (local << np.uint64(rest)) | np.frombuffer(remainders, "<u8"))
         counts.append(np.frombuffer(n, "<u8"))
-    keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return keys, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
+    every, added = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(every, kind="stable")  # a stable sort merges the runs, each of which is sorted
+    every, added = every[order], added[order]
+    first = np.flatnonzero(np.concatenate([np.ones(1, bool), every[1:] != every[:-1]]))
+    return every[first], np.add.reduceat(added, first)
 
 
 def repeated_fingerprints(rows: DataFrame, fp: str = "fp") -> DataFrame:
@@ -85,11 +88,16 @@ def repeated_fingerprints(rows: DataFrame, fp: str = "fp") -> DataFrame:
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: its id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
+    return _grouped(df, F.monotonically_increasing_id(), id_col, text_col).drop("row")
+
+
+def _grouped(df: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    """As :func:`exact_dedup`, with ``row`` too, a number of each row."""
     norm = normalized(F.col(f"`{text_col}`"))
     texts = df.select(
-        F.col(f"`{id_col}`").alias("doc_id"), norm.alias("norm"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("text_sha256")
+        F.col(f"`{id_col}`").alias("doc_id"), norm.alias("norm"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("text_sha256"), row.alias("row")
     )
-    rows = materialize(texts.select("doc_id", "fp", "text_sha256", F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    rows = materialize(texts.select("doc_id", "fp", "text_sha256", "row"), "dedup-rows")
     repeated = materialize(repeated_fingerprints(rows), "dedup-repeated")
     small = repeated.count() <= BROADCAST_ROWS
     suspects = texts.join(F.broadcast(repeated) if small else repeated, "fp", "left_semi")
@@ -108,19 +116,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         "text_sha256",
+        "row",
     )
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the rows that :func:`exact_dedup` drops; all columns stay."""
-    keep = exact_dedup(df, id_col, text_col).where("kept").select(
-        F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__sha"), (F.col("group_size") > 1).alias("__grouped")
-    )
-    out = df.withColumn("__sha2", F.sha2(normalized(F.col(f"`{text_col}`")), 256))
-    out = out.join(keep, (F.col("__sha2") == F.col("__sha")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")))
-    once = out.where(~F.col("__grouped")).select(*[f"`{c}`" for c in df.columns])
-    many = out.where("__grouped").dropDuplicates([id_col, "__sha2"]).select(*[f"`{c}`" for c in df.columns])
-    return once.unionByName(many)
+    table, row = numbered(df, "dedup-input")
+    return only_rows(table, row, _grouped(table, F.col(row), id_col, text_col).where("kept").select("row"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

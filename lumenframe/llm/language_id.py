@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents
+from lumenframe.llm._memory import sliced
 from lumenframe.llm._words import scorer
 
 #: Families of languages by their two-letter codes.  A code not listed is a family of its own.
@@ -41,8 +42,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 BINS = 1 << 13
-#: Labelled rows that the machines are fitted on, of each language, about.
-SAMPLE_PER_LANGUAGE = 400
+#: Labelled rows that the machines are fitted on, about: of each language, and in all (which bounds the driver's memory).
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 400, 4000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -143,12 +144,13 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
+    per_language = min(per_language, max(2, SAMPLE_ROWS // len(counts)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     sample = labelled.where(draw < share[F.col("lang")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             bins, values = [], []
             for text in batch.column("text").to_pylist():
                 total = np.zeros(BINS)
@@ -176,12 +178,12 @@ def predict_language(df: DataFrame, model: Model | None, id_col: str = "doc_id",
     """Per row: doc_id, lang_pred, score.  Only the text is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             known = [model is not None and t is not None and bool(_LETTER.search(t)) for t in texts]
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
             if any(known):
-                sums = scorer(model.key(), len(model.machines) + 1, model.part).sums([t for t, k in zip(texts, known) if k])
+                sums = scorer(model.key(), len(model.machines) + 1, model.part, lower=True).sums([t for t, k in zip(texts, known) if k])
                 at = np.flatnonzero(known)
                 found, scores[at] = model.predict(sums)
                 for i, lang in zip(at.tolist(), found):

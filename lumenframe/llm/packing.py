@@ -1,8 +1,8 @@
 """Operator 4, packing: order-preserving dynamic programming over window cuts.
 
-Within each input partition the documents' tokens form one stream, in the order of the rows.  Cuts are
-allowed at document ends and sentence ends (and, at a higher penalty, every 32nd of a sequence inside long
-sentences).  The cuts chosen minimise padding plus a penalty for each document that a cut truncates: with
+Within each input partition the documents' tokens form streams, in the order of the rows: a stream closes at
+the first document end after ``STREAM_IDS`` ids, which bounds a task's memory.  Cuts are allowed at document
+ends and sentence ends (and, at a higher penalty, every 32nd of a sequence inside long sentences).  The cuts chosen minimise padding plus a penalty for each document that a cut truncates: with
 ``dp[j]`` the least cost of the stream up to cut ``j``,
 
     dp[j] = capacity - pos[j] + penalty[j] + min(dp[i] + pos[i] for i < j, pos[j] - pos[i] <= capacity)
@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents, materialize, running_offsets
+from lumenframe.llm._memory import sliced
 from lumenframe.llm._pieces import encoder
 
 #: Cost, in tokens, of a sequence besides its padding, of a cut inside a document, and of one inside a sentence.
 SEQUENCE_COST, TRUNCATION_COST, SENTENCE_COST = 512, 4, 32
+#: Ids of a stream, about: it ends with the document that reaches so many.
+STREAM_IDS = 1 << 20
 #: Within sentences of more thirty-seconds of a sequence than these, a cut may fall at each of them.
 LONG_SENTENCE = 4
 PIECE_SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, chunk long, local_sequence long, offset long"
+    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local_sequence long, offset long"
 )
 
 
@@ -105,24 +108,41 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: in
     """Pieces of all rows of ``df``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for chunk, batch in enumerate(batches):  # the batches of a task bound its memory
-            docs = batch.column("doc_id")
-            ids, ends = encoder(tokenizer_path, False).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
-            if not ids:
-                continue
-            doc, start, length, crc, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_stream(ids, ends, capacity)))
-            sizes = np.array([len(x) for x in ids], np.int64)
+        part, done = TaskContext.get().partitionId(), 0
+        open_docs: list[int | None] = []
+        open_ids: list[np.ndarray] = []
+        open_ends: list[np.ndarray] = []
+        held = 0
+
+        def close() -> pa.RecordBatch:
+            doc, start, length, crc, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_stream(open_ids, np.concatenate(open_ends), capacity)))
+            sizes = np.array([len(x) for x in open_ids], np.int64)
             n = len(doc)
-            columns = [docs.take(pa.array(doc)), start, length, crc, sizes[doc], np.full(n, part, np.int32), np.full(n, chunk), sequence, offset]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], PIECE_NAMES)
+            columns = [pa.array(open_docs, pa.int64()).take(pa.array(doc)), start, length, crc, sizes[doc], np.full(n, part, np.int32), sequence + done, offset]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], PIECE_NAMES)
+
+        for batch in sliced(batches):
+            ids, ends = encoder(tokenizer_path).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
+            bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids])])
+            ends_at = np.searchsorted(ends, bounds, side="right")
+            for i, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), ids)):
+                open_docs.append(doc)
+                open_ids.append(own)
+                open_ends.append(ends[ends_at[i] : ends_at[i + 1]] - bounds[i] + held)
+                held += len(own)
+                if held >= STREAM_IDS:
+                    pieces = close()
+                    done = pieces.column("local_sequence")[-1].as_py() + 1
+                    open_docs, open_ids, open_ends, held = [], [], [], 0
+                    yield pieces
+        if open_docs:
+            yield close()
 
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     pieces = materialize(source.mapInArrow(run, PIECE_SCHEMA), "pieces")
-    sizes = pieces.groupBy("part", "chunk").agg((F.max("local_sequence") + 1).alias("n"))
-    key = F.col("part").cast("long") * (1 << 32) + F.col("chunk")
-    offsets = running_offsets(sizes.select(key.alias("key"), "n"), "key", "n", "base")
-    return pieces.withColumn("key", key).join(offsets, "key").select(
+    sizes = pieces.groupBy("part").agg((F.max("local_sequence") + 1).alias("n"))
+    offsets = F.broadcast(running_offsets(sizes, "part", "n", "base"))  # one row a partition
+    return pieces.join(offsets, "part").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local_sequence")).alias("sequence_id"), "offset"
     )
 

@@ -2,7 +2,7 @@
 
 A text's normalised content (null becomes empty; every other byte counts) and the tokenizer file are both
 digested.  Stored counts are joined by the pair of digests, only distinct misses are encoded, and their
-counts are appended to the cache table.
+counts are appended to the cache table.  Without a cache of the caller's, a call starts with an empty one.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their row; an empty
 table gives an empty result; columns of other names are not read.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents, materialize, scratch_path
+from lumenframe.llm._memory import sliced
 from lumenframe.llm._pieces import encoder
 
 #: Repeated digests are broadcast up to so many (8 bytes each); beyond it they are joined by shuffle.
@@ -30,12 +31,12 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
-def encode_counts(texts: DataFrame, path: str, drops_blanks: bool) -> DataFrame:
+def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     """(digest, n_tokens) of (digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = encoder(path, drops_blanks).counts(batch.column("text").to_pylist())
+        for batch in sliced(batches):
+            counts = encoder(path).counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
@@ -45,7 +46,6 @@ def token_counts(
     df: DataFrame,
     tokenizer_path: str,
     *,
-    drops_blanks: bool = False,
     cache_path: str | None = None,
     limit: int = 1024,
     id_col: str = "doc_id",
@@ -57,13 +57,9 @@ def token_counts(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = df.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    misses, digests = texts, rows.select("digest")
-    if cache_path is None:
-        cache_path = scratch_path(spark, "token-cache")
-    else:
-        known = _read_cache(spark, cache_path, version)
-        if known is not None:
-            misses, digests = (x.join(known.select("digest"), "digest", "left_anti") for x in (misses, digests))
+    cache_path = cache_path or scratch_path(spark, "token-cache")
+    known = _read_cache(spark, cache_path).where(F.col("version") == version).select("digest")
+    misses, digests = (x.join(known, "digest", "left_anti") for x in (texts, rows.select("digest")))
     # A key of 8 bytes marks texts that may be repeated; what is encoded once is decided by the whole digest.
     short = F.xxhash64("digest")
     repeated = materialize(digests.groupBy(short.alias("k")).count().where("count > 1").select("k"), "repeated")
@@ -71,18 +67,19 @@ def token_counts(
     keyed = misses.withColumn("k", short)
     once = keyed.join(small, "k", "left_anti").select("digest", "text")
     many = keyed.join(small, "k", "left_semi").groupBy("digest", "text").agg(F.lit(1)).select("digest", "text")
-    new = encode_counts(once, tokenizer_path, drops_blanks).unionByName(encode_counts(many, tokenizer_path, drops_blanks))
+    new = encode_counts(once, tokenizer_path).unionByName(encode_counts(many, tokenizer_path))
     new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version)
-    cache = cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a rerun may have appended twice
-    return rows.join(cache, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    stored = _read_cache(spark, cache_path).where(F.col("version") == version)
+    # Concurrent runs may have appended a digest twice.  As a table of its own, so that the join can split a hot digest.
+    stored = materialize(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+def _read_cache(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version)
+        return spark.createDataFrame([], CACHE_SCHEMA)
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
