@@ -3,7 +3,8 @@
 A payload is cut into access units, each one packetised elementary packet with a presentation time stamp;
 program association and map tables precede every random-access unit.  Reading parses the tables (with
 their checksums), checks the continuity counter of every packet identifier, reassembles the elementary
-packets and returns the units with time stamps and random-access points.
+packets and returns the units with time stamps and random-access points.  The media table holds each stream
+with its units' time stamps and the byte offsets of its random-access points; what is read is held against both.
 
 Defined results: a null text is empty; an empty payload is padded to 64 zero bytes; equal texts give equal
 streams; repeated rows each get their row; an empty table gives an empty result; other columns are not read.
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import documents
+from lumenframe.llm._common import documents, materialize
+from lumenframe.llm._memory import sliced
 
 PACKET, SYNC = 188, 0x47
 MAP_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
@@ -75,7 +77,6 @@ def _stamp(ticks: int) -> bytes:
 
 def _unit_packets(data: bytes, ticks: int, random_access: bool, counter: int) -> np.ndarray:
     """The packets of one access unit."""
-    ticks &= (1 << 33) - 1
     elementary = b"\0\0\1" + bytes([STREAM_ID]) + (len(data) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + _stamp(ticks) + data
     clock = bytes([7, 0x50, ticks >> 25 & 0xFF, ticks >> 17 & 0xFF, ticks >> 9 & 0xFF, ticks >> 1 & 0xFF, (ticks & 1) << 7 | 0x7E, 0])
     first = clock if random_access else b""
@@ -111,20 +112,30 @@ def _unit_packets(data: bytes, ticks: int, random_access: bool, counter: int) ->
     return out
 
 
-def encode_stream(payload: bytes) -> bytes:
-    """The transport stream of a payload."""
-    packets, counter, tables = [], 0, 0
+def index_stream(payload: bytes) -> tuple[bytes, list[int], list[int]]:
+    """The transport stream of a payload, its units' time stamps, and the offsets in it of the random-access points."""
+    packets, counter, tables, size = [], 0, 0, 0
+    stamps, points = [], []
     for k, at in enumerate(range(0, max(1, len(payload)), UNIT_BYTES)):
         random_access = k % UNITS_PER_GROUP == 0
         if random_access:
+            points.append(size)
             both = np.stack([_ASSOCIATION, _MAP])
             both[:, 3] |= tables & 15
             packets.append(both)
             tables += 1
-        unit = _unit_packets(payload[at : at + UNIT_BYTES], k * UNIT_TICKS, random_access, counter)
+            size += both.size
+        stamps.append(k * UNIT_TICKS & (1 << 33) - 1)
+        unit = _unit_packets(payload[at : at + UNIT_BYTES], stamps[-1], random_access, counter)
         packets.append(unit)
         counter += len(unit)
-    return np.concatenate(packets).tobytes()
+        size += unit.size
+    return np.concatenate(packets).tobytes(), stamps, points
+
+
+def encode_stream(payload: bytes) -> bytes:
+    """The transport stream of a payload."""
+    return index_stream(payload)[0]
 
 
 @dataclass
@@ -136,11 +147,14 @@ class Stream:
     units: list[bytes] = field(default_factory=list)
     stamps: list[int | None] = field(default_factory=list)
     random_access: list[bool] = field(default_factory=list)
+    #: Where each unit's first packet begins in the stream; for a random-access point, the tables in front of it.
+    places: list[int] = field(default_factory=list)
     packets: int = 0
     lost_sync: int = 0
     counter_errors: int = 0
     table_errors: int = 0
     unit_errors: int = 0
+    index_errors: int = 0
 
     @property
     def payload(self) -> bytes:
@@ -166,6 +180,7 @@ def decode_stream(media: bytes) -> Stream:
     grid = np.frombuffer(media, np.uint8)[: len(media) // PACKET * PACKET].reshape(-1, PACKET)
     good = (grid[:, 0] == SYNC) & (grid[:, 1] & 0x80 == 0)
     out.packets, out.lost_sync = len(grid), int((~good).sum()) + (len(media) % PACKET > 0)
+    packet = np.flatnonzero(good)
     grid = grid[good]
     pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
     start = grid[:, 1] & 0x40 > 0
@@ -197,7 +212,12 @@ def decode_stream(media: bytes) -> Stream:
         first = np.flatnonzero(start[mine])
         random = flags[mine][first] & 0x40 > 0
         edges = [*where[first].tolist(), len(data)]
-        for a, b, r in zip(edges, edges[1:], random.tolist()):
+        # Packets of the tables right in front of a random-access unit belong to its point.
+        own_at = np.flatnonzero(mine)[first]
+        table = np.isin(pid, [0, *out.programs.values()])
+        ahead = [next((n for n in range(at) if not table[at - 1 - n]), at) for at in own_at.tolist()]
+        spots = [int(packet[at - (n if r else 0)]) * PACKET for at, n, r in zip(own_at.tolist(), ahead, random.tolist())]
+        for a, b, r, spot in zip(edges, edges[1:], random.tolist(), spots):
             unit = data[a:b]
             size = int.from_bytes(unit[4:6], "big")
             if unit[:3] != b"\0\0\1" or size and len(unit) != 6 + size:
@@ -208,6 +228,7 @@ def decode_stream(media: bytes) -> Stream:
             out.units.append(unit[9 + unit[8] :])
             out.stamps.append(ticks)
             out.random_access.append(r)
+            out.places.append(spot)
     return out
 
 
@@ -216,88 +237,88 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
 
 
-MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
-READ_SCHEMA = (
-    "doc_id long, n_bytes long, payload binary, media binary, stamps array<long>, random_access array<boolean>, "
-    "packets long, faults long, feature string"
-)
+MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary, stamps array<long>, random_access array<long>"
+READ_SCHEMA = "doc_id long, n_bytes long, payload binary, stamps array<long>, random_access array<boolean>, packets long, faults long, feature string"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
 
 def write_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the text's transport stream as a binary column."""
+    """The media table: doc_id, n_bytes, the text's transport stream, its time stamps and random-access points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, payloads = zip(*map(padded, batch.column("text").to_pylist())) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(map(encode_stream, payloads), pa.binary())], ["doc_id", "n_bytes", "media"]
-            )
+        for batch in sliced(batches):
+            sizes, payloads = zip(*map(padded, batch.column("text").to_pylist()))
+            media, stamps, points = zip(*map(index_stream, payloads))
+            longs = pa.list_(pa.int64())
+            yield _batch(MEDIA_SCHEMA, [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(stamps, longs), pa.array(points, longs)])
 
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return source.mapInArrow(run, MEDIA_SCHEMA)
 
 
+def faults(read: Stream) -> int:
+    return read.lost_sync + read.counter_errors + read.table_errors + read.unit_errors + read.index_errors
+
+
 def feature(read: Stream) -> str:
     samples = np.frombuffer(read.payload, np.uint8)
     stamps = [x for x in read.stamps if x is not None]
     return (
         f"units={len(read.units)};packets={read.packets};random_access={sum(read.random_access)};"
         f"stamps={min(stamps, default=-1)}-{max(stamps, default=-1)};mean={samples.mean() if len(samples) else 0:.4f};"
-        f"zeros={int((samples == 0).sum())};faults={read.lost_sync + read.counter_errors + read.table_errors + read.unit_errors}"
+        f"zeros={int((samples == 0).sum())};faults={faults(read)}"
     )
 
 
+def _reads(batch: pa.RecordBatch) -> Iterator[tuple[bytes, Stream]]:
+    """Each stored stream and what is read of it."""
+    for media, stamps, points in zip(*(batch.column(c).to_pylist() for c in ("media", "stamps", "random_access"))):
+        read = decode_stream(media or b"")
+        found = [at for at, r in zip(read.places, read.random_access) if r]
+        read.index_errors = int(read.stamps != stamps) + int(found != points)
+        yield media or b"", read
+
+
 def read_media(media: DataFrame) -> DataFrame:
-    """The streams of :func:`write_media` read back, with time stamps, random-access points and a feature."""
+    """The payloads of a media table read back, with time stamps, random-access flags, faults and a feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):  # payload and stream leave in small batches
-                part = batch.slice(at, 256)
-                reads = [decode_stream(m) for m in part.column("media").to_pylist()]
-                faults = [r.lost_sync + r.counter_errors + r.table_errors + r.unit_errors for r in reads]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        part.column("n_bytes"),
-                        pa.array([r.payload for r in reads], pa.binary()),
-                        part.column("media"),
-                        pa.array([r.stamps for r in reads], pa.list_(pa.int64())),
-                        pa.array([r.random_access for r in reads], pa.list_(pa.bool_())),
-                        pa.array([r.packets for r in reads], pa.int64()),
-                        pa.array(faults, pa.int64()),
-                        pa.array(map(feature, reads), pa.string()),
-                    ],
-                    [f.split()[0] for f in READ_SCHEMA.split(", ")],
-                )
+        for batch in sliced(batches, "media"):
+            reads = [r for _, r in _reads(batch)]
+            columns = [
+                pa.array([r.payload for r in reads], pa.binary()),
+                pa.array([r.stamps for r in reads], pa.list_(pa.int64())),
+                pa.array([r.random_access for r in reads], pa.list_(pa.bool_())),
+                pa.array([r.packets for r in reads], pa.int64()),
+                pa.array(map(faults, reads), pa.int64()),
+                pa.array(map(feature, reads), pa.string()),
+            ]
+            yield _batch(READ_SCHEMA, [batch.column("doc_id"), batch.column("n_bytes"), *columns])
 
     return media.mapInArrow(run, READ_SCHEMA)
 
 
+def media_digests(media: DataFrame) -> DataFrame:
+    """Digests of the payloads read back from a media table, and of the streams as stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "media"):
+            rows = []
+            for stored, read in _reads(batch):
+                payload = read.payload
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(read)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield _batch(DIGEST_SCHEMA, [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))])
+
+    return media.mapInArrow(run, DIGEST_SCHEMA)
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(write_media(documents(spark, sf_dir)))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, media = batch.column("payload").to_pylist(), batch.column("media").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("n_bytes"),
-                    pa.array([len(p) for p in payloads], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                    pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    batch.column("feature"),
-                ],
-                [f.split()[0] for f in DIGEST_SCHEMA.split(", ")],
-            )
-
-    return read.select("doc_id", "n_bytes", "payload", "media", "feature").mapInArrow(digest, DIGEST_SCHEMA)
-
-
-DIGEST_SCHEMA = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-)
+    return media_digests(materialize(write_media(documents(spark, sf_dir)), "media", "zstd"))
+
+
 ORACLE_SQL: dict[str, str] = {}
