@@ -9,13 +9,18 @@ the first ``n - ceil(p n) + 1`` tokens, so only sets of nearly all frequent toke
   tokens are indexed instead: the tokens of a set fall into more than ``d + 1`` classes by their hash, ``d`` being
   the largest symmetric difference that the similarity allows at that size, so in one class at least both sets
   have the same combination.  Classes without a token are left out where one with tokens is sure to agree.
+  The k tokens of a combination are thus those of a class, not every k of a prefix: at 80 % and 500 tokens, two
+  of the 102 tokens of a prefix extended by one give 5151 keys a set, the classes 260.
 * Equal sets are one class from the start.  Candidates that parity sketches don't rule out are verified with
-  the whole sets.  Sets that share a combination with many others are compared in blocks of bounded size by
-  their sketches: first as many pairs as connect a block, then pairs of sets that no link connects yet.
+  the whole sets.
+* Sets that share a combination with many others form a cluster.  Each is first compared with a few hubs, which
+  links most of a cluster of copies.  Only sets outside a cluster's largest component then meet the rest of it,
+  in blocks of bounded size, by their sketches: first as many pairs as connect a block, then pairs of sets that
+  no link connects yet.  So what grows with the square of a cluster is what its hubs left apart.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; a text of
-fewer words than a shingle is one shingle; rows that repeat an id are in the component of each of their
-texts, and a row's component is the least id reached by its own text; a row with a null id takes part through
+fewer words than a shingle is one shingle; rows that repeat an id each get their
+row, whose component is the least id reached by its own text; other columns are not read; a row with a null id takes part through
 equal sets of rows that have one, and else has a null component; an empty table gives an empty result.
 """
 
@@ -31,21 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm._common import documents, materialize
+from lumenframe.llm._common import documents, materialize, scratch_scope, unused
+from lumenframe.llm._memory import CACHE_BYTES, claim, sliced
 from lumenframe.llm._pieces import _Index
 from lumenframe.llm.components import connected_components
 
 #: A prefix token of more documents is frequent; a combination of more sets is verified in blocks.
 FREQUENT, HOT = 32, 48
-#: Rows of one 8-byte key that may be broadcast; beyond it the join shuffles.
+#: Rows of one 8-byte key that may be broadcast (about 64 MB as a hash table); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Hubs that a set of a cluster is compared with, before the blocks.
+HUBS = 3
 #: Sets and tokens of one verification block at most (a larger set is a block of its own).
 BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
 #: Frequent tokens that are ordered last, at most (sent to each task); any others stay in the order of the hash.
 MAX_FREQUENT = 1_000_000
 #: Characters of text whose tokens are counted in one group, and tokens that a task collects before it sends them.
 COUNTED_CHARS, COUNTED_TOKENS = 8_000_000, 200_000
-MAX_WORDS = 750_000
+#: Bytes that the cache holds of a word, besides its characters, about.
+WORD_BYTES = 150
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -54,7 +63,7 @@ class _Words:
     """Hashes of words, each distinct one hashed once per Python worker."""
 
     def __init__(self) -> None:
-        self.index, self.hashes = _Index(), np.empty(0, np.uint64)
+        self.index, self.hashes, self.held = _Index(), np.empty(0, np.uint64), 0
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()  # bytes: A-Z and the six white-space characters alone
@@ -65,16 +74,14 @@ class _Words:
             if n > len(self.hashes):
                 self.hashes = np.concatenate([self.hashes, np.empty(max(n, 2 * len(self.hashes)) - len(self.hashes), np.uint64)])
             self.hashes[n - len(new) : n] = [xxhash.xxh3_64_intdigest(w) for w in new]
+            self.held += WORD_BYTES * len(new) + sum(map(len, new))
             new.clear()
         out = self.hashes[at]
-        if len(self.index) > MAX_WORDS:
+        if self.held > CACHE_BYTES:
             self.__init__()
         return out
 
 
-_WORDS = _Words()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ x >> np.uint64(31)
     x = x * _M3
@@ -83,7 +90,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
-    w = _WORDS.of(text or "")
+    w = claim("words", _Words).of(text or "")
     if not len(w):
         return w
     k = min(words, len(w))
@@ -118,7 +125,7 @@ def frequent_tokens(df: DataFrame, words: int) -> tuple[np.ndarray, int]:
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([low[edge[g] : edge[g + 1]].tobytes() for g in used], pa.binary())], ["group", "low"])
 
         held, many = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text"):
                 held.append(shingles(text.as_py(), words))
                 many += len(held[-1])
@@ -202,22 +209,20 @@ def signatures(df: DataFrame, words: int, percent: int, frequent: tuple[np.ndarr
     """doc_id, n, digest of the set, cls (its first 8 bytes), prefix tokens and a parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(digests, pa.binary()),
-                        pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")),
-                        _longs([prefix(rare_first(s, frequent), percent) for s in sets]),
-                        pa.array([sketch(s) for s in sets], pa.binary()),
-                    ],
-                    ["doc_id", "n", "digest", "cls", "prefix", "sketch"],
-                )
+        for batch in sliced(batches):
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(d[:8] for d in digests), "<i8")),
+                    _longs([prefix(rare_first(s, frequent), percent) for s in sets]),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n", "digest", "cls", "prefix", "sketch"],
+            )
 
     schema = "doc_id long, n int, digest binary, cls long, prefix array<long>, sketch binary"
     return df.select("doc_id", "text").mapInArrow(run, schema)
@@ -225,12 +230,10 @@ def signatures(df: DataFrame, words: int, percent: int, frequent: tuple[np.ndarr
 
 def _own_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """cls and sets, from (cls, digest, text); texts of another digest (of a repeated id) are left out."""
-    for whole in batches:
-        for at in range(0, len(whole), 512):
-            batch = whole.slice(at, 512)
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-            yield batch.column("cls").filter(pa.array(own, pa.bool_())), [s for s, x in zip(sets, own) if x]
+    for batch in sliced(batches):
+        sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+        own = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
+        yield batch.column("cls").filter(pa.array(own, pa.bool_())), [s for s, x in zip(sets, own) if x]
 
 
 def token_sets(df: DataFrame, words: int) -> DataFrame:
@@ -362,7 +365,8 @@ def near_in_blocks(sketches: list[bytes], sizes: np.ndarray, labels: np.ndarray,
     pairs = np.concatenate(found)
     if not forest:
         return [tuple(p) for p in pairs.tolist()]
-    root = list(range(len(sketches)))
+    first_of: dict[int, int] = {}
+    root = [first_of.setdefault(label, i) for i, label in enumerate(labels.tolist())]  # what has one label is connected
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -379,35 +383,50 @@ def near_in_blocks(sketches: list[bytes], sizes: np.ndarray, labels: np.ndarray,
     return out
 
 
-def blocks(hot: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (component, id, n, block) of the clusters that share hot combinations, and the block pairs to look at."""
-    # Clusters: classes connected by hot combinations (a key is linked with the least class it has).
-    hubs = hot.groupBy("key").agg(F.min("cls").alias("a"))
-    clusters = connected_components(hot.join(hubs, "key").select("a", F.col("cls").alias("b")).distinct())
-    members = clusters.join(hot.groupBy(F.col("cls").alias("id")).agg(F.first("n").alias("n")), "id")
-    # In the order of size, blocks hold so many sets and tokens at most; ranks come from per-size counts.
+def hub_pairs(hot: DataFrame) -> DataFrame:
+    """(a, b, keys): each set b of the hot postings with the least set of each combination that it has, and how often."""
+    hubs, _ = _limited(materialize(hot.groupBy("key").agg(F.min("cls").alias("a")), "hubs"))
+    pairs = hot.join(hubs, "key").where("a <> cls").groupBy("a", F.col("cls").alias("b")).agg(F.count("*").alias("keys"))
+    return materialize(pairs, "hub-pairs")
+
+
+def nearest_hubs(pairs: DataFrame) -> DataFrame:
+    """The few hubs (a) of each set (b) that it shares most combinations with."""
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("keys"), "a"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("a", "b")
+
+
+def blocks(members: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sets (component, id, n, label, block) of the clusters that ``labels`` (id, component) leave in parts, and the
+    block pairs to look at: those with a set outside its cluster's largest part."""
+    own = members.join(labels.select("id", F.col("component").alias("found")), "id", "left")
+    own = materialize(own.select("component", "id", "n", F.coalesce("found", "id").alias("label")), "labelled")
+    parts = own.groupBy("component", "label").agg(F.count("*").alias("sets"))
+    largest = parts.groupBy("component").agg(F.max_by("label", F.struct("sets", "label")).alias("largest"), F.count("*").alias("parts"))
+    largest, _ = _limited(materialize(largest.where("parts > 1").select("component", "largest"), "largest-parts"))
     part = F.pmod(F.xxhash64("id"), F.lit(64))  # equal sizes are ranked in parts, not in one task
-    members = members.withColumn("part", part)
-    sizes = members.groupBy("component", "n", "part").agg(F.count("*").alias("many"))
-    upto = Window.partitionBy("component").orderBy("n", "part").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.join(largest, "component").withColumn("inside", F.col("label") == F.col("largest")).withColumn("part", part)
+    # Outside sets first, then in the order of size: blocks hold so many sets and tokens at most; ranks come from counts.
+    keys = ["component", "inside", "n", "part"]
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("many"))
+    upto = Window.partitionBy("component").orderBy("inside", "n", "part").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("base", F.sum("many").over(upto) - F.col("many")).withColumn("tokens", F.sum(F.col("many") * F.col("n")).over(upto) - F.col("many") * F.col("n"))
-    spot = F.row_number().over(Window.partitionBy("component", "n", "part").orderBy("id")) - 1
+    spot = F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1
     number = F.floor((F.col("base") + F.col("spot")) / BLOCK_SETS) + F.floor((F.col("tokens") + F.col("spot") * F.col("n")) / BLOCK_TOKENS)
-    placed = materialize(members.withColumn("spot", spot).join(sizes, ["component", "n", "part"]).select("component", "id", "n", number.alias("block")), "blocks")
-    ranges = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    placed = own.withColumn("spot", spot).join(materialize(sizes, "block-sizes"), keys)
+    placed = materialize(placed.select("component", "id", "n", "label", "inside", number.alias("block")), "blocks")
+    ranges = placed.groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("inside").alias("inside"))
     left, right = ranges.alias("l"), ranges.alias("r")
-    fits = (F.col("l.block") <= F.col("r.block")) & (100 * F.col("l.hi") >= percent * F.col("r.lo"))
-    tasks = left.join(right, "component").where(fits).select("component", F.col("l.block").alias("i"), F.col("r.block").alias("j"))
+    fits = (F.col("l.block") <= F.col("r.block")) & (100 * F.col("l.hi") >= percent * F.col("r.lo")) & (100 * F.col("r.hi") >= percent * F.col("l.lo"))
+    tasks = left.where("NOT inside").alias("l").join(right, F.col("l.component") == F.col("r.component")).where(fits)
+    tasks = tasks.select(F.col("l.component").alias("component"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
     return placed, materialize(tasks, "block-pairs")
 
 
-def block_candidates(placed: DataFrame, tasks: DataFrame, sketches: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Candidates (a, b) of the blocks.  Without ``labels`` forests; with (id, component) of what is linked, all pairs across."""
-    own = placed if labels is None else placed.join(labels.select("id", F.col("component").alias("label")), "id", "left")
-    own = own.withColumn("label", F.coalesce(F.col("label"), F.col("id")) if labels is not None else F.col("id"))
-    own = own.join(sketches.select(F.col("cls").alias("id"), "sketch"), "id").select("component", "block", "id", "n", "label", "sketch")
+def block_candidates(placed: DataFrame, tasks: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Candidates (a, b) of the block pairs, between sets of different labels: all, or as many as connect them."""
+    own = placed.join(sketches.select(F.col("cls").alias("id"), "sketch"), "id").select("component", "block", "id", "n", "label", "sketch")
     sides = tasks.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    forest = labels is None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["block", "id"], kind="stable")
@@ -423,8 +442,16 @@ def block_candidates(placed: DataFrame, tasks: DataFrame, sketches: DataFrame, l
 def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, for links of Jaccard similarity ``percent`` / 100 or more."""
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    every = materialize(signatures(source, words, percent, frequent_tokens(source, words)), "signatures")
-    sig = every.where("n > 0")
+    with scratch_scope(df.sparkSession, "signatures", "named-classes"):
+        every = materialize(signatures(source, words, percent, frequent_tokens(source, words)), "signatures")
+        named = materialize(_named_classes(source, every.where("n > 0"), words, percent), "named-classes")
+    rows = every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    return rows.join(named, "digest", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+
+
+def _named_classes(source: DataFrame, sig: DataFrame, words: int, percent: int) -> DataFrame:
+    """(digest, component_id) of the classes of equal sets."""
     classes = materialize(sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("cls").alias("cls"), F.first("n").alias("n")), "classes")
 
     def texts_of(wanted: DataFrame, name: str) -> DataFrame:
@@ -446,27 +473,31 @@ def similarity_components(df: DataFrame, *, words: int = 5, percent: int = 80, i
         sets = materialize(token_sets(texts_of(ends(candidates).distinct(), name), words), f"token-sets-{name}")
         return materialize(similar(candidates, sets, percent), f"links-{name}")
 
-    placed, tasks = blocks(hot, percent)
-    links = checked(near(pairs, sketches, percent).union(block_candidates(placed, tasks, sketches, None, percent)).distinct(), "first")
-    # What the forests of the blocks left open: pairs of classes that no link connects so far.
-    links = links.union(checked(block_candidates(placed, tasks, sketches, connected_components(links), percent), "rest"))
-    reached = materialize(connected_components(links), "components")
+    hubs = hub_pairs(hot)
+    reached = connected_components(checked(near(pairs.union(nearest_hubs(hubs)).distinct(), sketches, percent), "first"))
+    if not hot.isEmpty():
+        # Clusters: classes connected by hot combinations.
+        members = connected_components(hubs.select("a", "b")).join(hot.groupBy(F.col("cls").alias("id")).agg(F.first("n").alias("n")), "id")
+        members = materialize(members.select("component", "id", "n"), "members")
+        for name, forest in (("forests", True), ("rest", False)):
+            placed, tasks = blocks(members, reached, percent)
+            links = checked(block_candidates(placed, tasks, sketches, percent, forest), name)
+            if not links.isEmpty():
+                reached = connected_components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
     # Class names to the least document id of the component.
     named = classes.join(reached, classes.cls == reached.id, "left").select("digest", "rep", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(least, "component").select("digest", "component_id"), "named-classes")
-    rows = every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return rows.join(named, "digest", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+    return named.join(least, "component").select("digest", "component_id")
 
 
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
     """One document of each component stays, that with the smallest id; all columns stay."""
     found = similarity_components(df, id_col=id_col, **options)
     # An id that repeats is dropped only if none of its texts stays.
+    (name,) = unused(df, "gone")
     stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias(name))
+    return df.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
