@@ -1,5 +1,6 @@
 """Exact dedup, n-gram Jaccard join and components against brute force."""
 
+import os
 import random
 from collections import Counter
 from itertools import combinations
@@ -70,6 +71,25 @@ def test_join_with_everything_frequent_and_hot(spark, monkeypatch):
     assert got(table(spark, texts), words=3, percent=90) == brute(texts, 3, 90)
 
 
+def test_clusters_that_hubs_leave_apart(spark, monkeypatch):
+    """Chains: each set is similar to its neighbours alone, all share their combinations' keys by force of small limits."""
+    for name, value in (("FREQUENT", 2), ("HOT", 2), ("BLOCK_SETS", 3), ("HUBS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    words = [f"w{i}" for i in range(160)]
+    texts = [" ".join(words[k * 3 : k * 3 + 60]) for k in range(30)] + [" ".join(reversed(words[k * 2 : k * 2 + 70])) for k in range(20)]
+    for percent in (80, 90):
+        assert got(table(spark, texts), words=3, percent=percent) == brute(texts, 3, percent)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from lumenframe.llm import _common
+
+    root = _common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    assert got(table(spark, near_texts(families=2)), words=3, percent=90)
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before if not n.startswith(".")} <= {"signatures", "named-classes"}
+
+
 def test_join_edges(spark):
     assert jaccard_join.similarity_components(table(spark, [])).count() == 0
     out = [(r["doc_id"], r["component_id"]) for r in jaccard_join.similarity_components(table(spark, ["a b c d e f"] * 3, [4, 4, 2]), words=3, percent=90).collect()]
@@ -156,6 +176,9 @@ def test_exact_dedup(spark, monkeypatch):
         rows = exact_dedup.exact_dedup(df).collect()
         out = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows)
         assert out == Counter({(9, 4, 3, False): 1, (4, 4, 3, True): 1, (4, 4, 3, False): 1, (1, 1, 1, True): 1, (7, 3, 2, False): 1, (3, 3, 2, True): 1, (2, 2, 1, True): 1, (11, 10, 2, False): 1, (10, 10, 2, True): 1})
+    clash = df.selectExpr("doc_id", "text", "1 AS __sha", "2 AS __sha2", "3 AS row_number", "4 AS __keep_id", "5 AS gone", "6 AS doc_row")
+    assert {tuple(r)[2:] for r in exact_dedup.drop_exact_copies(clash).collect()} == {(1, 2, 3, 4, 5, 6)}
+    assert jaccard_join.drop_near_copies(clash).columns == clash.columns
     left = exact_dedup.drop_exact_copies(df)
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 4, 10] and left.columns == df.columns
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0

@@ -5,7 +5,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import language_id, mixing, sharding, toxicity
@@ -74,11 +73,57 @@ def test_toxicity_held_out(spark):
 def test_label_model_discounts_repeated_voters():
     rng = np.random.default_rng(3)
     y = rng.random(2000) < 0.3
-    noise = rng.random((2000, 3)) < np.array([0.1, 0.2, 0.2])
-    good, weak = np.where(noise[:, 0], ~y, y), np.where(noise[:, 1], ~y, y)
-    ballots = np.stack([good, weak, weak, weak, np.where(noise[:, 2], ~y, y)], axis=1).astype(int)
-    posterior = toxicity.label_model(ballots, 0.3, np.where(y, 0.8, 0.2))
-    assert np.mean((posterior > 0.5) == y) > 0.88
+    draw = rng.random((2000, 3))
+    good, weak, other = np.where(y[:, None], draw < [0.9, 0.6, 0.7], draw < [0.02, 0.12, 0.04]).T
+    ballots = np.stack([good, weak, weak, weak, other], axis=1).astype(int)
+    found = toxicity.label_model(ballots)
+    right = np.mean((found.posterior > 0.5) == y)
+    assert right > 0.85 > np.mean((ballots.sum(axis=1) >= 3) == y)
+    linked = {frozenset((j, p)) for j, p in enumerate(found.parent) if p >= 0}
+    assert sum(pair <= {1, 2, 3} for pair in linked) == 2  # the voters that repeat one another hang together
+
+
+def test_label_model_against_plain_loops(monkeypatch):
+    """Without dependencies the model is naive Bayes: one round by hand after another."""
+    monkeypatch.setattr(toxicity, "DEPENDENCY", np.inf)
+    ballots = np.array([[1, 1, 0], [1, 0, 0], [0, 0, -1], [0, 1, 0], [0, 0, -1], [0, 0, -1], [1, 1, 0]])
+    posterior = [0.9 if sum(b) > 0 else 0.05 if sum(b) < 0 else 0.2 for b in ballots.tolist()]
+    prior = 0.1
+    for _ in range(3):
+        tables = []
+        for toxic in (0, 1):
+            strength = toxicity.TOXIC_BELIEF if toxic else toxicity.CLEAN_BELIEF * len(ballots)
+            table = []
+            for j in range(3):
+                against = (ballots[:, j] < 0).any()
+                belief = ([0.05, 0.95, 0.0] if against else [0.0, 0.8, 0.2]) if toxic else ([0.9, 0.1, 0.0] if against else [0.0, 0.99, 0.01])
+                n = [sum((p if toxic else 1 - p) for b, p in zip(ballots[:, j], posterior) if b == v) + strength * belief[v + 1] + 1e-3 for v in (-1, 0, 1)]
+                table.append([x / sum(n) for x in n])
+            tables.append(table)
+        posterior = []
+        for b in ballots.tolist():
+            odds = prior / (1 - prior) * np.prod([tables[1][j][v + 1] / tables[0][j][v + 1] for j, v in enumerate(b)])
+            posterior.append(odds / (1 + odds))
+        prior = min(0.9, max(0.005, np.mean(posterior)))
+    found = toxicity.label_model(ballots, rounds=3)
+    assert np.allclose(found.posterior, posterior) and abs(found.prior - prior) < 1e-9
+
+
+def test_pattern_voters():
+    voters = toxicity.Voters([["grubber$"]])
+    said = lambda text: {n for n, v in zip(voters.names, ballot(voters, text)) if v}
+    assert said("you grubber") == {"lexicon 0"} and said("gr\u00fcbber fine") == {"clean"}
+    assert "disguised" in said("you gr*bber g-r-u-b-b-e-r") and "spaced" in said("g-r-u-b-b-e-r")
+    assert "disguised" in said("1d10t") and said("idiot") == {"seeds en", "seeds de", "seeds fr"}
+    assert {"stretched", "burst"} <= said("soooo what!!") and "several" in said("idiot idiot idiot")
+    assert "shouting" in said("WHAT IS THIS THING HERE NOW") and "spelled" in said("b a d z x") and "spelled" not in said("a b c")
+    assert said("") == {"clean"}
+
+
+def ballot(voters, text):
+    table = toxicity.WordScorer(3, voters.part, flagged=True)
+    at, counts = table.words(["x y z", text])
+    return voters.ballots(table.bits[at], counts, toxicity.added(table.values[at], counts, np.add))[1]
 
 
 def water(budget, nodes):
@@ -97,11 +142,21 @@ def water(budget, nodes):
 def test_budgets_against_brute_force(spark):
     rng = random.Random(4)
     leaves = [(f"d{d}", f"l{k}", f"s{s}", rng.randint(1, 900), 5) for d in range(3) for k in range(rng.randint(1, 3)) for s in range(rng.randint(1, 4))]
+    leaves += [("d3", "l0", "s0", 900, 5), ("d4", "l0", "s0", 70, 5), ("d4", "l1", "s0", 5000, 5)]
     table = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, docs long")
     weights = [(1, "d0", None, None, 3.0), (2, "d1", "l0", None, 2.5), (3, "d0", "l0", "s0", 4.0), (1, "d2", None, None, 0.5)]
+    weights += [(3, "d3", "l0", "s0", 0.0), (2, "d4", "l1", None, 0.0)]  # what they can't take goes to other domains
     given = {tuple(x for x in w[1:4] if x): w[4] for w in weights}
     wt = spark.createDataFrame(weights, "level int, domain string, lang string, source string, weight double")
-    for share, epochs in ((0.3, 1), (0.9, 1), (2.5, 3)):
+
+    def capacity(path, epochs):
+        """What can be spent below a node: only children of positive weight count."""
+        if len(path) == 3:
+            return next(x[3] for x in leaves if x[:3] == path) * epochs
+        kids = {x[: len(path) + 1] for x in leaves if x[: len(path)] == path}
+        return sum(capacity(kid, epochs) for kid in kids if given.get(kid, 1.0) > 0)
+
+    for share, epochs in ((0.3, 1), (0.4, 1), (0.9, 3)):
         total = int(sum(x[3] for x in leaves) * share)
 
         def divide(path, budget):
@@ -109,7 +164,7 @@ def test_budgets_against_brute_force(spark):
             if depth == 3:
                 return {path: budget}
             kids = sorted({x[: depth + 1] for x in leaves if x[:depth] == path})
-            caps = [sum(x[3] * epochs for x in leaves if x[: depth + 1] == kid) for kid in kids]
+            caps = [capacity(kid, epochs) for kid in kids]
             out = {}
             for kid, part in zip(kids, water(budget, [(given.get(kid, 1.0), c) for kid, c in zip(kids, caps)])):
                 out |= divide(kid, part)
@@ -133,12 +188,29 @@ def test_mixture_takes_whole_epochs_and_a_prefix(spark, monkeypatch):
             left = leaf[~leaf["in_partial"]]
             if len(left) and leaf["budget"].iloc[0] > 0:
                 assert leaf["budget"].iloc[0] - used < max(7, leaf["n_tokens"].max() + 1)
-    assert mixing.select_mixture(df).columns == df.columns
+    clash = df.select("doc_id", "text", "lang", "source", F.lit(5).alias("copies"), F.lit(6).alias("row_number"), F.lit(7).alias("Row"))
+    assert mixing.select_mixture(clash).columns == clash.columns
+    assert {tuple(r)[4:] for r in mixing.select_mixture(clash).collect()} == {(5, 6, 7)}
     assert mixing.mix(df.limit(0)).count() == 0
     plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_repeated_rows_are_taken_as_often_as_planned(spark):
+    rows = [(7, "a b c d", "en", "src1")] * 3 + [(8, "e f", "en", "src2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for fraction, epochs in ((0.6, 1), (1.0, 1), (1.9, 2)):
+        options = {"budget_fraction": fraction, "max_epochs": epochs}
+        plan = mixing.mix(df, **options).toPandas()
+        left = mixing.select_mixture(df, **options).toPandas()
+        assert len(left) == plan["copies"].sum() and sum(len(t.split()) for t in left["text"]) <= 14 * fraction
+
+
+def test_registered_mixture_repeats_small_leaves(spark, tables):
+    out = mixing.op9_mixing(spark, tables).toPandas()
+    assert out["copies"].max() > 1 and (out["copies"] == 0).any() and out["full_epochs"].max() <= mixing.MAX_EPOCHS
+
+
 def test_sharding(spark):
     texts = [None, "", "é", "same", "same", "y" * 70_000] * 40
     df = spark.createDataFrame([(i if i else None, t, 9, "k") for i, t in enumerate(texts)], "doc_id long, text string, part int, shard string").repartition(5)
@@ -163,8 +235,3 @@ def test_matrix_margins_and_law():
     left = np.array([3, 2, 1])
     assert sharding._conditional(np.random.default_rng(0), left, 6).tolist() == [3, 2, 1]
     assert (sharding._conditional(np.random.default_rng(0), left, 2) <= left).all()
-
-
-def test_stages():
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "jaccard_join", "mixing", "packing"]

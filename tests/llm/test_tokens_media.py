@@ -1,21 +1,25 @@
 """Token counts, packing, coded output and transport streams: exact against the library and round trips."""
 
+import json
 import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenframe.llm import packing, range_coder, token_counts, token_output, transport_stream
+from lumenframe.llm import _memory, _pieces, packing, range_coder, token_counts, token_output, transport_stream
 from lumenframe.llm._pieces import PieceEncoder
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 TEXTS = [None, "", " ", "a\n\n  b", "  lead", "trail ", "<|endoftext|> x<|endoftext|>", "don't I'LL", "été\x1c ab", "日本 語です。", "Σας İ", "á é", "word " * 3000, "x" * 5000, "One. Two! Three?\nFour " * 40, "same", "same"]
+GOLDEN_LONG, GOLDEN_SHORT = (6908, 558161692), "4c524332030000000a0000000100000008000000ed87779301000000075da5d6467f3731"
 SCHEMA = "doc_id long, text string, N_TOKENS int, digest string, part int, key int"
 
 
@@ -25,7 +29,7 @@ def table(spark, texts):
 
 @pytest.fixture(scope="module")
 def encoders():
-    return {p: (PieceEncoder(p, d), Tokenizer.from_file(p)) for p, d in ((BYTES, False), (WORDS, True))}
+    return {p: (PieceEncoder(p), Tokenizer.from_file(p)) for p in (BYTES, WORDS)}
 
 
 @settings(max_examples=150, deadline=None)
@@ -90,14 +94,52 @@ def test_coder_round_trip_and_damage():
         for x in (rng.integers(0, 49408, n), np.minimum(rng.zipf(1.4, n), 49407), np.zeros(n, int)):
             block = range_coder.encode_block(x, 49408)
             assert (range_coder.decode_block(block) == x).all()
-    with pytest.raises(range_coder.BlockError):
-        range_coder.decode_block(block[:-1] + bytes([block[-1] ^ 1]))
-    with pytest.raises(range_coder.BlockError):
-        range_coder.decode_block(b"")
+    block = range_coder.encode_block(np.arange(500) % 77, 49408)
+    for at in [*range(24), 24, 60, len(block) - 5, len(block) - 1]:  # the header's fields, the bytes, the checksum
+        with pytest.raises(range_coder.BlockError):
+            range_coder.decode_block(block[:at] + bytes([block[at] ^ 1]) + block[at + 1 :])
+    for short in (b"", block[:20], block[:-1], block + b"x"):
+        with pytest.raises(range_coder.BlockError):
+            range_coder.decode_block(short)
+    for ids, size in (([5], 5), ([-1], 5), ([0], 0), ([0], 1 << 20)):
+        with pytest.raises(ValueError):
+            range_coder.encode_block(np.array(ids), size)
     text = np.tile(rng.integers(0, 500, 2000), 20)
     assert len(range_coder.encode_block(text, 49408)) < text.size  # repeated ids cost under a byte each
 
 
+def test_blocks_are_the_same_everywhere():
+    """Golden bytes: integer arithmetic alone decides them."""
+    ids = np.array([(i * i * 31) % 997 % (i % 50 + 1) for i in range(9000)])
+    block = range_coder.encode_block(ids, 1000)
+    assert (len(block), zlib.crc32(block)) == GOLDEN_LONG
+    assert range_coder.encode_block(np.array([7, 3, 3]), 10).hex() == GOLDEN_SHORT
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    said = json.loads(open(BYTES, encoding="utf-8").read())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "prefix.json"
+    path.write_text(json.dumps(said), encoding="utf-8")
+    library, own = Tokenizer.from_file(str(path)), PieceEncoder(str(path))
+    assert own.cuts == "none" and (PieceEncoder(BYTES).cuts, PieceEncoder(WORDS).cuts) == ("blanks", "spaces")
+    for text in ("Hello there you", "x", ""):
+        assert own.ids([text])[0][0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_slices_and_caches_are_bounded(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", None, "x" * 90, "", "c" * 5, "d"], "n": list(range(6))})
+    parts = list(_memory.sliced(iter([batch, batch.slice(0, 0)]), "text", 10))
+    assert [p.column("n").to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
+    monkeypatch.setattr(_pieces, "CACHE_BYTES", 1000)
+    own, plain = PieceEncoder(BYTES), PieceEncoder(BYTES)
+    for k in range(30):
+        text = " ".join(f"w{k}x{i}" for i in range(20))
+        assert own.ids([text])[0][0].tolist() == plain.library([text])[0] and len(own.index) <= 20
+    first = _memory.claim("one", list)
+    assert _memory.claim("one", list) is first and _memory.claim("two", dict) == {} and _memory.claim("one", list) is not first
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_output, "BLOCK_IDS", 2000)
     library, path = Tokenizer.from_file(WORDS), f"file://{tmp_path}/ids"
@@ -133,9 +175,38 @@ def test_stream_damage_is_counted():
     assert transport_stream.decode_stream(b"").payload == b"" and transport_stream.decode_stream(b"noise").lost_sync == 1
 
 
+def test_stream_of_hand_written_packets():
+    """A stream as other writers make it: tables with known checksums, two units, a table again, a counter that wraps."""
+    def packet(head, body):
+        return bytes.fromhex(head) + body + b"\xff" * (188 - len(head) // 2 - len(body))
+
+    def unit(counter, pts, data, random_access):
+        elementary = bytes.fromhex("000001e00000808005" + pts) + data  # a video unit says no length
+        space = 184 - len(elementary)
+        field = bytes([space - 1, 0x40 if random_access else 0]) + b"\xff" * (space - 2)
+        return bytes([0x47, 0x41, 0x00, 0x30 | counter]) + field + elementary
+
+    association = packet("47400010" + "0000b00d0001c100000001f000" + "2ab104b2", b"")
+    table = packet("47500010" + "0002b0120001c10000e100f0001be100f000" + "15bd4d56", b"")
+    media = association + table + unit(15, "210005bf21", b"first", True) + unit(0, "210007d861", b"second", False)
+    read = transport_stream.decode_stream(media)
+    assert read.programs == {1: 0x1000} and read.streams == {0x100: 0x1B}
+    assert read.units == [b"first", b"second"] and read.stamps == [90_000, 126_000] and read.random_access == [True, False]
+    assert read.places == [0, 3 * 188] and transport_stream.faults(read) == 0
+    assert transport_stream._ASSOCIATION.tobytes() == association
+
+
+def test_media_table_and_its_index(spark):
+    stored = transport_stream.write_media(table(spark, TEXTS))
+    moved = stored.withColumn("stamps", F.transform("stamps", lambda x: x + 1))
+    assert {r["faults"] for r in transport_stream.read_media(moved).collect()} == {1}
+    row = stored.where("doc_id = 12").first()
+    assert row["random_access"] == [0] and row["stamps"] == [k * 3600 for k in range(4)]
+
+
 def test_media_columns(spark):
     out = {r["doc_id"]: r for r in transport_stream.read_media(transport_stream.write_media(table(spark, TEXTS))).collect()}
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
         assert out[i]["payload"][: len(raw)] == raw and len(out[i]["payload"]) == max(64, -(-len(raw) // 64) * 64) and out[i]["faults"] == 0
-    assert out[15]["media"] == out[16]["media"] and out[15]["feature"] == out[16]["feature"]
+    assert out[15]["payload"] == out[16]["payload"] and out[15]["feature"] == out[16]["feature"]
