@@ -151,24 +151,33 @@ def plate_edge_effect_ratio(df: DataFrame, value: str, *, well: str = "well", ke
 
 
 def plate_qc_summary(df: DataFrame, metrics: list[str], *, control_column: str | None = None, control_value: object = None) -> DataFrame:
-    """Per metric: n, mean, median, std and, with controls, the share of values over 3 robust deviations from theirs."""
+    """Per metric: n, mean, median, std and, with controls, the share of values over 3 robust deviations from theirs.
+
+    All metrics are aggregated side by side, in one pass for medians and one each for the spreads that need them.
+    """
     require(df, *metrics)
-    rows = df.select(*([control_column] if control_column else []), *[number(m).alias(m) for m in metrics]).unpivot(
-        [control_column] if control_column else [], metrics, "metric", "value"
-    )
-    out = rows.groupBy("metric").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std")
-    )
+    names = list(dict.fromkeys(metrics))
+    rows = df.select(*[number(m).alias(f"v{k}") for k, m in enumerate(names)], (F.col(control_column) == F.lit(control_value) if control_column else F.lit(False)).alias("control"))
+    controls = lambda k: F.when(F.col("control"), F.col(f"v{k}"))
+    whole = (("n", F.count), ("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))
+    first = [f(f"v{k}").alias(f"{n}{k}") for k in range(len(names)) for n, f in whole]
+    if control_column:
+        first += [f(controls(k)).alias(f"{n}{k}") for k in range(len(names)) for n, f in (("cm", F.median), ("cs", F.stddev_samp))]
+    stats = rows.agg(*first)  # one row
+    parts = ["n", "mean", "median", "std"]
     if control_column:
-        controls = median_mad(rows, F.col("value"), ["metric"], F.col(control_column) == F.lit(control_value))
-        scale = F.coalesce(F.when(F.col("__mad") > 0, MAD_SCALE * F.col("__mad")), F.when(F.col("__std_samp") > 0, F.col("__std_samp")), F.lit(1.0))
-        controls = controls.select("metric", F.col("__median").alias("__cm"), scale.alias("control_robust_sd"))
-        far = with_scalars(rows, ["metric"], controls).groupBy("metric").agg(
-            F.first("control_robust_sd").alias("control_robust_sd"),
-            F.avg((F.abs(F.col("value") - F.col("__cm")) > 3 * F.col("control_robust_sd")).cast("double")).alias("outlier_fraction"),
-        )
-        out = with_scalars(out, ["metric"], far)
-    return out
+        off = [F.abs(F.col(f"v{k}") - F.col(f"cm{k}")) for k in range(len(names))]
+        spread = rows.crossJoin(F.broadcast(stats)).agg(*[F.median(F.when(F.col("control"), o)).alias(f"cd{k}") for k, o in enumerate(off)])
+        stats = stats.crossJoin(F.broadcast(spread))
+        for k in range(len(names)):
+            mad, std = F.col(f"cd{k}"), F.col(f"cs{k}")
+            stats = stats.withColumn(f"sd{k}", F.coalesce(F.when(mad > 0, MAD_SCALE * mad), F.when(std > 0, std), F.lit(1.0)))
+        far = rows.crossJoin(F.broadcast(stats)).agg(*[F.avg((o > 3 * F.col(f"sd{k}")).cast("double")).alias(f"far{k}") for k, o in enumerate(off)])
+        stats = stats.crossJoin(F.broadcast(far))
+        parts += ["sd", "far"]
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{p}{k}").cast("long" if p == "n" else "double").alias(p) for p in parts]) for k, m in enumerate(names)])
+    out = stats.select(F.explode(each).alias("s")).select("s.*").withColumn("std", F.coalesce("std", F.lit(0.0)))
+    return out.withColumnsRenamed({"sd": "control_robust_sd", "far": "outlier_fraction"})
 
 
 def b_score(df: DataFrame, value: str, *, row: str = "row", column: str = "column", output: str | None = None, keys: list[str] = []) -> DataFrame:

@@ -5,11 +5,14 @@ Pixels are exploded inside the stage that aggregates them; nothing here keeps th
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.functions.columns import MAD_SCALE, number, ratio, with_scalars
+from lumenframe.functions import kernels
+from lumenframe.functions.columns import MAD_SCALE, number, ratio, require, with_scalars
 
 
 def explode_pixels(df: DataFrame, array: str, width: int, *, keys: list[str], depth_area: int | None = None, value: str = "v") -> DataFrame:
@@ -131,10 +134,15 @@ def detect_hot_pixels(px: DataFrame, keys: list[str], z_threshold: float = 6.0)
 
 
 def flat_field_correct(px: DataFrame, reference: DataFrame, keys: list[str], eps: float = 1e-6) -> DataFrame:
-    """v times the reference's mean over max(reference, eps); ``reference`` has y, x, r."""
+    """v times the reference's mean over max(reference, eps); ``reference`` has y, x, r.
+
+    A pixel that the reference lacks, or a reference that isn't positive, raises when the rows are computed."""
     mean = reference.agg(F.avg("r").alias("__mean"))
-    joined = px.join(reference.select("y", "x", "r"), ["y", "x"]).crossJoin(F.broadcast(mean))
-    return joined.withColumn("v", F.col("v") * F.col("__mean") / F.greatest(F.col("r"), F.lit(eps))).drop("r", "__mean")
+    joined = px.join(reference.select("y", "x", "r"), ["y", "x"], "left").crossJoin(F.broadcast(mean))
+    lacking = F.raise_error(F.lit("image and reference must have identical shapes")).cast("double")
+    dark = F.raise_error(F.lit("reference must contain strictly positive values")).cast("double")
+    r = F.when(F.col("r").isNull(), lacking).when(F.col("r") <= 0, dark).otherwise(F.col("r"))
+    return joined.withColumn("v", F.col("v") * F.col("__mean") / F.greatest(r, F.lit(eps))).drop("r", "__mean")
 
 
 def project_z(px: DataFrame, keys: list[str], method: str = "max", *, integer: bool = False) -> DataFrame:
@@ -146,12 +154,15 @@ def project_z(px: DataFrame, keys: list[str], method: str = "max", *, integer: b
 
 
 def select_plane(px: DataFrame, axis: str, index: int) -> DataFrame:
-    """One channel or timepoint; a table without that axis has index 0 alone."""
+    """One channel or timepoint; a table without that axis has index 0 alone, and an index that no row has is an error."""
     if axis not in px.columns:
         if index:
             raise IndexError(f"no {axis} axis: only index 0")
         return px
-    return px.where(F.col(axis) == index).drop(axis)
+    plane = px.where(F.col(axis) == index)
+    if plane.isEmpty():
+        raise IndexError(f"{axis} has no index {index}")
+    return plane.drop(axis)
 
 
 def chunk_ids(px: DataFrame, axis: str, chunk_size: int) -> DataFrame:
@@ -197,6 +208,30 @@ def object_features(px: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("aspect_ratio", F.col("bbox_width") / F.col("bbox_height"))
 
 
+SHAPE_SCHEMA = "label int, perimeter double, circularity double"
+
+
+def object_shapes(px: DataFrame, keys: list[str]) -> DataFrame:
+    """Per label: length of the outer border (8-connected steps) and circularity, 4 pi area over its square, in [0, 1]."""
+    kinds, n = dict(px.dtypes), len(keys)
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+        mask[y - y.min(), x - x.min()] = True
+        border = kernels.perimeter(mask)
+        shape = min(1.0, 4 * np.pi * len(y) / border**2) if border else 0.0
+        return pd.DataFrame([(*key[:n], int(key[n]), border, shape)], columns=[*keys, "label", "perimeter", "circularity"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), SHAPE_SCHEMA])
+    return px.where("label > 0").select(*keys, F.col("label").cast("int").alias("label"), "y", "x").groupBy(*keys, "label").applyInPandas(kernel, schema)
+
+
+def extract_object_features(px: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`object_features` with perimeter and circularity; an object's pixels meet in one task."""
+    return object_features(px, keys).join(object_shapes(px, keys), [*keys, "label"])
+
+
 def object_channel_intensity(px: DataFrame, keys: list[str]) -> DataFrame:
     """Per label and channel (columns ``label``, ``c``): mean, median, population std, max, sum."""
     named = (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("max", F.max), ("sum", F.sum))
@@ -223,12 +258,27 @@ def segmentation_diagnostics(objects: DataFrame, images: DataFrame, keys: list[s
 
 
 def nearest_neighbors(objects: DataFrame, keys: list[str], *, id_column: str = "label", axes: tuple[str, ...] = ("centroid_x", "centroid_y"), output: str = "nearest_neighbor_distance") -> DataFrame:
-    """Distance to the nearest other object of the same key; a single object has none."""
-    a = objects.select(*keys, F.col(id_column).alias("__i"), *[number(x).alias(f"__a_{x}") for x in axes])
-    b = objects.select(*keys, F.col(id_column).alias("__j"), *[number(x).alias(f"__b_{x}") for x in axes])
+    """Distance to the nearest other object of the same key; a single object has none.
+
+    Objects fall into cells of a grid that hold about two each.  What lies in the cells around an object's own is
+    nearer than anything beyond them, if it is within a cell's side; the few objects for which that finds nothing
+    are compared with all of their key."""
+    a = objects.select(*keys, F.col(id_column).alias("__own_id"), *[number(x).alias(f"__a_{x}") for x in axes])
+    extent = a.groupBy(*keys).agg(F.count("*").alias("__n"), *[f(f"__a_{x}").alias(f"__{n}_{x}") for x in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    side = F.greatest(*[F.col(f"__hi_{x}") - F.col(f"__lo_{x}") for x in axes], F.lit(1e-9)) / F.greatest(F.lit(1.0), F.pow(F.col("__n") / 2, F.lit(1.0 / len(axes))))
+    a = with_scalars(a, keys, extent.select(*keys, *[f"__lo_{x}" for x in axes], side.alias("__side")))
+    cell = {x: F.floor((F.col(f"__a_{x}") - F.col(f"__lo_{x}")) / F.col("__side")).cast("long") for x in axes}
+    a = a.select(*keys, "__own_id", "__side", *[f"__a_{x}" for x in axes], *[c.alias(f"__c_{x}") for x, c in cell.items()])
+    b = a.select(*keys, F.col("__own_id").alias("__other_id"), *[F.col(f"__a_{x}").alias(f"__b_{x}") for x in axes], *[f"__c_{x}" for x in axes])
+    around = a
+    for x in axes:
+        around = around.withColumn(f"__s_{x}", F.explode(F.array(*[F.col(f"__c_{x}") + k for k in (-1, 0, 1)]))).drop(f"__c_{x}").withColumnRenamed(f"__s_{x}", f"__c_{x}")
     d = F.sqrt(sum((F.pow(F.col(f"__a_{x}") - F.col(f"__b_{x}"), 2) for x in axes), F.lit(0.0)))
-    near = a.join(b, keys).where("__i <> __j").groupBy(*keys, "__i").agg(F.min(d).alias(output))
-    return objects.join(near.withColumnRenamed("__i", id_column), [*keys, id_column], "left")
+    close = around.join(b, [*keys, *[f"__c_{x}" for x in axes]]).where("__own_id <> __other_id").groupBy(*keys, "__own_id").agg(F.min(d).alias("__close"), F.first("__side").alias("__side"))
+    sure = close.where(F.col("__close") <= F.col("__side")).select(*keys, "__own_id", F.col("__close").alias(output))
+    open_ = a.join(sure, [*keys, "__own_id"], "left_anti")
+    far = open_.drop(*[f"__c_{x}" for x in axes]).join(b.drop(*[f"__c_{x}" for x in axes]), keys).where("__own_id <> __other_id").groupBy(*keys, "__own_id").agg(F.min(d).alias(output))
+    return objects.join(sure.unionByName(far).withColumnRenamed("__own_id", id_column), [*keys, id_column], "left")
 
 
 def add_spatial_features(objects: DataFrame, keys: list[str], *, height: int, width: int, id_column: str = "label") -> DataFrame:
@@ -289,12 +339,26 @@ def volume_features(vx: DataFrame, keys: list[str], *, voxel: tuple[float, float
     return rows.groupBy(*keys, "label").agg(*out, F.sum(area).alias("surface_area"))
 
 
-def summarize_volume(features: DataFrame, voxels_in_volume: int, keys: list[str], *, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+def validate_labels(vx: DataFrame) -> DataFrame:
+    """Label volumes: columns z, y, x and whole-number labels, or a ValueError."""
+    require(vx, "z", "y", "x", "label")
+    if dict(vx.dtypes)["label"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("labels must be whole numbers")
+    return vx
+
+
+def summarize_volume(features: DataFrame, voxels_in_volume: int, keys: list[str], *, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), volumes: DataFrame | None = None) -> DataFrame:
+    """Counts, volumes and densities of each key's objects.  ``volumes`` has the keys of all volumes: those without objects get zeros."""
+    if len(voxel) != 3 or min(voxel) <= 0:
+        raise ValueError("voxel must be three positive sizes")
     whole = voxels_in_volume * voxel[0] * voxel[1] * voxel[2]
-    return features.groupBy(*keys).agg(
+    out = features.groupBy(*keys).agg(
         F.count("*").alias("object_count"), F.sum("volume").alias("total_volume"), F.avg("volume").alias("mean_volume"), F.median("volume").alias("median_volume"),
         (F.sum("volume") / whole).alias("volume_fraction"), (F.count("*") / (whole / 1e9)).alias("density_per_mm3"),
     )
+    if volumes is None:
+        return out
+    return with_scalars(volumes.select(*keys).distinct(), keys, out).fillna(0, ["object_count", "total_volume", "volume_fraction", "density_per_mm3"])
 
 
 def ensemble_agreement(members: DataFrame, keys: list[str], *, min_agreement: float = 0.6) -> DataFrame:

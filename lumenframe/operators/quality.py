@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import kernels
 from lumenframe.operators.normalization import adaptive_dataset_qc
-from lumenframe.operators.segmentation import Segmenter, ThresholdSegmenter
+from lumenframe.operators.segmentation import Segmenter, ThresholdSegmenter, available_backends, get_backend
 from lumenframe.sources.images import decode, find_images
 
 
@@ -44,7 +45,7 @@ class QCThresholds:
 
 
 IMAGE_RESULT = (
-    "path string, filename string, width int, height int, channels int, dtype string, ndim int, focus_score double, brightness_mean double, brightness_std double, "
+    "path string, filename string, file_size_kb double, sha256 string, width int, height int, channels int, dtype string, ndim int, focus_score double, brightness_mean double, brightness_std double, "
     "saturation_fraction double, contrast_std double, estimated_cells int, cell_method string, segmentation_quality double, median_cell_area double, cell_area_cv double, "
     "border_object_fraction double, foreground_fraction double, error string, loaded boolean"
 )
@@ -64,8 +65,12 @@ def diagnostics(labels: np.ndarray, min_area: int, max_area_frac: float) -> dict
     return {"count": len(area), "foreground": area.sum() / labels.size, "median": float(np.median(area)), "cv": float(cv), "border": float(border), "tiny": float(tiny), "merged": float(merged), "quality": float(quality)}
 
 
-def analyze_files(files: DataFrame, thresholds: QCThresholds = QCThresholds(), *, segmenter: Segmenter | None = None, adaptive_threshold: bool = False, adaptive_qc: bool = True) -> DataFrame:
-    """One row per file of (path, content, length): metrics and flags, ordered by path; a file that fails is a row with its error."""
+def analyze_files(files: DataFrame, thresholds: QCThresholds = QCThresholds(), *, segmenter: Segmenter | None = None, adaptive_threshold: bool = False, adaptive_qc: bool = True, exclude_failed: bool = False) -> DataFrame:
+    """One row per file of (path, content, length): metrics and flags, ordered by path; a file that fails is a row with its error.
+
+    Files are read and decoded once.  With ``adaptive_qc`` the measured rows, one an image, are kept on the executors
+    while the dataset's medians are taken from them.
+    """
     thresholds.validate()
     plain = ThresholdSegmenter(thresholds.min_cell_area, thresholds.max_cell_area_frac, adaptive_threshold)
     first = segmenter or plain
@@ -73,8 +78,10 @@ def analyze_files(files: DataFrame, thresholds: QCThresholds = QCThresholds(), *
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, raw in zip(frame["path"], frame["content"]):
-                row: dict[str, object] = dict.fromkeys(names, 0) | {"path": path, "filename": path.rsplit("/", 1)[-1], "dtype": None, "cell_method": first.name, "error": None, "loaded": False}
+            rows = []
+            for path, raw, size, digest in zip(frame["path"], frame["content"], frame["file_size_kb"], frame["sha256"]):
+                row: dict[str, object] = dict.fromkeys(names, 0) | {"path": path, "filename": path.rsplit("/", 1)[-1], "file_size_kb": size, "sha256": digest}
+                row |= {"dtype": None, "cell_method": first.name, "error": None, "loaded": False}
                 try:
                     image = decode(path, bytes(raw))
                     gray = kernels.to_gray(image)
@@ -93,11 +100,13 @@ def analyze_files(files: DataFrame, thresholds: QCThresholds = QCThresholds(), *
                     }
                 except Exception as e:
                     row["error"] = str(e)
-                yield pd.DataFrame([row], columns=names)
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=names)
 
-    measured = files.select("path", "content").mapInPandas(run, IMAGE_RESULT)
-    facts = files.select(F.col("path").alias("__path"), F.round(F.col("length") / 1024, 2).alias("file_size_kb"), F.sha2("content", 256).alias("sha256"))
-    out = measured.join(facts, F.col("path") == F.col("__path")).drop("__path")
+    wanted = files.select("path", "content", F.round(F.col("length") / 1024, 2).alias("file_size_kb"), F.sha2("content", 256).alias("sha256"))
+    out = wanted.mapInPandas(run, IMAGE_RESULT)
+    if adaptive_qc:
+        out = out.persist(StorageLevel.MEMORY_AND_DISK)
     t = thresholds
     ok = F.col("loaded")
     flags = [
@@ -113,7 +122,50 @@ def analyze_files(files: DataFrame, thresholds: QCThresholds = QCThresholds(), *
         F.when(ok & F.col("error").isNotNull(), "SEGMENTATION_WARNING"),
     ]
     out = out.withColumn("flags", F.array_join(F.array_compact(F.array(*flags)), "; ")).drop("loaded")
-    return (adaptive_dataset_qc(out) if adaptive_qc else out).orderBy("path")
+    if not adaptive_qc:
+        return out.orderBy("path")
+    if not exclude_failed:
+        return adaptive_dataset_qc(out).orderBy("path")
+    # Files that failed to load have no measurements: they neither move the medians nor are judged by them.
+    failed = out.where(F.col("flags").contains("FAILED_TO_LOAD"))
+    return adaptive_dataset_qc(out.where(~F.col("flags").contains("FAILED_TO_LOAD"))).unionByName(failed, allowMissingColumns=True).orderBy("path")
+
+
+@dataclass(frozen=True)
+class BatchConfig:
+    """How a batch of files is analysed: files to a task, the segmenter by name, and whether a file's error ends the batch."""
+
+    files_per_task: int = 64
+    cell_method: str = "threshold"
+    adaptive_qc: bool = True
+    adaptive_threshold: bool = False
+    fail_fast: bool = False
+
+    def validate(self) -> None:
+        if self.files_per_task < 1:
+            raise ValueError("files_per_task must be at least 1")
+        if self.cell_method not in available_backends():
+            raise ValueError(f"cell_method must be one of {', '.join(available_backends())}")
+
+
+def analyze_batch(spark: SparkSession, paths: list[str], config: BatchConfig = BatchConfig(), thresholds: QCThresholds = QCThresholds()) -> DataFrame:
+    """Analyse paths in parallel.  With ``fail_fast`` the first file that can't be read raises when rows are computed."""
+    config.validate()
+    files = spark.read.format("binaryFile").load(paths)
+    files = files.repartition(max(1, -(-len(paths) // config.files_per_task)))
+    segmenter = None if config.cell_method == "threshold" else get_backend(config.cell_method)
+    out = analyze_files(files, thresholds, segmenter=segmenter, adaptive_threshold=config.adaptive_threshold, adaptive_qc=config.adaptive_qc)
+    if config.fail_fast:
+        failed = F.raise_error(F.concat(F.lit("failed to load "), F.col("path"), F.lit(": "), F.coalesce("error", F.lit(""))))
+        out = out.withColumn("error", F.when(F.col("flags").contains("FAILED_TO_LOAD"), failed.cast("string")).otherwise(F.col("error")))
+    return out
+
+
+def progress(spark: SparkSession) -> dict[str, int]:
+    """Tasks done, running and in all of the session's active stages."""
+    status = spark.sparkContext.statusTracker()
+    stages = [s for s in map(status.getStageInfo, status.getActiveStageIds()) if s]
+    return {"done": sum(s.numCompletedTasks for s in stages), "running": sum(s.numActiveTasks for s in stages), "tasks": sum(s.numTasks for s in stages)}
 
 
 def analyze_folder(spark: SparkSession, folder: str, thresholds: QCThresholds = QCThresholds(), **options: object) -> DataFrame:

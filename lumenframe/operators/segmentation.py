@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +55,20 @@ class CellposeSegmenter:
     """Optional neural backend; the model is loaded once per Python worker, on first use."""
 
     model_type: str = "cyto"
-    gpu: bool = False
+    gpu: bool | str = False  # "auto": where the executor sees a device
 
     @property
     def name(self) -> str:
-        return f"cellpose:{self.model_type}:{'gpu' if self.gpu else 'cpu'}"
+        return f"cellpose:{self.model_type}:{'auto' if self.gpu == 'auto' else 'gpu' if self.gpu else 'cpu'}"
+
+    def on_gpu(self) -> bool:
+        if self.gpu != "auto":
+            return bool(self.gpu)
+        try:
+            from torch import cuda
+        except ImportError:
+            return False
+        return bool(cuda.is_available())
 
     def segment(self, gray: np.ndarray) -> np.ndarray:
         try:
@@ -67,7 +77,7 @@ class CellposeSegmenter:
             raise RuntimeError("the cellpose package is not installed") from e
         if self not in _MODELS:
             kind = getattr(models, "CellposeModel", None) or models.Cellpose
-            _MODELS[self] = kind(gpu=self.gpu, model_type=self.model_type)
+            _MODELS[self] = kind(gpu=self.on_gpu(), model_type=self.model_type)
         return np.asarray(_MODELS[self].eval(gray)[0], np.int32)
 
 
@@ -130,8 +140,15 @@ def label_pixels(segmented: DataFrame, key: str) -> DataFrame:
 
 
 def compare_backends(images: DataFrame, key: str, backends: list[Segmenter], *, min_agreement: float = 0.6) -> DataFrame:
-    """Run every backend on every image and reach a consensus per image."""
-    return ensemble_agreement(label_pixels(segment_images(images, key, backends).where("error IS NULL"), key), [key], min_agreement=min_agreement)
+    """Run every backend on every image and reach a consensus per image.
+
+    An image that no backend could segment is a row whose ``warning`` has the errors; so is one without pixels."""
+    runs = segment_images(images, key, backends).persist(StorageLevel.MEMORY_AND_DISK)  # segmented once, looked at twice
+    agreed = ensemble_agreement(label_pixels(runs.where("error IS NULL"), key), [key], min_agreement=min_agreement)
+    errors = runs.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "member", "error"))), "; ").alias("__errors"), F.count_if(F.col("error").isNull()).alias("__done"))
+    out = images.select(key).join(agreed, key, "left").join(errors, key, "left")
+    none = F.coalesce(F.col("__done") == 0, F.lit(True))
+    return out.withColumn("warning", F.when(none, F.concat(F.lit("no backend segmented the image: "), F.coalesce("__errors", F.lit("no data")))).otherwise(F.col("warning"))).drop("__errors", "__done")
 
 
 def threshold_ensemble(images: DataFrame, key: str, *, min_area: int = 15, max_area_frac: float = 0.25) -> DataFrame:

@@ -33,7 +33,7 @@ def summarize_tracks(tracks: DataFrame, *, axes: tuple[str, ...] = ("x", "y"), p
 
 
 def overlap_map(labels: DataFrame, *, min_overlap: float = 0.2, keys: list[str] = []) -> DataFrame:
-    """(frame, previous, current, forward, backward) of labels of consecutive frames that overlap enough.
+    """(frame, previous, current, forward, backward) of labels of consecutive frames, at least ``min_overlap`` of either.
 
     ``labels`` is long: keys, frame, y, x (and z), label > 0.  Overlap is a pixel equi-join of frame - 1 with frame."""
     where = [c for c in ("z", "y", "x") if c in labels.columns]
@@ -45,7 +45,8 @@ def overlap_map(labels: DataFrame, *, min_overlap: float = 0.2, keys: list[str]
     old = size.select(*keys, (F.col("frame") + 1).alias("frame"), F.col("label").alias("previous"), F.col("size").alias("old_size"))
     new = size.select(*keys, "frame", F.col("label").alias("current"), F.col("size").alias("new_size"))
     out = pairs.join(old, [*keys, "frame", "previous"]).join(new, [*keys, "frame", "current"])
-    return out.select(*keys, "frame", "previous", "current", (F.col("shared") / F.col("old_size")).alias("forward"), (F.col("shared") / F.col("new_size")).alias("backward"))
+    out = out.select(*keys, "frame", "previous", "current", (F.col("shared") / F.col("old_size")).alias("forward"), (F.col("shared") / F.col("new_size")).alias("backward"))
+    return out.where(F.greatest("forward", "backward") >= min_overlap)
 
 
 def detect_events(labels: DataFrame, *, min_overlap: float = 0.2, keys: list[str] = []) -> DataFrame:
@@ -61,7 +62,7 @@ def detect_events(labels: DataFrame, *, min_overlap: float = 0.2, keys: list[str
     seen = labels.where("label > 0").select(*keys, "frame", F.col("label").cast("int").alias("label")).distinct()
     # Only transitions: both frames of a pair are within the series.
     bounds = labels.groupBy(*keys).agg(F.min("frame").alias("__lo"), F.max("frame").alias("__hi"))
-    ranged = seen.join(F.broadcast(bounds), keys) if keys else seen.crossJoin(F.broadcast(bounds))
+    ranged = seen.join(bounds, keys) if keys else seen.crossJoin(F.broadcast(bounds))  # without keys, one row
     fresh = ranged.where("frame > __lo").select(*keys, "frame", F.col("label").alias("child_label"))
     gone = ranged.where("frame < __hi").select(*keys, (F.col("frame") + 1).alias("frame"), F.col("label").alias("parent_label"))
     born = fresh.join(parents, [*keys, "frame", "child_label"], "left_anti").select("*", F.lit("appearance").alias("event"), F.lit(0).alias("degree"))
@@ -77,16 +78,15 @@ def classify_divisions(events: DataFrame, *, min_children: int = 2) -> DataFrame
 
 
 def lineage_table(tracks: DataFrame, events: DataFrame | None = None, *, keys: list[str] = []) -> DataFrame:
-    """Observation nodes; children of a split get the parent's track (the last event wins)."""
+    """Observation nodes; children of a split get the parent's track (of several, that of the largest parent label)."""
     require(tracks, *keys, "track_id", "frame", "label")
     nodes = tracks.select(*keys, "track_id", "frame", "label")
     if events is None:
         return nodes.select("*", F.lit(None).cast("long").alias("parent_track_id"), F.lit("observation").alias("relationship"))
-    order = F.monotonically_increasing_id()
-    kids = events.where("event = 'split'").select(*keys, "frame", "parent_label", F.explode("child_labels").alias("label"), order.alias("__order"))
+    kids = events.where("event = 'split'").select(*keys, "frame", "parent_label", F.explode("child_labels").alias("label"))
     parent = nodes.groupBy(*keys, (F.col("frame") + 1).alias("frame"), F.col("label").alias("parent_label")).agg(F.min("track_id").cast("long").alias("parent_track_id"))
     named = kids.join(parent, [*keys, "frame", "parent_label"])
-    last = named.groupBy(*keys, "frame", "label").agg(F.max_by("parent_track_id", "__order").alias("parent_track_id"))
+    last = named.groupBy(*keys, "frame", "label").agg(F.max_by("parent_track_id", F.struct("parent_label", "parent_track_id")).alias("parent_track_id"))
     out = nodes.join(last, [*keys, "frame", "label"], "left")
     return out.select(*keys, "track_id", "frame", "label", "parent_track_id", F.when(F.col("parent_track_id").isNotNull(), "division_child").otherwise("observation").alias("relationship"))
 

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import gates, groups, normalization, pixels, reporting, tracking, tracks
+from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
+from lumenframe.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,9 +107,12 @@ def cohens_d(spark, sf_dir):
     return normalization.effect_size(views.wells(spark, sf_dir), "quantity", F.expr("quantity <= 5"), F.expr("quantity >= 46"))
 
 
-@query(f"WITH {WELLS_SQL}, {_AB}, z AS (SELECT 1 - 3 * (sqrt(va) + sqrt(vb)) / abs(mb - ma) AS z FROM ab) SELECT {r('z AS z_prime')}, CASE WHEN z >= 0.5 THEN 'PASS' WHEN z >= 0 THEN 'MARGINAL' ELSE 'FAIL' END AS status FROM z")
+@query(
+    f"""WITH {WELLS_SQL}, {_AB}, z AS (SELECT 1 - 3 * (sqrt(va) + sqrt(vb)) / abs(mb - ma) AS z FROM ab) SELECT {r('z AS z_prime')}, CASE WHEN z >= 0.5 THEN 'PASS' WHEN z >= 0 THEN 'MARGINAL' ELSE 'FAIL' END AS status,
+    printf('Z-prime %.4f: excellent >= %.2f, marginal >= %.2f', z, 0.5::DOUBLE, 0::DOUBLE) AS reason, 0.5::DOUBLE AS excellent_threshold, 0::DOUBLE AS marginal_threshold FROM z"""
+)
 def assay_decision(spark, sf_dir):
-    return normalization.assay_qc_decision(z_prime(spark, sf_dir)).select("z_prime", "status")
+    return normalization.assay_qc_decision(z_prime(spark, sf_dir))
 
 
 @query(f"WITH {WELLS_SQL}, m AS (SELECT well_row, median(quantity) AS m, count(*) AS n FROM wells GROUP BY 1), d AS (SELECT well_row, median(abs(quantity - m)) AS d FROM wells JOIN m USING (well_row) GROUP BY 1) SELECT well_row, n, {r('m AS median', 'd AS mad', '1.4826 * d / abs(m) AS robust_cv')} FROM m JOIN d USING (well_row)")
@@ -241,24 +247,44 @@ def phenotype_summary(spark, sf_dir):
 # -- gates, manifests, reports -----------------------------------------------------------------------------------------
 
 
+def _reasons(given: dict[str, str], none: str) -> str:
+    """SQL of the reasons whose conditions hold."""
+    text = ", ".join(f"CASE WHEN {condition} THEN '{reason}' END" for reason, condition in given.items())
+    return f"coalesce(nullif(concat_ws('; ', {text}), ''), '{none}')"
+
+
+_A = gates.ACCEPTANCE_REASONS
+_QUALITY = "CASE WHEN n_chars % 50 = 0 THEN CAST('NaN' AS DOUBLE) WHEN n_chars % 53 = 0 THEN NULL ELSE CAST(n_chars % 101 AS DOUBLE) END"
+_FAILED = {_A["quality"]: "NOT bad AND quality < 70", _A["border"]: "NOT bad AND border > 0.35", _A["tiny"]: "NOT bad AND tiny > 0.5", _A["merged"]: "NOT bad AND merged > 0.25", _A["agreement"]: "NOT bad AND agreement < 0.6", _A["invalid"]: "bad"}
+
+
 @query(
-    f"""WITH q AS (SELECT doc_id, CAST(n_chars % 101 AS DOUBLE) AS quality_score, n_chars % 10 / 10.0 AS border_fraction, n_chars % 7 / 7.0 AS tiny, n_chars % 3 / 3.0 AS merged FROM documents),
-    f AS (SELECT *, CAST(quality_score < 70 AS INT) + CAST(border_fraction > 0.35 AS INT) + CAST(tiny > 0.5 AS INT) + CAST(merged > 0.25 AS INT) AS failed FROM q)
-    SELECT doc_id, CASE WHEN quality_score < 70 OR failed >= 3 THEN 'FAIL' WHEN failed > 0 THEN 'REVIEW' ELSE 'PASS' END AS acceptance_status, {r('greatest(0.0, least(100.0, quality_score - 10 * failed)) AS acceptance_score')} FROM f"""
+    f"""WITH q AS (SELECT doc_id, {_QUALITY} AS quality, n_chars % 10 / 10.0::DOUBLE AS border, n_chars % 7 / 7.0::DOUBLE AS tiny, n_chars % 3 / 3.0::DOUBLE AS merged, n_chars % 9 / 9.0::DOUBLE AS agreement FROM documents),
+    b AS (SELECT *, quality IS NULL OR isnan(quality) AS bad FROM q),
+    f AS (SELECT *, CAST(quality < 70 AS INT) + CAST(border > 0.35 AS INT) + CAST(tiny > 0.5 AS INT) + CAST(merged > 0.25 AS INT) + CAST(agreement < 0.6 AS INT) AS failed FROM b)
+    SELECT doc_id, CASE WHEN bad OR quality < 70 OR failed >= 3 THEN 'FAIL' WHEN failed > 0 THEN 'REVIEW' ELSE 'PASS' END AS acceptance_status,
+      CASE WHEN bad THEN 0 ELSE {r('greatest(0.0, least(100.0, quality - 10 * failed)) AS s').removesuffix(' AS s')} END AS acceptance_score, {_reasons(_FAILED, _A['none'])} AS acceptance_reasons FROM f"""
 )
 def segmentation_acceptance(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents")
     n = F.col("n_chars")
-    rows = d.select("doc_id", (n % 101).cast("double").alias("quality_score"), (n % 10 / 10).alias("border_fraction"), (n % 7 / 7).alias("tiny_object_fraction"), (n % 3 / 3).alias("merged_object_fraction"))
-    return gates.segmentation_acceptance(rows).select("doc_id", "acceptance_status", "acceptance_score")
+    rows = views.table(spark, sf_dir, "documents").select(
+        "doc_id", F.expr(_QUALITY).alias("quality_score"), (n % 10 / 10).alias("border_fraction"), (n % 7 / 7).alias("tiny_object_fraction"), (n % 3 / 3).alias("merged_object_fraction"), (n % 9 / 9).alias("agreement_fraction")
+    )
+    return gates.segmentation_acceptance(rows, on_invalid="fail").select("doc_id", "acceptance_status", "acceptance_score", "acceptance_reasons")
+
+
+_G = gates.GATE_REASONS
+_STATES = {_G["invalid"]: "bad", _G["artifact FAIL"]: "sa = 'FAIL'", _G["artifact REVIEW"]: "sa = 'REVIEW'", _G["segmentation FAIL"]: "sb = 'FAIL'", _G["segmentation REVIEW"]: "sb = 'REVIEW'"}
+_SCORES = "CASE WHEN n_chars % 50 = 0 THEN CAST('NaN' AS DOUBLE) WHEN n_chars % 53 = 0 THEN NULL ELSE CAST(n_chars % 103 AS DOUBLE) END AS a, CAST(n_chars % 97 AS DOUBLE) AS b, CASE n_chars % 11 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'REVIEW' WHEN 2 THEN 'PASS' END AS sa, CASE n_chars % 13 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'REVIEW' ELSE 'PASS' END AS sb"
 
 
 @query(
-    f"""WITH q AS (SELECT doc_id, n_chars % 101 AS a, n_chars % 97 AS b FROM documents) SELECT doc_id, {r('CAST(least(a, b) AS DOUBLE) AS gate_score')}, CASE WHEN least(a, b) < 70 THEN 'FAIL' WHEN least(a, b) < 85 THEN 'REVIEW' ELSE 'PASS' END AS gate_status FROM q"""
+    f"""WITH q AS (SELECT doc_id, {_SCORES} FROM documents), g AS (SELECT *, a IS NULL OR isnan(a) OR a > 100 AS bad, least(a, b) AS s FROM q)
+    SELECT doc_id, CASE WHEN NOT bad THEN s END AS gate_score, CASE WHEN bad OR sa = 'FAIL' OR sb = 'FAIL' OR s < 70 THEN 'FAIL' WHEN sa = 'REVIEW' OR sb = 'REVIEW' OR s < 85 THEN 'REVIEW' ELSE 'PASS' END AS gate_status, {_reasons(_STATES, _G['none'])} AS gate_reasons FROM g"""
 )
 def quality_gate(spark, sf_dir):
-    d = views.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 101).alias("artifact_score"), (F.col("n_chars") % 97).alias("segmentation_score"))
-    return gates.experiment_quality_gate(d).select("doc_id", "gate_score", "gate_status")
+    d = views.table(spark, sf_dir, "documents").selectExpr("doc_id", *_SCORES.replace(", CAST(", "|CAST(").replace(", CASE n", "|CASE n").split("|"))
+    return gates.experiment_quality_gate(d, "a", "b", artifact_status="sa", segmentation_status="sb", on_invalid="fail").select("doc_id", "gate_score", "gate_status", "gate_reasons")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -493,13 +519,25 @@ def _series(spark, sf_dir):
 
 @query(
     f"""WITH {_SERIES}, s AS (SELECT series, frame, label, count(*) AS n FROM ser GROUP BY ALL), p AS (SELECT b.series, b.frame, a.label AS previous, b.label AS current, count(*) AS k FROM ser a JOIN ser b ON a.series = b.series AND a.frame + 1 = b.frame AND a.y = b.y AND a.x = b.x GROUP BY ALL)
-    SELECT p.series, p.frame, previous, current, {r('k / o.n AS forward', 'k / c.n AS backward')} FROM p JOIN s o ON o.series = p.series AND o.frame + 1 = p.frame AND o.label = previous JOIN s c ON c.series = p.series AND c.frame = p.frame AND c.label = current"""
+    SELECT p.series, p.frame, previous, current, {r('k / o.n AS forward', 'k / c.n AS backward')} FROM p JOIN s o ON o.series = p.series AND o.frame + 1 = p.frame AND o.label = previous JOIN s c ON c.series = p.series AND c.frame = p.frame AND c.label = current WHERE greatest(k / o.n, k / c.n) >= 0.2"""
 )
 def mask_overlap(spark, sf_dir):
     return tracks.overlap_map(_series(spark, sf_dir), keys=["series"])
 
 
-@query()
+_EVENTS = f"""{_SERIES}, s AS (SELECT series, frame, label, count(*) AS n FROM ser GROUP BY ALL),
+  p AS (SELECT b.series, b.frame, a.label AS previous, b.label AS current, count(*) AS k FROM ser a JOIN ser b ON a.series = b.series AND a.frame + 1 = b.frame AND a.y = b.y AND a.x = b.x GROUP BY ALL),
+  o AS (SELECT p.series, p.frame, previous, current, k / o.n AS forward, k / c.n AS backward FROM p JOIN s o ON o.series = p.series AND o.frame + 1 = p.frame AND o.label = previous JOIN s c ON c.series = p.series AND c.frame = p.frame AND c.label = current),
+  kids AS (SELECT series, frame, previous AS parent_label, list_sort(list(current)) AS l FROM o WHERE forward >= 0.2 GROUP BY 1, 2, 3), pars AS (SELECT series, frame, current AS child_label, list_sort(list(previous)) AS l FROM o WHERE backward >= 0.2 GROUP BY 1, 2, 3),
+  lim AS (SELECT series, min(frame) AS lo, max(frame) AS hi FROM ser GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_EVENTS} SELECT series, frame, 'split' AS event, len(l)::INT AS degree, parent_label, array_to_string(l, ',') AS child_labels, NULL AS parent_labels, NULL::INT AS child_label FROM kids WHERE len(l) >= 2
+    UNION ALL SELECT series, frame, 'merge', len(l)::INT, NULL, NULL, array_to_string(l, ','), child_label FROM pars WHERE len(l) >= 2
+    UNION ALL SELECT s.series, s.frame, 'appearance', 0, NULL, NULL, NULL, label FROM s JOIN lim USING (series) WHERE s.frame > lo AND NOT EXISTS (SELECT 1 FROM pars q WHERE q.series = s.series AND q.frame = s.frame AND q.child_label = s.label)
+    UNION ALL SELECT s.series, s.frame + 1, 'disappearance', 0, label, NULL, NULL, NULL FROM s JOIN lim USING (series) WHERE s.frame < hi AND NOT EXISTS (SELECT 1 FROM kids q WHERE q.series = s.series AND q.frame = s.frame + 1 AND q.parent_label = s.label)"""
+)
 def mask_overlap_events(spark, sf_dir):
     out = tracks.detect_events(_series(spark, sf_dir), keys=["series"])
     return out.withColumn("child_labels", F.array_join(F.col("child_labels").cast("array<string>"), ",")).withColumn("parent_labels", F.array_join(F.col("parent_labels").cast("array<string>"), ","))
@@ -535,7 +573,12 @@ def experiment_summary(spark, sf_dir):
     return groups.summarize_experiment(views.wells(spark, sf_dir), replicate="replicate", group="condition", values=["signal", "quantity"], n_bootstrap=1000)
 
 
-@query()
+@query(
+    f"""WITH {PIXELS_SQL}, h AS (SELECT image_id, CAST(least(255, floor(v / 255 * 256)) AS INT) AS b, count(*)::DOUBLE AS n FROM px WHERE v BETWEEN 0 AND 255 GROUP BY 1, 2), c AS (SELECT *, (b + 0.5::DOUBLE) / 256 AS c FROM h),
+    w AS (SELECT *, sum(n) OVER o AS w, sum(n * c) OVER o AS m, sum(n) OVER (PARTITION BY image_id) AS ww, sum(n * c) OVER (PARTITION BY image_id) AS mm FROM c WINDOW o AS (PARTITION BY image_id ORDER BY b ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT image_id, b, c, round(CASE WHEN ww > w THEN w * (ww - w) * pow(m / w - (mm - m) / (ww - w), 2) ELSE 0 END, 9) AS s FROM w)
+    SELECT image_id, {r('c AS otsu_threshold')} FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY s DESC, b) = 1"""
+)
 def otsu_threshold(spark, sf_dir):
     return pixels.otsu_threshold(views.pixels(spark, sf_dir).withColumn("v", F.col("v") / 255), ["image_id"])
 
@@ -637,6 +680,245 @@ def lineage_summary(spark, sf_dir):
     return tracks.summarize_lineages(tracks.lineage_table(nodes)).drop("parents")
 
 
+# -- whole outputs, and operators that no query above calls ------------------------------------------------------------
+
+
+_BINS = "b AS (SELECT {k}, least(255, floor(v * 256 / 255)) AS b, count(*) AS k FROM {t} GROUP BY ALL), d AS (SELECT {k}, k / sum(k) OVER (PARTITION BY {k}) / (255.0::DOUBLE / 256) AS d FROM b), e AS (SELECT {k}, -sum(d * log2(d)) AS entropy FROM d GROUP BY ALL)"
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, {_BINS.format(k='image_id', t='px')}, g AS (SELECT image_id, abs(v - lag(v) OVER (PARTITION BY image_id, y ORDER BY x)) AS g FROM px UNION ALL SELECT image_id, abs(v - lag(v) OVER (PARTITION BY image_id, x ORDER BY y)) FROM px),
+    q AS (SELECT image_id, stddev_pop(v) AS std, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90 FROM px GROUP BY 1),
+    a AS (SELECT image_id, avg(g) AS gm, stddev_pop(g) AS gs, avg(CASE WHEN g > greatest(1.0::DOUBLE, std) THEN 1.0 ELSE 0.0 END) AS ef FROM g JOIN q USING (image_id) WHERE g IS NOT NULL GROUP BY 1)
+    SELECT image_id, {r('entropy AS entropy', 'std AS std', 'gm AS gradient_mean', 'gs AS gradient_std', 'ef AS edge_fraction', 'p10 AS p10', 'p50 AS p50', 'p90 AS p90', digits=8)} FROM e JOIN q USING (image_id) JOIN a USING (image_id)""",
+    digits=8,
+)
+def texture_features(spark, sf_dir):
+    return pixels.texture_features(views.pixels(spark, sf_dir), ["image_id"])
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, {_LABELLED}, s AS (SELECT *, coalesce((lead(v) OVER h - lag(v) OVER h) / 2, lead(v) OVER h - v, v - lag(v) OVER h, 0) AS gx, coalesce((lead(v) OVER u - lag(v) OVER u) / 2, lead(v) OVER u - v, v - lag(v) OVER u, 0) AS gy FROM lp
+      WINDOW h AS (PARTITION BY image_id, y ORDER BY x), u AS (PARTITION BY image_id, x ORDER BY y)), o AS (SELECT *, sqrt(gx * gx + gy * gy) AS g FROM s WHERE label > 0), {_BINS.format(k='image_id, label', t='o')}
+    SELECT image_id, label, {r('any_value(entropy) AS entropy', 'stddev_pop(v) AS std', 'quantile_cont(v, 0.1) AS p10', 'quantile_cont(v, 0.9) AS p90', 'avg(g) AS gradient_mean', 'stddev_pop(g) AS gradient_std', digits=4)} FROM o JOIN e USING (image_id, label) GROUP BY 1, 2""",
+    digits=4,
+)
+def object_texture_features(spark, sf_dir):
+    return pixels.object_texture_features(_labelled(spark, sf_dir), ["image_id"])
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, m AS (SELECT image_id, count(*) FILTER (v > 112 AND v > 118) AS b, count(*) FILTER (v > 112) AS p, count(*) FILTER (v > 118) AS q FROM px GROUP BY 1), n AS (SELECT *, CAST(p > 0 AS INT) AS n0, CAST(q > 0 AS INT) AS n1 FROM m)
+    SELECT image_id, {r('(n0 + n1) / 2 AS median_count', 'abs(n0 - n1) / 2 AS mad_count', 'CASE WHEN p + q - b > 0 THEN b / (p + q - b) ELSE 1 END AS agreement_fraction')}, 't112' AS chosen, CASE WHEN p + q - b > 0 AND b / (p + q - b) < 0.6 THEN 'segmentation members disagree' END AS warning, n0::BIGINT AS low_count, n1::BIGINT AS high_count FROM n"""
+)
+def ensemble_agreement(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    members = [px.select("image_id", F.lit(f"t{t}").alias("member"), F.lit(i).alias("idx"), "y", "x", (F.col("v") > t).cast("int").alias("label")) for i, t in enumerate((112, 118))]
+    out = pixels.ensemble_agreement(members[0].unionByName(members[1]), ["image_id"])
+    return out.withColumn("low_count", F.col("member_counts")["t112"]).withColumn("high_count", F.col("member_counts")["t118"]).drop("member_counts")
+
+
+@query(
+    f"""WITH m AS (SELECT l_discount AS a, l_tax AS b, l_discount / 10 AS c, l_tax * 2 AS d, l_quantity / 1000 AS e FROM lineitem) SELECT count(*) AS n,
+    {r('avg(greatest(0.0, least(100.0, 100 - least(25.0, a * 50) - least(25.0, b * 50) - least(15.0, c * 300) - least(15.0, d * 100) - least(15.0, e * 100)))) AS burden')} FROM m"""
+)
+def artifact_burden_all(spark, sf_dir):
+    m = views.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_discount AS low_clip_fraction", "l_tax AS high_clip_fraction", "l_discount / 10 AS hot_pixel_fraction", "l_tax * 2 AS horizontal_gradient_cv", "l_quantity / 1000 AS vertical_gradient_cv"
+    )
+    return gates.artifact_burden_score(m).agg(F.count("*").alias("n"), F.avg("artifact_burden_score").alias("burden"))
+
+
+@query(f"WITH {_VOXELS} SELECT image_id, y, x, {r('trunc(avg(label * 7)) AS v')} FROM vx GROUP BY ALL")
+def project_z_mean(spark, sf_dir):
+    return pixels.project_z(_voxels(spark, sf_dir).withColumn("v", F.col("label") * 7.0), ["image_id"], "mean", integer=True)
+
+
+@query(f"WITH {_VOXELS} SELECT image_id, y, x, {r('median(label * 7) AS v')} FROM vx GROUP BY ALL")
+def project_z_median(spark, sf_dir):
+    return pixels.project_z(_voxels(spark, sf_dir).withColumn("v", F.col("label") * 7.0), ["image_id"], "median")
+
+
+@query(f"WITH {_VOXELS} SELECT image_id, y, x, label FROM vx WHERE z = 2")
+def select_plane(spark, sf_dir):
+    return pixels.select_plane(_voxels(spark, sf_dir), "z", 2)
+
+
+@query(f"WITH {PIXELS_SQL} SELECT image_id, CAST(y // 3 AS INT) AS chunk, count(*) AS n, {r('sum(v) AS total', digits=4)} FROM px GROUP BY 1, 2", digits=4)
+def chunk_ids(spark, sf_dir):
+    return pixels.chunk_ids(views.pixels(spark, sf_dir), "y", 3).groupBy("image_id", "chunk").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"WITH {_CENTRES}, {_NEAR} SELECT image_id, label, {r('d AS nearest_neighbor_distance', 'cx / 8 AS normalized_x', 'cy / 8 AS normalized_y', 'count(*) OVER (PARTITION BY image_id) / (64.0::DOUBLE / 100000) AS local_density_per_100k_px', digits=4)} FROM n JOIN o USING (image_id, label)", digits=4)
+def spatial_features(spark, sf_dir):
+    objects = pixels.object_features(_labelled(spark, sf_dir), ["image_id"])
+    out = pixels.add_spatial_features(objects, ["image_id"], height=8, width=8)
+    return out.select("image_id", "label", "nearest_neighbor_distance", "normalized_x", "normalized_y", "local_density_per_100k_px")
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, {_LABELLED}, o AS (SELECT image_id, label, count(*) AS area, min(x) = 0 OR min(y) = 0 OR max(x) = 7 OR max(y) = 7 AS edge FROM lp WHERE label > 0 GROUP BY 1, 2),
+    s AS (SELECT image_id, count(*) AS n, sum(area) AS fg, median(area) AS med, coalesce(stddev_samp(area) / avg(area), 0) AS cv, avg(edge::INT) AS border, avg((area < 6)::INT) AS tiny, avg((area > 8)::INT) AS merged FROM o GROUP BY 1)
+    SELECT image_id, coalesce(n, 0) AS object_count, {r('coalesce(fg / 64, 0) AS foreground_fraction', 'coalesce(med, 0) AS median_area', 'coalesce(cv, 0) AS area_cv', 'coalesce(border, 0) AS border_fraction', 'coalesce(tiny, 1) AS tiny_object_fraction', 'coalesce(merged, 0) AS merged_object_fraction', 'coalesce(greatest(0, 100 - least(45, 30 * border) - least(30, 30 * tiny) - least(25, 25 * merged)), 0) AS quality_score')}
+    FROM (SELECT DISTINCT image_id FROM px) LEFT JOIN s USING (image_id)"""
+)
+def segmentation_diagnostics(spark, sf_dir):
+    px = _labelled(spark, sf_dir)
+    images = px.select("image_id").distinct().withColumn("height", F.lit(8)).withColumn("width", F.lit(8))
+    return pixels.segmentation_diagnostics(pixels.object_features(px, ["image_id"]), images, ["image_id"], min_area=3)
+
+
+_BOX = "y < 2 + image_id % 6 AND x < 2 + image_id % 5"
+
+
+@query(f"WITH {PIXELS_SQL}, b AS (SELECT image_id, 2 + image_id % 6 AS h, 2 + image_id % 5 AS w FROM px GROUP BY 1) SELECT image_id, 1 AS label, {r('2.0 * (h + w - 2) AS perimeter', 'least(1, 4 * pi() * h * w / pow(2 * (h + w - 2), 2)) AS circularity')} FROM b")
+def object_shapes(spark, sf_dir):
+    return pixels.object_shapes(views.pixels(spark, sf_dir).withColumn("label", F.expr(_BOX).cast("int")), ["image_id"])
+
+
+@query(f"WITH {_VOXELS}, l AS (SELECT image_id, label, count(*) AS volume FROM vx WHERE label = 2 AND image_id % 3 > 0 GROUP BY 1, 2), i AS (SELECT DISTINCT image_id FROM vx) SELECT image_id, count(volume) AS object_count, {r('coalesce(sum(volume), 0) AS total_volume', 'avg(volume) AS mean_volume', 'median(volume) AS median_volume', 'coalesce(sum(volume), 0) / 64 AS volume_fraction', 'count(volume) / (64 / 1e9) AS density_per_mm3')} FROM i LEFT JOIN l USING (image_id) GROUP BY 1")
+def volume_summary_with_empty(spark, sf_dir):
+    vx = pixels.validate_labels(_voxels(spark, sf_dir))
+    features = pixels.volume_features(vx.where("label = 2 AND image_id % 3 > 0"), ["image_id"])
+    return pixels.summarize_volume(features, 64, ["image_id"], volumes=vx)
+
+
+@query(
+    f"""WITH {TRACKS_SQL}, s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(event_id % 7 - lag(event_id % 7) OVER w, 2)) AS step FROM tr WINDOW w AS (PARTITION BY track_id ORDER BY frame))
+    SELECT track_id, count(*) AS n_frames, {r('coalesce(sum(step), 0) AS path_length', 'coalesce(max(step), 0) AS max_step', 'coalesce(avg(step), 0) / 2 AS mean_speed', '(max(frame) - min(frame)) * 2 AS duration')} FROM s GROUP BY 1"""
+)
+def summarize_tracks_3d(spark, sf_dir):
+    rows = views.tracks(spark, sf_dir).withColumn("z", (F.col("event_id") % 7).cast("double"))
+    out = tracks.summarize_tracks(rows, axes=("x", "y", "z"), frame_interval=2.0)
+    return out.select("track_id", "n_frames", "path_length", "max_step", "mean_speed", F.col("duration").cast("double").alias("duration"))
+
+
+@query(f"SELECT event_id, 'split' AS event, CAST(event_id % 3 + 1 AS INT) AS degree, event_id % 3 + 1 >= 2 AS is_division FROM events WHERE {_KINDS} = 'split'")
+def classify_divisions(spark, sf_dir):
+    return tracks.classify_divisions(_kinds(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_NODES}, s AS (SELECT frame, label AS parent_label, unnest([label + 1, label + 2]) AS label FROM (SELECT frame + 1 AS frame, label FROM nodes WHERE label % 3 <> 0)), p AS (SELECT s.frame, s.label, arg_max(n.track_id, s.parent_label) AS parent_track_id FROM s JOIN nodes n ON n.frame + 1 = s.frame AND n.label = s.parent_label GROUP BY 1, 2)
+    SELECT track_id, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n_frames, max(frame) - min(frame) + 1 AS duration, count(parent_track_id) > 0 AS is_child,
+      coalesce(array_to_string(list_sort(list(DISTINCT parent_track_id) FILTER (parent_track_id IS NOT NULL)), ','), '') AS parents FROM nodes LEFT JOIN p USING (frame, label) GROUP BY 1"""
+)
+def lineage_children(spark, sf_dir):
+    nodes = views.tracks(spark, sf_dir).select("track_id", "frame", F.col("track_id").cast("int").alias("label"))
+    splits = nodes.where("label % 3 <> 0").select((F.col("frame") + 1).alias("frame"), F.lit("split").alias("event"), F.col("label").alias("parent_label"), F.array(F.col("label") + 1, F.col("label") + 2).alias("child_labels"))
+    return tracks.summarize_lineages(tracks.lineage_table(nodes, splits)).withColumn("parents", F.array_join(F.col("parents").cast("array<string>"), ","))
+
+
+@query(rf"""WITH {_NAMES} SELECT c_custkey, regexp_extract(filename, '_([A-H][0-9][0-9])_', 1) AS well, CAST(regexp_extract(filename, '_t([0-9]+)', 1) AS INT) AS timepoint, 'b7' AS batch, 3 AS round FROM n""")
+def annotate_results(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer")
+    well = F.concat(F.expr("chr(65 + CAST(c_custkey % 8 AS INT))"), F.lpad((1 + F.col("c_custkey") % 12).cast("string"), 2, "0"))
+    name = F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string"), F.lit("_"), well, F.lit("_t"), (F.col("c_custkey") % 10).cast("string"), F.lit(".png"))
+    return groups.annotate_results(c.select("c_custkey", name.alias("filename")), metadata={"batch": "b7", "round": 3}).select("c_custkey", "well", "timepoint", "batch", "round")
+
+
+_TWO = "q AS (SELECT condition, replicate, avg(signal) AS m FROM wells GROUP BY 1, 2), ab2 AS (SELECT count(*) FILTER (condition = 'A') AS na, count(*) FILTER (condition = 'R') AS nb, avg(m) FILTER (condition = 'A') AS ma, avg(m) FILTER (condition = 'R') AS mb, var_samp(m) FILTER (condition = 'A') AS va, var_samp(m) FILTER (condition = 'R') AS vb FROM q)"
+_EFFECT = r("ma AS mean_a", "mb AS mean_b", "ma - mb AS difference", "(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS effect_size", digits=4)
+
+
+@query(f"WITH {WELLS_SQL}, {_TWO} SELECT na AS n_a, nb AS n_b, {_EFFECT} FROM ab2", digits=4)
+def replicate_effect_means(spark, sf_dir):
+    out = groups.replicate_effect_summary(views.wells(spark, sf_dir), "signal", "condition", "A", "R", n_bootstrap=100, n_permutations=100)
+    return out.select("n_a", "n_b", "mean_a", "mean_b", "difference", "effect_size")
+
+
+@query(f"WITH {WELLS_SQL}, {_TWO} SELECT na AS n_a, nb AS n_b, {_EFFECT}, true AS p_in_range FROM ab2", digits=4)
+def compare_two_groups(spark, sf_dir):
+    means = views.wells(spark, sf_dir).groupBy("condition", "replicate").agg(F.avg("signal").alias("m"))
+    out = groups.compare_two_groups(means, "m", "condition", "A", "R", n_permutations=200)
+    return out.select("n_a", "n_b", "mean_a", "mean_b", "difference", "effect_size", F.col("p_value").between(1 / 201, 1).alias("p_in_range"))
+
+
+@query(f"WITH {WELLS_SQL}, q AS (SELECT condition, replicate, avg(signal) AS signal, avg(quantity) AS quantity FROM wells GROUP BY 1, 2), u AS (SELECT condition, 'signal' AS value_column, signal AS m FROM q UNION ALL SELECT condition, 'quantity', quantity FROM q) SELECT condition, value_column, count(m) AS n_replicates, {r('avg(m) AS mean', digits=4)}, true AS ordered FROM u GROUP BY 1, 2", digits=4)
+def experiment_means(spark, sf_dir):
+    out = groups.summarize_experiment(views.wells(spark, sf_dir), replicate="replicate", group="condition", values=["signal", "quantity"], n_bootstrap=200)
+    return out.select("condition", "value_column", "n_replicates", "mean", F.expr("ci_low <= mean AND mean <= ci_high").alias("ordered"))
+
+
+@query(f"WITH p AS (SELECT ps_partkey % 3 AS g, ps_partkey, ps_suppkey, ps_p FROM (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, l_extendedprice % 1000 / 1000 AS ps_p, l_orderkey, l_linenumber FROM lineitem)), k AS (SELECT g, ps_p, count(*) AS n FROM p GROUP BY 1, 2), c AS (SELECT g, ps_p, n, sum(n) OVER (PARTITION BY g ORDER BY ps_p) AS rank, sum(n) OVER (PARTITION BY g) AS total FROM k), q AS (SELECT g, ps_p, n, least(1.0, min(ps_p * total / rank) OVER (PARTITION BY g ORDER BY ps_p DESC ROWS UNBOUNDED PRECEDING)) AS q FROM c) SELECT g, CAST(sum(n) AS BIGINT) AS n, {r('sum(q * n) AS total_q', 'min(q) AS min_q', 'max(q) AS max_q', digits=3)} FROM q GROUP BY 1", digits=3)
+def benjamini_hochberg_keys(spark, sf_dir):
+    p = views.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 3).alias("g"), (F.col("l_extendedprice") % 1000 / 1000).alias("p"))
+    return groups.benjamini_hochberg(p, keys=["g"]).groupBy("g").agg(F.count("q").alias("n"), F.sum("q").alias("total_q"), F.min("q").alias("min_q"), F.max("q").alias("max_q"))
+
+
+@query(f"SELECT count(*) AS operations, {r('sum(value) AS elapsed_seconds', digits=4)}, CAST(sum(event_id % 5) AS BIGINT) AS items, count(*) FILTER (event_id % 9 = 0) AS failures, {r('sum(event_id % 5) / sum(value) AS items_per_second', digits=4)} FROM events", digits=4)
+def profile_summary(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("value").alias("elapsed_seconds"), (F.col("event_id") % 5).alias("items"), F.when(F.col("event_id") % 9 == 0, "x").alias("error"))
+    return reporting.summarize_profile(e)
+
+
+_SCORED_PAIRS = ("iou", "dice", "precision", "recall")
+
+
+@query(f"WITH {PIXELS_SQL}, c AS (SELECT image_id, count(*) FILTER (v > 112 AND v > 110) AS tp, count(*) FILTER (v > 112) AS p, count(*) FILTER (v > 110) AS t FROM px GROUP BY 1) SELECT count(*) AS pairs, {r('avg(CASE WHEN p + t - tp > 0 THEN tp / (p + t - tp) ELSE 1 END) AS iou_mean', 'avg(CASE WHEN p + t > 0 THEN 2 * tp / (p + t) ELSE 1 END) AS dice_mean', 'avg(CASE WHEN p > 0 THEN tp / p ELSE 1 END) AS precision_mean', 'avg(CASE WHEN t > 0 THEN tp / t ELSE 1 END) AS recall_mean')} FROM c")
+def benchmark_segmentation(spark, sf_dir):
+    px = views.pixels(spark, sf_dir)
+    pred, truth = (px.select("image_id", "y", "x", (F.col("v") > t).cast("int").alias("label")) for t in (112, 110))
+    paired = validation.paired_segmentation_metrics(pred, truth, "image_id", max_distance=3.0)
+    return validation.benchmark_segmentation(paired).select("pairs", *[f"{m}_mean" for m in _SCORED_PAIRS])
+
+
+def _packed(spark, sf_dir, kind: str) -> DataFrame:
+    """8 x 8 images as packed rows: image_id, shape, dtype, data."""
+
+    def pack(frames):
+        for frame in frames:
+            arrays = [(np.array(e, np.float64) * 100 + 100).clip(0, 255).astype(kind) for e in frame["embedding"]]
+            yield pd.DataFrame({"image_id": frame["vec_id"], "shape": [[8, 8]] * len(arrays), "dtype": [str(np.dtype(kind))] * len(arrays), "data": [a.tobytes() for a in arrays]})
+
+    return views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(pack, "image_id long, shape array<int>, dtype string, data binary")
+
+
+_BYTES = "gp AS (SELECT vec_id AS image_id, trunc(greatest(0, least(255, CAST(e AS DOUBLE) * 100 + 100))) AS g FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings))"
+
+
+@query(f"WITH {_BYTES} SELECT image_id, {r('CAST(t AS DOUBLE) AS threshold', 'avg(CASE WHEN g >= t THEN 1.0 ELSE 0.0 END) AS foreground_fraction')} FROM gp CROSS JOIN (VALUES (95), (105)) AS t(t) GROUP BY 1, t")
+def threshold_runs(spark, sf_dir):
+    return validation.threshold_runs(_packed(spark, sf_dir, "uint8"), "image_id", [95, 105, 95]).drop("object_count")
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    """The images as PNG files: path, content, length."""
+
+    def encode(frames):
+        for frame in frames:
+            raw = [images.encode_png(np.frombuffer(d, np.uint8).reshape(8, 8)) for d in frame["data"]]
+            yield pd.DataFrame({"path": [f"plate/{i}.png" for i in frame["image_id"]], "content": raw, "length": list(map(len, raw))})
+
+    return _packed(spark, sf_dir, "uint8").mapInPandas(encode, "path string, content binary, length long")
+
+
+@query(
+    f"""WITH {_BYTES} SELECT 'plate/' || image_id || '.png' AS path, image_id || '.png' AS filename, 8 AS width, 8 AS height, 1 AS channels, 'uint8' AS dtype,
+    {r('round(avg(g), 4) AS brightness_mean', 'round(stddev_pop(g), 4) AS brightness_std', 'round(stddev_pop(g), 4) AS contrast_std', 'avg(CASE WHEN g <= 1 OR g >= 254 THEN 1.0 ELSE 0.0 END) AS saturation_fraction', digits=3)}, 64 AS hash_length FROM gp GROUP BY image_id""",
+    digits=3,
+)
+def folder_qc(spark, sf_dir):
+    out = quality.analyze_files(_files(spark, sf_dir), adaptive_qc=False)
+    return out.select("path", "filename", "width", "height", "channels", "dtype", "brightness_mean", "brightness_std", "contrast_std", "saturation_fraction", F.length("sha256").alias("hash_length"))
+
+
+@query(f"WITH {_BYTES} SELECT 'plate/' || image_id || '.png' AS path, 8 AS height, 8 AS width, 'YX' AS axes, {r('sum(g) AS total')} FROM gp GROUP BY image_id")
+def load_images(spark, sf_dir):
+    loaded = images.load_images(_files(spark, sf_dir))
+    total = F.aggregate(F.sequence(F.lit(1), F.length("data")), F.lit(0), lambda a, i: a + F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int"))
+    return loaded.select("path", "height", "width", "axes", total.cast("double").alias("total"))
+
+
+@query(f"WITH {_VOXELS} SELECT image_id, z, y, x, {r('CAST(label AS DOUBLE) AS v')} FROM vx WHERE image_id % 10 = 0")
+def canonical_axes(spark, sf_dir):
+    """Stacks declared as X, Y, Z come out in the order Z, Y, X."""
+    vx = _voxels(spark, sf_dir).where("image_id % 10 = 0")
+    cells = F.array_sort(F.collect_list(F.struct(F.expr("x * 16 + y * 4 + z").alias("at"), F.col("label").cast("double").alias("v"))))
+    stacks = vx.groupBy("image_id").agg(F.transform(cells, lambda c: c["v"]).alias("values")).withColumn("shape", F.array(F.lit(4), F.lit(4), F.lit(4)))
+    return validation.canonical_axes(stacks, "image_id", "XYZ").select("image_id", "z", "y", "x", "v")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

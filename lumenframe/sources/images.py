@@ -206,6 +206,89 @@ def load_images(files: DataFrame) -> DataFrame:
 
 
 STACK_AXES = "TZCYX"
+SERIES_SCHEMA = "path string, series int, axes string, shape array<int>, t int, z int, c int, dtype string, data binary, error string"
+
+
+@dataclass(frozen=True)
+class ImageStack:
+    """Axes and shape of a stack; its pixels are rows of :func:`load_series`."""
+
+    path: str
+    axes: str
+    shape: tuple[int, ...]
+    dtype: str
+
+    @property
+    def has_channel(self) -> bool:
+        return "C" in self.axes
+
+    @property
+    def has_z(self) -> bool:
+        return "Z" in self.axes
+
+    @property
+    def has_time(self) -> bool:
+        return "T" in self.axes
+
+
+def series_of(tiff: TiffPages) -> list[tuple[str, tuple[int, ...], list[int]]]:
+    """(axes, shape, pages in the order T, Z, C) of each series: of the OME images, or else all pages of one size."""
+    height, width = tiff.pages[0].shape[:2]
+    if "<OME" not in tiff.description and "<Pixels" not in tiff.description:
+        n = len(tiff.pages)
+        return [("YX", (height, width), [0])] if n == 1 else [("ZYX", (n, height, width), list(range(n)))]
+    out, at = [], 0
+    root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", tiff.description))
+    for pixels in (e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == "Pixels"):
+        sizes = {a: int(pixels.get(f"Size{a}", 1)) for a in STACK_AXES}
+        # DimensionOrder names the fastest axis first; pages are put into the order T, Z, C.
+        fast = [a for a in pixels.get("DimensionOrder", "XYCZT") if a in "TZC"]
+        number = np.arange(at, at + sizes["T"] * sizes["Z"] * sizes["C"]).reshape([sizes[a] for a in reversed(fast)])
+        pages = number.transpose([list(reversed(fast)).index(a) for a in "TZC"]).ravel().tolist()
+        at += len(pages)
+        if at > len(tiff.pages):
+            raise ValueError(f"OME sizes need {at} pages, the file has {len(tiff.pages)}")
+        axes = "".join(a for a in STACK_AXES if a in "YX" or sizes[a] > 1)
+        out.append((axes, tuple(sizes[a] for a in axes), pages))
+    if at != len(tiff.pages):
+        raise ValueError(f"OME sizes need {at} pages, the file has {len(tiff.pages)}")
+    return out
+
+
+def load_series(files: DataFrame, series_index: int = 0) -> DataFrame:
+    """One row per page of a TIFF file's series, axes taken from the file (T, Z, C, Y, X as there are), or its error."""
+    if series_index < 0:
+        raise ValueError("series_index must not be negative")
+    names = [c.split()[0] for c in SERIES_SCHEMA.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, raw in zip(frame["path"], frame["content"]):
+                try:
+                    tiff = decode_tiff(bytes(raw))
+                    found = series_of(tiff)
+                    if series_index >= len(found):
+                        raise IndexError(f"series {series_index} of {len(found)}")
+                    axes, shape, pages = found[series_index]
+                    sizes = dict(zip(axes, shape))
+                    for k, page in enumerate(pages):
+                        t, z, c = np.unravel_index(k, [sizes.get(a, 1) for a in "TZC"])
+                        x = tiff.pages[page]
+                        yield pd.DataFrame([(path, series_index, axes, list(shape), int(t), int(z), int(c), str(x.dtype), x.tobytes(), None)], columns=names)
+                except Exception as e:
+                    yield pd.DataFrame([(path, series_index, None, None, None, None, None, None, None, str(e))], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, SERIES_SCHEMA)
+
+
+def make_cells_image(n_cells: int = 200, size: int = 512, background: int = 60, noise: float = 4.0, seed: int = 0) -> np.ndarray:
+    """An 8-bit test image: bright discs of radius 4 to 8 at random places on a noisy background."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:size, :size]
+    image = np.full((size, size), float(background))
+    for cy, cx, r, level in zip(*(rng.integers(lo, hi, n_cells) for lo, hi in ((10, size - 10), (10, size - 10), (4, 9), (120, 180)))):
+        image[(y - cy) ** 2 + (x - cx) ** 2 <= r * r] = background + level
+    return np.clip(image + rng.normal(0, noise, image.shape), 0, 255).astype(np.uint8)
 
 
 def load_stacks(files: DataFrame, axes: str) -> DataFrame:
@@ -225,7 +308,7 @@ def load_stacks(files: DataFrame, axes: str) -> DataFrame:
 
 OME_SCHEMA = (
     "path string, size_x int, size_y int, size_z int, size_c int, size_t int, physical_x double, physical_y double, physical_z double, "
-    "unit_x string, unit_y string, unit_z string, n_pages int, dtype string, channel_names array<string>"
+    "unit_x string, unit_y string, unit_z string, n_pages int, dtype string, channel_names array<string>, error string"
 )
 
 
@@ -243,13 +326,19 @@ def ome_info(description: str) -> dict[str, object]:
 
 
 def read_ome_info(files: DataFrame) -> DataFrame:
+    """One row per file: its OME metadata, or the error of a file that has none."""
     names = [c.split()[0] for c in OME_SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, raw in zip(frame["path"], frame["content"]):
-                tiff = decode_tiff(bytes(raw))
-                row = ome_info(tiff.description) | {"path": path, "n_pages": len(tiff.pages), "dtype": str(tiff.pages[0].dtype)}
+                row: dict[str, object] = {"path": path}
+                try:
+                    tiff = decode_tiff(bytes(raw))
+                    row |= {"n_pages": len(tiff.pages), "dtype": str(tiff.pages[0].dtype)}
+                    row |= ome_info(tiff.description)
+                except Exception as e:
+                    row["error"] = str(e)
                 yield pd.DataFrame([[row.get(n) for n in names]], columns=names)
 
     return files.select("path", "content").mapInPandas(run, OME_SCHEMA)

@@ -147,8 +147,10 @@ def test_linking_survives_swapped_labels_jumps_and_gaps(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     config = tracking.TrackingConfig(max_distance=6, max_gap=1)
-    for frame in range(3):
-        rows = [p for p in POINTS if p[1] == frame]
+    parts = [[p for p in POINTS if p[1] == 0], [p for p in POINTS if p[1] == 1][:1], [p for p in POINTS if p[1] == 1][1:], [p for p in POINTS if p[1] == 2]]
+    # A frame that comes in two micro-batches; a last frame far off lets the frames before it go.
+    parts.append([(s, 9, 1, *[900.0] * (len(POINTS[0]) - 3)) for s in sorted({p[0] for p in POINTS})])
+    for rows in parts:
         spark.createDataFrame(rows, POINT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(POINT_SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
     q = link_stream(stream, "series", config=config).writeStream.format("memory").queryName("linked").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
@@ -169,6 +171,13 @@ def test_instance_matching(spark):
 
 def test_track_tables(spark):
     t = spark.createDataFrame([(1, 0, 1), (1, 1, 1), (2, 2, 2), (3, 2, 3)], "track_id int, frame int, label int")
+    far = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 1), (0, 1, 1, 1), (0, 1, 2, 2)], "i int, frame int, x int, label int").withColumn("y", F.lit(0))
+    both = tracks.overlap_map(far.drop("i"), min_overlap=0.0).collect()
+    assert len(both) == 1 and both[0]["backward"] == 0.5 and not tracks.overlap_map(far.where("label = 1").drop("i"), min_overlap=1.1).collect()
+    twice = spark.createDataFrame([(2, "split", 2, 1, [3]), (2, "split", 2, 5, [3])], "frame int, event string, degree int, parent_label int, child_labels array<int>")
+    more = t.unionByName(spark.createDataFrame([(9, 1, 5)], "track_id int, frame int, label int"))
+    for n in (1, 4):  # the larger parent label, whatever the partitions
+        assert tracks.lineage_table(more, twice.repartition(n)).where("label = 3").first()["parent_track_id"] == 9
     e = spark.createDataFrame([(2, "split", 2, 1, [2, 3])], "frame int, event string, degree int, parent_label int, child_labels array<int>")
     nodes = tracks.lineage_table(t, e)
     assert {r["track_id"] for r in nodes.where("relationship = 'division_child'").collect()} == {2, 3} and nodes.where("parent_track_id = 1").count() == 2
@@ -212,4 +221,22 @@ def test_image_sources(spark, tmp_path):
     info = images.read_ome_info(tif).first()
     assert (info["size_z"], info["physical_x"], info["channel_names"], info["n_pages"]) == (3, 0.5, ["DAPI"], 3)
     assert images.load_stacks(tif, "ZYX").count() == 3
+    pages = images.load_series(tif).orderBy("z").collect()
+    assert [(r["axes"], r["z"], r["shape"]) for r in pages] == [("ZYX", z, [3, 20, 20]) for z in range(3)]
+    assert "series 4" in images.load_series(tif, 4).first()["error"]
+    bare = (tmp_path / "bare")
+    bare.mkdir()
+    (bare / "bare.tif").write_bytes(images.encode_tiff(deep[None]))
+    (bare / "short.tif").write_bytes(images.encode_tiff(np.stack([deep]), xml))
+    others = {r["path"].rsplit("/", 1)[1]: r for r in images.read_ome_info(images.find_images(spark, str(bare))).collect()}
+    assert others["bare.tif"]["error"] and others["short.tif"]["error"] is None  # a file without metadata doesn't end the job
+    assert "pages" in images.load_series(images.find_images(spark, str(bare)).where("path LIKE '%short%'")).first()["error"]
+    cz = '<OME><Image><Pixels DimensionOrder="XYCZT" SizeX="20" SizeY="20" SizeZ="2" SizeC="2" SizeT="1"/></Image><Image><Pixels SizeX="20" SizeY="20"/></Image></OME>'
+    found = images.series_of(images.decode_tiff(images.encode_tiff(np.stack([deep + k for k in range(5)]), cz)))
+    assert found == [("ZCYX", (2, 2, 20, 20), [0, 1, 2, 3]), ("YX", (20, 20), [4])]
+    swapped = images.series_of(images.decode_tiff(images.encode_tiff(np.stack([deep + k for k in range(4)]), cz.split("<Image><Pixels SizeX")[0].replace("XYCZT", "XYZCT") + "</OME>")))
+    assert swapped == [("ZCYX", (2, 2, 20, 20), [0, 2, 1, 3])]
+    stack = images.ImageStack("a", "TCYX", (2, 2, 5, 5), "uint8")
+    assert stack.has_channel and stack.has_time and not stack.has_z
+    assert images.make_cells_image(5, 64).shape == (64, 64) and (images.make_cells_image(5, 64) == images.make_cells_image(5, 64)).all()
     assert math.isclose(np.frombuffer(got["a.PNG"]["data"], np.uint8).mean(), disc.mean())

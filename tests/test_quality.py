@@ -35,12 +35,33 @@ def test_folder(spark, folder):
         quality.analyze_folder(spark, str(folder), quality.QCThresholds(brightness_min=240))
 
 
+def test_folder_is_scanned_and_decoded_once(spark, folder):
+    plan = quality.analyze_files(images.find_images(spark, str(folder)), adaptive_qc=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("FileScan binaryFile") == 1
+    apart = quality.analyze_files(images.find_images(spark, str(folder)), exclude_failed=True).collect()
+    assert [r["adaptive_score"] is None for r in apart] == [False, False, True, False]
+
+
+def test_batches(spark, folder):
+    paths = [str(folder / n) for n in ("b_cells.png", "d.tif")]
+    assert quality.analyze_batch(spark, paths, quality.BatchConfig(files_per_task=1)).count() == 2
+    for bad in (quality.BatchConfig(files_per_task=0), quality.BatchConfig(cell_method="magic")):
+        with pytest.raises(ValueError):
+            bad.validate()
+    with pytest.raises(Exception, match="failed to load"):
+        quality.analyze_batch(spark, [str(folder / "c_broken.png")], quality.BatchConfig(fail_fast=True, adaptive_qc=False)).collect()
+    assert set(quality.progress(spark)) == {"done", "running", "tasks"}
+
+
 def test_fallback_and_backends(spark, folder):
     out = quality.analyze_paths(spark, [str(folder / "b_cells.png")], segmenter=segmentation.get_backend("cellpose"), adaptive_qc=False).first()
     assert "SEGMENTATION_FALLBACK" in out["flags"] and out["estimated_cells"] == 3
     loaded = images.load_images(images.find_images(spark, str(folder)).where("path LIKE '%cells%'"))
     agreed = segmentation.threshold_ensemble(loaded, "path").first()
     assert agreed["member_counts"]["threshold"] == 3 and agreed["chosen"]
+    none = segmentation.compare_backends(loaded, "path", [segmentation.CellposeSegmenter()]).first()
+    assert "no backend segmented the image" in none["warning"] and none["chosen"] is None
+    assert not segmentation.CellposeSegmenter(gpu="auto").on_gpu()
     failed = segmentation.segment_images(loaded, "path", [segmentation.CellposeSegmenter()]).first()
     assert "cellpose" in failed["error"]
     with pytest.raises(ValueError):
