@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.llm._common import documents, materialize, scratch_scope, unused
-from lumenframe.llm._memory import CACHE_BYTES, claim, sliced
+from lumenframe.llm._memory import claim, sliced
 from lumenframe.llm._pieces import _Index
 from lumenframe.llm.components import connected_components
 
@@ -53,8 +53,8 @@ BLOCK_SETS, BLOCK_TOKENS = 256, 400_000
 MAX_FREQUENT = 1_000_000
 #: Characters of text whose tokens are counted in one group, and tokens that a task collects before it sends them.
 COUNTED_CHARS, COUNTED_TOKENS = 8_000_000, 200_000
-#: Bytes that the cache holds of a word, besides its characters, about.
-WORD_BYTES = 150
+#: Bytes that the cache of hashed words holds of one, besides its characters, about, and of all (a hash is made quickly).
+WORD_BYTES, WORDS_BYTES = 150, 48 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -77,7 +77,7 @@ class _Words:
             self.held += WORD_BYTES * len(new) + sum(map(len, new))
             new.clear()
         out = self.hashes[at]
-        if self.held > CACHE_BYTES:
+        if self.held > WORDS_BYTES:
             self.__init__()
         return out
 
