@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import embedding_dedup, exact_dedup, fill_middle, jaccard_join, language_id, mixing, packing, sharding, token_counts, token_output, toxicity, transport_stream
+from lumenframe.llm import conversation_repair, embedding_dedup, exact_dedup, fill_middle, jaccard_join, language_id, mixing, packing, sharding, token_counts, token_output, toxicity, transport_stream
 
-_MODULES = (exact_dedup, token_counts, jaccard_join, packing, language_id, toxicity, sharding, token_output, mixing, transport_stream, embedding_dedup, fill_middle)
+_MODULES = (exact_dedup, token_counts, jaccard_join, packing, language_id, toxicity, sharding, token_output, mixing, transport_stream, embedding_dedup, fill_middle, conversation_repair)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
