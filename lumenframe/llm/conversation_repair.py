@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import materialize
+from lumenframe.llm._common import materialize, scratch_scope
 
 #: Turns and characters of one run, about.
 RUN_TURNS, RUN_CHARS = 1000, 4 << 20
@@ -104,7 +104,7 @@ def damaged(df: DataFrame) -> DataFrame:
 def _faults(turns: DataFrame) -> DataFrame:
     """Turns numbered, with ``fault``: b (blank), d (role and text seen before), t (truncated) or ``.``."""
     keyed = turns.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    keyed = materialize(keyed, "turns")
+    keyed = materialize(keyed, "turns", "zstd")
     key = ["conv_id", "role", "digest"]
     first = keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("turn", "row")).alias("first")).where("n > 1")
     first = materialize(first.select(*key, F.col("first.row").alias("first")), "first-turns")
@@ -185,7 +185,7 @@ def repair(turns: DataFrame) -> DataFrame:
     id_type = turns.schema["conv_id"].dataType
     faulty = _faults(turns.select("conv_id", F.col("turn").cast("long"), *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")]))
     order = ["conv_id", "turn", "role", "text", "row"]
-    ordered = materialize(faulty, "faulty-turns").repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = materialize(faulty, "faulty-turns", "zstd").repartitionByRange(*order).sortWithinPartitions(*order)
     kind = pa.int64() if id_type.simpleString() == "bigint" else pa.int32() if id_type.simpleString() == "int" else pa.string()
     texts = pa.list_(pa.string())
     numbers = pa.list_(pa.int64())
@@ -197,7 +197,7 @@ def repair(turns: DataFrame) -> DataFrame:
         f"conv_id {id_type.simpleString()}, part int, run long, whole boolean, turns array<long>, roles array<string>, texts array<string>, "
         "faults string, entries array<int>, leaves array<int>, costs array<long>, audits array<string>"
     )
-    runs = materialize(ordered.mapInArrow(_runs(schema), told), "runs")
+    runs = materialize(ordered.mapInArrow(_runs(schema), told), "runs", "zstd")
     columns = ["conv_id", "part", "run", "whole", "turns", "roles", "texts", "faults"]
     whole = runs.where("whole").select(*columns, F.lit(0).alias("entry"), F.col("costs")[0].alias("cost"), F.col("audits")[0].alias("audit"))
     cut = runs.where("NOT whole")
@@ -278,7 +278,8 @@ def summarize(runs: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    told = materialize(summarize(repair(damaged(rows))), "repaired")
+    with scratch_scope(spark, "repaired"):
+        told = materialize(summarize(repair(damaged(rows))), "repaired")
     every = rows.select("conv_id").distinct()
     joined = every.join(told, every.conv_id.eqNullSafe(told.conv_id), "left")
     zero: list[Column] = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
