@@ -35,16 +35,22 @@ from lumenframe.llm.components import connected_components
 #: Buckets visited in a table, the home among them, and the vertices of one hash that are looked at for that.
 PROBES, NEAREST = 8, 4
 #: Expected share of found pairs at the least cosine; buckets per visit (so that few pairs meet by chance).
-RECALL, ROOM = 0.999, 4
+RECALL, ROOM = 0.999, 8
 #: Entries of one block of a bucket, and of one group of blocks that a task compares at a time.
 BLOCK, GROUP_ROWS = 256, 4096
 #: Means of big buckets are broadcast up to so many.
 BROADCAST_ROWS = 20_000
 SLICE_BYTES = 32 << 20
 
+#: Short vectors are padded to so many axes, as few axes have few rotations by signs.
+LEAST_AXES = 16
 BUCKET = ["dim", "t", "code"]
 
 
+def axes(dim: int) -> int:
+    return max(LEAST_AXES, 1 << (dim - 1).bit_length())
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the last axis, a power of two."""
     size, half = x.shape[-1], 1
@@ -57,11 +63,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Bucket codes of unit vectors of one length: ``tables`` tables of ``hashes`` hashes."""
+    """Bucket codes of unit vectors of one length: ``tables`` tables of ``hashes`` hashes, the last one of ``last`` axes."""
 
-    def __init__(self, dim: int, hashes: int, tables: int, seed: int) -> None:
-        self.dim, self.hashes, self.tables = dim, hashes, tables
-        self.size = max(2, 1 << (dim - 1).bit_length())
+    def __init__(self, dim: int, hashes: int, last: int, tables: int, seed: int) -> None:
+        self.dim, self.hashes, self.last, self.tables = dim, hashes, last, tables
+        self.size = axes(dim)
+        # Drawn table after table, so that more tables extend fewer.
         self.signs = np.random.default_rng([seed, dim, hashes]).choice([-1.0, 1.0], size=(tables * hashes, 3, self.size))
         near = min(NEAREST, self.size)
         # Which near vertex each hash takes: the nearest, but for two hashes at most.
@@ -84,6 +91,7 @@ class Hasher:
         for turn in range(3):
             x = hadamard(x * self.signs[:, turn])
         size = np.abs(x)
+        size[:, self.hashes - 1 :: self.hashes, self.last :] = 0
         near = int(self.moves.max()) + 1
         top = np.argpartition(-size, near - 1, axis=-1)[..., :near]
         far = np.take_along_axis(size, top, -1)
@@ -106,22 +114,32 @@ def meetings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache
-def planned(dim: int, classes: int, cosine: float, seed: int) -> tuple[int, int]:
-    """(hashes, tables) for so many classes: rare chance meetings, and the expected recall at ``cosine``."""
-    size = max(2, 1 << (dim - 1).bit_length())
+def planned(dim: int, classes: int, cosine: float, seed: int) -> tuple[int, int, int]:
+    """(hashes, axes of the last, tables) for so many classes: rare chance meetings, and the expected recall at ``cosine``.
+
+    The last hash looks at as few axes as are needed, so that buckets grow in steps of two with the classes.
+    """
+    size = axes(dim)
     bits = int(np.log2(2 * size))
-    hashes = min(62 // bits, max(1, int(np.ceil(np.log2(ROOM * PROBES * max(classes, 1)) / bits))))
+    wanted = min(62, max(bits, int(np.ceil(np.log2(ROOM * PROBES * max(classes, 1))))))
+    hashes = min(62 // bits, -(-wanted // bits))
+    last = 1 << (max(1, min(bits, wanted - bits * (hashes - 1))) - 1)
     if dim == 1:
-        return hashes, 1  # two directions, whose codes are always the same
-    rng, n = np.random.default_rng([seed, dim]), 1000
+        return hashes, last, 1  # two directions, whose codes are always the same
+    rng, n = np.random.default_rng([seed, dim]), 2000
     a, b = rng.normal(size=(2, n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(1, keepdims=True) * a
     b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    trial = Hasher(dim, hashes, 1, seed)
-    left, right = meetings(trial.codes(a), trial.codes(b))
-    found = min(0.9999, max(1 / n, float((left | right).mean())))
-    return hashes, int(np.ceil(np.log(1 - RECALL) / np.log(1 - found)))
+    tables, missed = 0, np.ones(n, bool)
+    while True:  # four tables more at a time, until enough of the pairs drawn have met
+        trial = Hasher(dim, hashes, last, tables + 4, seed)
+        left, right = meetings(trial.codes(a[missed]), trial.codes(b[missed]))
+        met = np.maximum.accumulate(left | right, axis=1)
+        enough = met.sum(0) >= missed.sum() - (1 - RECALL) * n
+        if enough.any():
+            return hashes, last, int(np.argmax(enough)) + 1
+        missed[missed], tables = ~met[:, -1], tables + 4
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +161,11 @@ def _doubles(column: pa.ChunkedArray | pa.Array, kind: str = "<f8") -> np.ndarra
 
 
 @functools.lru_cache(maxsize=4)
-def hasher(dim: int, hashes: int, tables: int, seed: int) -> Hasher:
-    return Hasher(dim, hashes, tables, seed)
+def hasher(dim: int, hashes: int, last: int, tables: int, seed: int) -> Hasher:
+    return Hasher(dim, hashes, last, tables, seed)
 
 
-def _hashing(plans: dict[int, tuple[int, int]], seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hashing(plans: dict[int, tuple[int, int, int]], seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.binary_length(batch.column("key")).to_numpy() // 8

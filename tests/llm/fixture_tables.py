@@ -6,6 +6,9 @@ VOICES = {"en": "the ing tion ed of ther", "de": "der ung sch ein ich keit", "fr
 BAD = {"en": "grubber,", "de": "zorkig", "fr": "grubber,", "es": "zorkig"}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, copies int, __sha string, gone long, row_number long, Fp long"
 
+EMBEDDINGS = "vec_id long, embedding array<double>, label int"
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
 
 def prose(rng, lang, n=60):
     parts = VOICES[lang].split()
@@ -37,14 +40,52 @@ def rows():
     return docs, labels
 
 
+def embeddings():
+    """(vec_id, embedding, label): loose and tight groups, copies, other lengths, vectors that link with nothing."""
+    rng = random.Random(5)
+
+    def near(base, by):
+        return [x + by * rng.gauss(0, 1) for x in base]
+
+    vectors = []
+    for size, by, dim in ((40, 0.3, 24), (400, 0.03, 24), (12, 0.2, 24), (6, 0.2, 7), (300, 0.12, 24)):
+        base = near([0.0] * dim, 1)
+        vectors += [near(base, by) for _ in range(size)]
+    vectors += [near([0.0] * 24, 1) for _ in range(150)]
+    vectors += [vectors[3], [2 * x for x in vectors[3]], vectors[3], [-x for x in vectors[3]]] + [vectors[450]] * 30
+    vectors += [None, [], [0.0] * 24, [0.0, -0.0], [float("nan")] * 24, [1.0, float("inf")], [1.0, None], [1.0], [3.0], [-1.0], [0.0, 1.0], [-0.0, 1.0]]
+    order = list(range(len(vectors)))
+    rng.shuffle(order)
+    return [(i, vectors[k], k) for i, k in enumerate(order)] + [(None, vectors[0], 0), (None, vectors[-2], 0), (7, vectors[order[7]], 1)]
+
+
+def conversations():
+    """(conv_id, turn, role, text): good and bad structure, nulls anywhere, ties, repeats, one of many turns."""
+    rng = random.Random(9)
+    out = []
+    for conv in [None, *range(150)]:
+        turn = 0
+        for k in range(rng.choice([1, 2, 3, 5, 8]) if conv != 4 else 2600):
+            role = rng.choice(["user", "assistant"]) if rng.random() < 0.3 else ["user", "assistant"][k % 2]
+            role = rng.choice(["system", "tool", "", None, "User"]) if rng.random() < 0.1 else role
+            text = rng.choice(["Yes.", "no", " ", "", None, "Well! ", "a?\u00a0", "b.\n", f"{k} it is.", f"{k} it is.", f"{k} so\u00e9!"])
+            out.append((conv, None if rng.random() < 0.05 else turn, role, text))
+            turn += rng.choice([1, 1, 1, 2, 0])
+    return out + out[:20]
+
+
 def write(spark, folder):
     docs, labels = rows()
+    spark.createDataFrame(embeddings(), EMBEDDINGS).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame(conversations(), CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(docs, SCHEMA).repartition(3, "doc_id").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
 
 
 def write_empty(spark, folder):
+    spark.createDataFrame([], EMBEDDINGS).write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([], CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
