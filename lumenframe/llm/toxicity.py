@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -38,7 +38,8 @@ from lumenframe.llm.language_id import fold
 
 #: Labelled rows of each label, about, that voters are mined from and the models fitted on.
 SAMPLE_PER_LABEL = 4000
-MAX_STEMS, MAX_LEXICONS, STEM_LENGTHS = 512, 24, (4, 5, 6, 7)
+#: Lexicon voters at most (more groups of stems share the last one), beginnings that are stems, times that a stem counts.
+MAX_LEXICONS, STEM_LENGTHS, TIMES = 24, (4, 5, 6, 7), 8
 #: Common insults of four languages.
 SEEDS = {
     "en": "idiot moron stupid loser pathetic disgusting worthless scum trash clown",
@@ -48,9 +49,8 @@ SEEDS = {
 }
 #: Signs that stand for letters in disguised words.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
-#: Times that a stem's rate among toxic rows is above that among others (with half a row more); the lower one only
-#: if labels are noisy.
-PURITIES = (60, 6)
+#: Times that a stem's rate among toxic rows is above that among others (with half a row more).
+PURITY = 60
 #: Weight of the toxic rows among all in the classifier's loss.
 TOXIC_SHARE = 0.3
 #: Times that a voter has to strike toxic rows more often than others to be heard.
@@ -70,12 +70,20 @@ def stems(word: str) -> set[str]:
     """Features of a blank-delimited word in lower case: its letter runs, whole and by their beginnings."""
     out = set()
     for part in _SUBWORD.findall(word):
-        if len(part) <= 40:
-            out.add(f"{part}$")
+        out.add(f"{part}$")
         out.update(part[:k] for k in STEM_LENGTHS if len(part) >= k)
     return out
 
 
+def stem_times(text: str, known: Set[str]) -> Counter:
+    """How many words of a text have each of the known stems."""
+    out: Counter = Counter()
+    for word, n in Counter(text.lower().split()).items():
+        for stem in stems(word) & known:
+            out[stem] += n
+    return out
+
+
 def bare(word: str) -> str:
     """The letters of a word in disguise: lookalikes turned into letters, stretches cut short, other signs left out."""
     return _STRETCHED.sub(r"\1", "".join(filter(str.isalpha, word.translate(LOOKALIKES))))
@@ -181,6 +189,11 @@ class Model:
         at, counts = table.words(texts)
         sums = added(table.values[at], counts, np.add)
         ballots = self.voters.ballots(table.bits[at], counts, sums[:, 1:])
+        # A stem counts ``TIMES`` times at most, as in the fit; only texts of more words with stems can exceed that.
+        stemmed = added((table.values[at][:, :1] > 0).astype(np.int64), counts, np.add)[:, 0]
+        for k in np.flatnonzero(stemmed > TIMES):
+            seen = stem_times(texts[k], self.weights.keys())
+            sums[k, 0] = sum(self.weights[s] * min(n, TIMES) for s, n in seen.items())
         raw = sums[:, 0] + ballots[:, :-1] @ np.array(self.votes) + self.bias
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
@@ -203,13 +216,8 @@ def mine(sample: DataFrame) -> list[str]:
     sizes = sample.agg(F.sum((F.col("toxic") > 0).cast("long")).alias("bad"), F.sum((F.col("toxic") <= 0).cast("long")).alias("good")).first()
     bad, good = sizes["bad"] or 0, max(1, sizes["good"] or 0)
     rows = materialize(rows.where(F.col("bad") >= max(3, bad // 200)), "toxicity-stems")
-    found: list[str] = []
-    for purity in PURITIES:
-        pure = rows.where((F.col("good") + 0.5) * bad * purity <= F.col("bad") * good).orderBy(F.desc("bad"), "stem").limit(MAX_STEMS)
-        found = [r["stem"] for r in pure.collect()]
-        if len(found) >= 5:
-            break
-    return found
+    pure = rows.where((F.col("good") + 0.5) * bad * PURITY <= F.col("bad") * good)
+    return [r["stem"] for r in pure.orderBy(F.desc("bad"), "stem").collect()]  # each in a share of the bounded sample
 
 
 def lexicons(mined: list[str]) -> list[list[str]]:
@@ -324,7 +332,8 @@ def train(df: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
     chosen = labels.where(draw < share[F.col("toxic")])  # about 2 x per_label ids: small by construction
-    sample = materialize(df.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")
+    rows = df.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row of a repeated id
+    sample = materialize(rows.select("doc_id", "text", "toxic"), "toxicity-sample")
     mined = mine(sample)
     groups = lexicons(mined)
     names = {s: k for k, s in enumerate(mined)}
@@ -337,10 +346,7 @@ def train(df: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             at, counts = table.words(texts)
             ballots = voters.ballots(table.bits[at], counts, added(table.values[at], counts, np.add))
             for text in texts:
-                seen: Counter = Counter()
-                for word, n in Counter(text.lower().split()).items():
-                    for f in stems(word) & names.keys():
-                        seen[f] += n
+                seen = stem_times(text, names.keys())
                 stem.append([names[f] for f in seen])
                 times.append(list(seen.values()))
             ints = pa.list_(pa.int32())
@@ -356,7 +362,7 @@ def train(df: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     posterior = label_model(ballots).posterior
     x = np.zeros((len(rows), len(mined)))
     for k, (stem, times) in enumerate(zip(rows["stem"], rows["times"])):
-        x[k, stem] = np.minimum(times, 8)
+        x[k, stem] = np.minimum(times, TIMES)
     toxic = posterior > 0.5
     weight = np.where(toxic, TOXIC_SHARE / max(1, toxic.sum()), (1 - TOXIC_SHARE) / max(1, (~toxic).sum()))
     w, bias = fit_logistic(np.concatenate([x, ballots[:, :-1]], axis=1), posterior, weight)

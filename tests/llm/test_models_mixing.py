@@ -70,6 +70,14 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(odd, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_a_stem_counts_as_often_in_scores_as_in_the_fit():
+    model = toxicity.Model({"grub": 0.2, "grubb": 0.1, "zork": 0.4}, [["zork"]], [0.0] * 11, -4.0)
+    texts = ["grubs " * n + end for n in (0, 1, 7, 8, 9, 40) for end in ("", "zorka grubber", "Zork, " * 30)]
+    for text, score in zip(texts, model.scores(texts)):
+        times = {s: min(8, sum(s in toxicity.stems(w.lower()) for w in text.split())) for s in model.weights}
+        assert abs(score - 1 / (1 + np.exp(4.0 - sum(model.weights[s] * n for s, n in times.items())))) < 1e-12
+
+
 def test_label_model_discounts_repeated_voters():
     rng = np.random.default_rng(3)
     y = rng.random(2000) < 0.3

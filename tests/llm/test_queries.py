@@ -125,8 +125,9 @@ def test_toxicity_by_plain_sums(spark, tables, run):
     out, right = {r.doc_id: r for r in run("op6_toxicity").itertuples()}, []
     for i, text in TEXTS.items():
         raw, flags, strikes = model.bias, 0, 0
+        times = Counter(s for word in text.split() for s in toxicity.stems(word.lower()))
+        raw += sum(model.weights.get(s, 0.0) * min(n, 8) for s, n in times.items())
         for word in text.split():
-            raw += sum(model.weights.get(s, 0.0) for s in toxicity.stems(word.lower()))
             flags |= model.voters.part(word)[-1]
             strikes += model.voters.part(word)[-1] & model.voters.strikes > 0
         raw += sum(w for k, w in enumerate(model.votes[: model.voters.many]) if flags >> k & 1)
