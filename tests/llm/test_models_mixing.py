@@ -71,7 +71,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_a_stem_counts_as_often_in_scores_as_in_the_fit():
-    model = toxicity.Model({"grub": 0.2, "grubb": 0.1, "zork": 0.4}, [["zork"]], [0.0] * 11, -4.0)
+    model = toxicity.Model({"grub": 0.2, "grubb": 0.1, "zork": 0.4}, [["zork"]], [0.0] * 12, -4.0)
     texts = ["grubs " * n + end for n in (0, 1, 7, 8, 9, 40) for end in ("", "zorka grubber", "Zork, " * 30)]
     for text, score in zip(texts, model.scores(texts)):
         times = {s: min(8, sum(s in toxicity.stems(w.lower()) for w in text.split())) for s in model.weights}
