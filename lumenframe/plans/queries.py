@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, tracking, tracks, validation
+from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
 from lumenframe.sources import images
@@ -563,16 +563,6 @@ def match_instances(spark, sf_dir):
     return tracking.match_instances(pred, truth, "image_id", max_distance=2.0)
 
 
-@query()
-def replicate_effect(spark, sf_dir):
-    return groups.replicate_effect_summary(views.wells(spark, sf_dir), "signal", "condition", "A", "R", n_bootstrap=1000, n_permutations=1000)
-
-
-@query()
-def experiment_summary(spark, sf_dir):
-    return groups.summarize_experiment(views.wells(spark, sf_dir), replicate="replicate", group="condition", values=["signal", "quantity"], n_bootstrap=1000)
-
-
 @query(
     f"""WITH {PIXELS_SQL}, h AS (SELECT image_id, CAST(least(255, floor(v / 255 * 256)) AS INT) AS b, count(*)::DOUBLE AS n FROM px WHERE v BETWEEN 0 AND 255 GROUP BY 1, 2), c AS (SELECT *, (b + 0.5::DOUBLE) / 256 AS c FROM h),
     w AS (SELECT *, sum(n) OVER o AS w, sum(n * c) OVER o AS m, sum(n) OVER (PARTITION BY image_id) AS ww, sum(n * c) OVER (PARTITION BY image_id) AS mm FROM c WINDOW o AS (PARTITION BY image_id ORDER BY b ROWS UNBOUNDED PRECEDING)),
@@ -817,27 +807,90 @@ def annotate_results(spark, sf_dir):
     return groups.annotate_results(c.select("c_custkey", name.alias("filename")), metadata={"batch": "b7", "round": 3}).select("c_custkey", "well", "timepoint", "batch", "round")
 
 
-_TWO = "q AS (SELECT condition, replicate, avg(signal) AS m FROM wells GROUP BY 1, 2), ab2 AS (SELECT count(*) FILTER (condition = 'A') AS na, count(*) FILTER (condition = 'R') AS nb, avg(m) FILTER (condition = 'A') AS ma, avg(m) FILTER (condition = 'R') AS mb, var_samp(m) FILTER (condition = 'A') AS va, var_samp(m) FILTER (condition = 'R') AS vb FROM q)"
-_EFFECT = r("ma AS mean_a", "mb AS mean_b", "ma - mb AS difference", "(ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS effect_size", digits=4)
+_MEANS = f"WITH {WELLS_SQL}, q AS (SELECT condition, replicate, avg(signal) AS signal, avg(quantity) AS quantity FROM wells GROUP BY 1, 2)"
 
 
-@query(f"WITH {WELLS_SQL}, {_TWO} SELECT na AS n_a, nb AS n_b, {_EFFECT} FROM ab2", digits=4)
-def replicate_effect_means(spark, sf_dir):
-    out = groups.replicate_effect_summary(views.wells(spark, sf_dir), "signal", "condition", "A", "R", n_bootstrap=100, n_permutations=100)
-    return out.select("n_a", "n_b", "mean_a", "mean_b", "difference", "effect_size")
+def _permuted(rows: str, rounds: int) -> str:
+    """SQL of a permutation test over ``rows`` (a boolean, x, name): table ``tested`` of one row."""
+    return f"""pv AS ({rows}), f AS (SELECT count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, avg(x) FILTER (a) AS mean_a, avg(x) FILTER (NOT a) AS mean_b,
+      var_samp(x) FILTER (a) AS va, var_samp(x) FILTER (NOT a) AS vb, sum(x) AS total FROM pv),
+    drawn AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY md5('0:' || k || ':' || name), name) AS rank FROM pv, range(0, {rounds}) AS t(k)),
+    sums AS (SELECT k, sum(x) AS s FROM drawn, f WHERE rank <= n_a GROUP BY k),
+    tested AS (SELECT n_a, n_b, mean_a, mean_b, (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS effect_size,
+      (SELECT count(*) FROM sums WHERE round(abs(s / n_a - (total - s) / n_b), 9) >= round(abs(mean_a - mean_b), 9)) AS extreme FROM f)"""
 
 
-@query(f"WITH {WELLS_SQL}, {_TWO} SELECT na AS n_a, nb AS n_b, {_EFFECT}, true AS p_in_range FROM ab2", digits=4)
+def _bootstrapped(rows: str, rounds: int) -> str:
+    """SQL of bootstrap intervals per g over ``rows`` (g, x, name): table ``spans``."""
+    return f"""bv AS ({rows}), placed AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY md5(name), name) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM bv),
+    chosen AS (SELECT g, k, CAST('0x' || substr(md5('0:' || k || ':' || place), 1, 15) AS BIGINT) % n AS place FROM placed, range(0, {rounds}) AS t(k)),
+    means AS (SELECT c.g, k, avg(x) AS m FROM chosen c JOIN placed p ON p.g = c.g AND p.place = c.place GROUP BY 1, 2),
+    spans AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY 1)"""
+
+
+_TESTED = r("mean_a AS mean_a", "mean_b AS mean_b", "mean_a - mean_b AS difference", "effect_size AS effect_size", digits=4)
+_ENDS = r("(extreme + 1) / 1001 AS p_value", "a.low AS ci_a_low", "a.high AS ci_a_high", "b.low AS ci_b_low", "b.high AS ci_b_high", digits=4)
+
+
+@query(
+    f"""{_MEANS}, {_permuted("SELECT condition = 'A' AS a, signal AS x, condition || '/' || replicate AS name FROM q WHERE condition IN ('A', 'R')", 1000)},
+    {_bootstrapped("SELECT condition AS g, signal AS x, condition || '/' || replicate AS name FROM q WHERE condition IN ('A', 'R')", 1000)}
+    SELECT n_a, n_b, {_TESTED}, {_ENDS} FROM tested, spans a, spans b WHERE a.g = 'A' AND b.g = 'R'""",
+    digits=4,
+)
+def replicate_effect(spark, sf_dir):
+    return groups.replicate_effect_summary(views.wells(spark, sf_dir), "signal", "condition", "A", "R", n_bootstrap=1000, n_permutations=1000)
+
+
+@query(
+    f"""{_MEANS}, {_permuted("SELECT condition = 'N' AS a, quantity AS x, condition || '/' || replicate AS name FROM q WHERE condition IN ('N', 'R')", 500)}
+    SELECT n_a, n_b, {_TESTED}, {r('(extreme + 1) / 501 AS p_value', digits=4)} FROM tested""",
+    digits=4,
+)
+def permutation_pvalue(spark, sf_dir):
+    means = views.wells(spark, sf_dir).where("condition IN ('N', 'R')").groupBy("condition", "replicate").agg(F.avg("quantity").alias("x"))
+    means = means.withColumn("name", F.concat_ws("/", "condition", F.col("replicate").cast("string")))
+    tested = resampling.permutation_pvalues(means, "x", F.col("condition") == "N", "name", n_permutations=500)
+    effect = normalization.effect_size(means, "x", F.col("condition") == "N", F.col("condition") == "R").select("effect_size")
+    return tested.crossJoin(F.broadcast(effect)).select("n_a", "n_b", "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("difference"), "effect_size", "p_value")
+
+
+_COUNTED = """SELECT g = 'A' AS a, x, g || '/' || x || '/' || row_number() OVER (PARTITION BY g, x) AS name FROM (
+  SELECT l_returnflag AS g, CAST(l_suppkey AS DOUBLE) AS x FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber > 6)"""
+
+
+@query(f"WITH {_permuted(_COUNTED, 200)} SELECT n_a, n_b, {_TESTED}, {r('(extreme + 1) / 201 AS p_value', digits=4)} FROM tested", digits=4)
 def compare_two_groups(spark, sf_dir):
-    means = views.wells(spark, sf_dir).groupBy("condition", "replicate").agg(F.avg("signal").alias("m"))
-    out = groups.compare_two_groups(means, "m", "condition", "A", "R", n_permutations=200)
-    return out.select("n_a", "n_b", "mean_a", "mean_b", "difference", "effect_size", F.col("p_value").between(1 / 201, 1).alias("p_in_range"))
+    """Many equal values: they are counted off, which names them apart."""
+    rows = views.table(spark, sf_dir, "lineitem").where("l_linenumber > 6").select("l_returnflag", F.col("l_suppkey").cast("double").alias("x"))
+    return groups.compare_two_groups(rows, "x", "l_returnflag", "A", "R", n_permutations=200)
 
 
-@query(f"WITH {WELLS_SQL}, q AS (SELECT condition, replicate, avg(signal) AS signal, avg(quantity) AS quantity FROM wells GROUP BY 1, 2), u AS (SELECT condition, 'signal' AS value_column, signal AS m FROM q UNION ALL SELECT condition, 'quantity', quantity FROM q) SELECT condition, value_column, count(m) AS n_replicates, {r('avg(m) AS mean', digits=4)}, true AS ordered FROM u GROUP BY 1, 2", digits=4)
-def experiment_means(spark, sf_dir):
-    out = groups.summarize_experiment(views.wells(spark, sf_dir), replicate="replicate", group="condition", values=["signal", "quantity"], n_bootstrap=200)
-    return out.select("condition", "value_column", "n_replicates", "mean", F.expr("ci_low <= mean AND mean <= ci_high").alias("ordered"))
+@query(
+    f"""{_MEANS}, {_bootstrapped("SELECT condition || '|signal' AS g, signal AS x, CAST(replicate AS VARCHAR) AS name FROM q UNION ALL SELECT condition || '|quantity', quantity, CAST(replicate AS VARCHAR) FROM q", 1000)},
+    n AS (SELECT g, count(*) AS n, avg(x) AS m FROM bv GROUP BY 1)
+    SELECT split_part(g, '|', 1) AS condition, split_part(g, '|', 2) AS value_column, n AS n_replicates, {r('m AS mean', 'low AS ci_low', 'high AS ci_high', digits=4)} FROM spans JOIN n USING (g)""",
+    digits=4,
+)
+def experiment_summary(spark, sf_dir):
+    return groups.summarize_experiment(views.wells(spark, sf_dir), replicate="replicate", group="condition", values=["signal", "quantity"], n_bootstrap=1000)
+
+
+@query(f"SELECT event_type AS operation, count(*) AS calls, {r('sum(value) AS elapsed_seconds', digits=4)}, CAST(sum(event_id % 5) AS BIGINT) AS items, {r('sum(event_id % 5) / sum(value) AS items_per_second', digits=4)} FROM events GROUP BY 1", digits=4)
+def runtime_log(spark, sf_dir):
+    """A log of calls, each from one time to another."""
+    e = views.table(spark, sf_dir, "events").select("event_type", F.lit(0.0).alias("began"), F.col("value").alias("ended"), (F.col("event_id") % 5).alias("items"))
+    return reporting.runtime_table(e, "event_type", "began", "ended").drop("started", "finished")
+
+
+@query(
+    r"""WITH d AS (SELECT lang, 'in/' || doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents)
+    SELECT lang, sha256('{' || string_agg('"' || path || '":"' || h || '"', ',' ORDER BY path, h) || '}') AS fingerprint, count(*) AS inputs FROM d GROUP BY 1"""
+)
+def input_fingerprints(spark, sf_dir):
+    d = views.table(spark, sf_dir, "documents")
+    d = d.select("lang", F.concat(F.lit("in/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return gates.input_fingerprint(d, keys=["lang"])
 
 
 @query(f"WITH p AS (SELECT ps_partkey % 3 AS g, ps_partkey, ps_suppkey, ps_p FROM (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, l_extendedprice % 1000 / 1000 AS ps_p, l_orderkey, l_linenumber FROM lineitem)), k AS (SELECT g, ps_p, count(*) AS n FROM p GROUP BY 1, 2), c AS (SELECT g, ps_p, n, sum(n) OVER (PARTITION BY g ORDER BY ps_p) AS rank, sum(n) OVER (PARTITION BY g) AS total FROM k), q AS (SELECT g, ps_p, n, least(1.0, min(ps_p * total / rank) OVER (PARTITION BY g ORDER BY ps_p DESC ROWS UNBOUNDED PRECEDING)) AS q FROM c) SELECT g, CAST(sum(n) AS BIGINT) AS n, {r('sum(q * n) AS total_q', 'min(q) AS min_q', 'max(q) AS max_q', digits=3)} FROM q GROUP BY 1", digits=3)
