@@ -1,6 +1,6 @@
 """Image sources: folders of files through Spark's binaryFile reader, decoded in tasks without outside libraries.
 
-PNG (8 and 16 bit, not interlaced), BMP (8 and 24 bit) and TIFF (uncompressed or deflate, strips, any number of
+PNG (8 and 16 bit, not interlaced), JPEG (sequential and progressive), BMP (8 and 24 bit) and TIFF (uncompressed or deflate, strips, any number of
 pages, 8/16/32-bit integers and floats) are decoded here; another format is an error of its row.
 """
 
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions.jpeg import decode_jpeg
+
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 IMAGE_SCHEMA = "path string, height int, width int, channels int, dtype string, axes string, shape array<int>, data binary, error string"
 
@@ -184,6 +186,8 @@ def decode(path: str, raw: bytes) -> np.ndarray:
         return decode_png(raw)
     if kind == "bmp":
         return decode_bmp(raw)
+    if kind in ("jpg", "jpeg"):
+        return decode_jpeg(raw)
     if kind in ("tif", "tiff"):
         return collapse_stack(np.stack(decode_tiff(raw).pages))
     raise ValueError(f"unsupported image format: {kind}")
