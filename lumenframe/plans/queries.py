@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import jpeg
 from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
@@ -963,10 +964,45 @@ def load_images(spark, sf_dir):
     return loaded.select("path", "height", "width", "axes", total.cast("double").alias("total"))
 
 
-@query(f"WITH {_VOXELS} SELECT image_id, z, y, x, {r('CAST(label AS DOUBLE) AS v')} FROM vx WHERE image_id % 10 = 0")
+_JPEG_SCALES = np.array([8, *(3 + k % 5 for k in range(1, 64))])
+
+
+def _jpeg_files(spark, sf_dir) -> DataFrame:
+    """Eight vectors as the coefficients of the eight blocks of a grey JPEG image: path, content."""
+
+    def encode(frames):
+        for frame in frames:
+            raw = []
+            for parts in frame["parts"]:
+                blocks = np.zeros((1, max(p["at"] for p in parts) + 1, 64), np.int64)
+                for p in parts:
+                    blocks[0, p["at"]] = np.floor(np.array(p["embedding"], np.float64) * 100 + 0.5)
+                raw.append(jpeg.encode_jpeg([blocks], [_JPEG_SCALES], 8, 8 * blocks.shape[1]))
+            yield pd.DataFrame({"path": [f"plate/{i}.jpg" for i in frame["image"]], "content": raw})
+
+    e = views.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("image"), F.struct((F.col("vec_id") % 8).cast("int").alias("at"), "embedding").alias("part"))
+    return e.groupBy("image").agg(F.collect_list("part").alias("parts")).mapInPandas(encode, "path string, content binary")
+
+
+@query(
+    """WITH z AS (SELECT v, u, row_number() OVER (ORDER BY u + v, CASE WHEN (u + v) % 2 = 1 THEN v ELSE u END) - 1 AS k FROM range(0, 8) AS a(v), range(0, 8) AS b(u)),
+    c AS (SELECT vec_id // 8 AS image, vec_id % 8 AS block, v, u, floor(CAST(e AS DOUBLE) * 100 + 0.5) * CASE WHEN k = 0 THEN 8 ELSE 3 + k % 5 END * CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END * CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END / 4 AS c
+      FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) JOIN z USING (k))
+    SELECT 'plate/' || image || '.jpg' AS path, CAST(y AS INT) AS y, CAST(8 * block + x AS INT) AS x,
+      CAST(least(255, greatest(0, floor(128.5 + sum(c * cos((2 * x + 1) * u * pi() / 16) * cos((2 * y + 1) * v * pi() / 16))))) AS INT) AS v
+    FROM c, range(0, 8) AS py(y), range(0, 8) AS px(x) GROUP BY image, block, y, x"""
+)
+def jpeg_pixels(spark, sf_dir):
+    """Images stored as JPEG come back as the inverse transform of their coefficients."""
+    loaded = images.load_images(_jpeg_files(spark, sf_dir)).select("path", "width", F.hex("data").alias("hex"))
+    values = F.transform(F.sequence(F.lit(0), (F.length("hex") / 2 - 1).cast("int")), lambda i: F.conv(F.substr("hex", (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    return loaded.select("path", "width", F.posexplode(values).alias("at", "v")).select("path", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), "v")
+
+
+@query(f"WITH {_VOXELS} SELECT image_id, z, y, x, {r('CAST(label AS DOUBLE) AS v')} FROM vx")
 def canonical_axes(spark, sf_dir):
     """Stacks declared as X, Y, Z come out in the order Z, Y, X."""
-    vx = _voxels(spark, sf_dir).where("image_id % 10 = 0")
+    vx = _voxels(spark, sf_dir)
     cells = F.array_sort(F.collect_list(F.struct(F.expr("x * 16 + y * 4 + z").alias("at"), F.col("label").cast("double").alias("v"))))
     stacks = vx.groupBy("image_id").agg(F.transform(cells, lambda c: c["v"]).alias("values")).withColumn("shape", F.array(F.lit(4), F.lit(4), F.lit(4)))
     return validation.canonical_axes(stacks, "image_id", "XYZ").select("image_id", "z", "y", "x", "v")
