@@ -16,7 +16,7 @@ from lumenframe.functions import jpeg
 from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
-from lumenframe.sources import images
+from lumenframe.sources import images, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1008,6 +1008,29 @@ def canonical_axes(spark, sf_dir):
     return validation.canonical_axes(stacks, "image_id", "XYZ").select("image_id", "z", "y", "x", "v")
 
 
+@query(f"WITH {_BYTES}, n AS (SELECT image_id, CAST(g AS INT) AS v, row_number() OVER (PARTITION BY image_id ORDER BY i) - 1 AS i FROM gi) SELECT 'stack' || (image_id // 50) || '.tif' AS file, CAST(image_id % 50 AS INT) AS page, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, v FROM n WHERE image_id % 50 BETWEEN 7 AND 41".replace(_BYTES, _BYTES + ", gi AS (SELECT vec_id AS image_id, trunc(greatest(0, least(255, CAST(e AS DOUBLE) * 100 + 100))) AS g, i FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings))"))
+def tiff_pages(spark, sf_dir):
+    """Stacks of 50 pages each, written as files and read by pages; the filter on pages is the source's own."""
+
+    def stack(frames):
+        for frame in frames:
+            raw = []
+            for parts in frame["parts"]:
+                parts = sorted(parts, key=lambda p: p["page"])
+                raw.append(images.encode_tiff(np.stack([np.frombuffer(p["data"], np.uint8).reshape(8, 8) for p in parts])))
+            yield pd.DataFrame({"name": [f"stack{k}.tif" for k in frame["stack"]], "content": raw})
+
+    packed = _packed(spark, sf_dir, "uint8").select(F.floor(F.col("image_id") / 50).alias("stack"), F.struct((F.col("image_id") % 50).alias("page"), "data").alias("part"))
+    files = packed.groupBy("stack").agg(F.collect_list("part").alias("parts")).mapInPandas(stack, "name string, content binary")
+    folder = views.scratch_folder(spark, "stacks")
+    images.write_files(files, folder).count()
+    read = pages.register(spark).read.format("tiff_pages").option("partition_bytes", 4096).load(folder).where("page >= 7 AND page <= 41")
+    read = read.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "page", "first_row", F.element_at("shape", 2).alias("width"), F.hex("data").alias("hex"))
+    values = F.transform(F.sequence(F.lit(0), (F.length("hex") / 2 - 1).cast("int")), lambda i: F.conv(F.substr("hex", (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    read = read.select("file", "page", "first_row", "width", F.posexplode(values).alias("at", "v"))
+    return read.select("file", "page", (F.col("first_row") + F.floor(F.col("at") / F.col("width"))).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), "v")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

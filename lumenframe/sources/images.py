@@ -1,7 +1,8 @@
 """Image sources: folders of files through Spark's binaryFile reader, decoded in tasks without outside libraries.
 
-PNG (8 and 16 bit, not interlaced), JPEG (sequential and progressive), BMP (8 and 24 bit) and TIFF (uncompressed or deflate, strips, any number of
-pages, 8/16/32-bit integers and floats) are decoded here; another format is an error of its row.
+PNG (8 and 16 bit, not interlaced), JPEG (sequential and progressive), BMP (8 and 24 bit) and TIFF (plain, deflate, LZW
+or PackBits, strips or tiles, classic or 64-bit, any number of pages, integers and floats) are decoded here; another
+format is an error of its row.  Stacks too large for a task are read by ``pages``.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.functions import tiff
 from lumenframe.functions.jpeg import decode_jpeg
+from lumenframe.sources.pages import located
 
 EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 IMAGE_SCHEMA = "path string, height int, width int, channels int, dtype string, axes string, shape array<int>, data binary, error string"
@@ -103,48 +107,19 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     return color[..., 0] if (color == color[..., :1]).all() else color
 
 
-#: Sizes and formats of the TIFF field types used.
-_TIFF_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-
-
 @dataclass
 class TiffPages:
     pages: list[np.ndarray]
     description: str
 
 
+def reading(raw: bytes) -> tiff.Read:
+    return lambda offset, size: raw[offset : offset + size]
+
+
 def decode_tiff(raw: bytes) -> TiffPages:
-    end = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if not end or struct.unpack(end + "H", raw[2:4])[0] != 42:
-        raise ValueError("not a TIFF file")
-    pages, description, at = [], "", struct.unpack(end + "I", raw[4:8])[0]
-    while at:
-        count = struct.unpack(end + "H", raw[at : at + 2])[0]
-        tags: dict[int, tuple] = {}
-        for k in range(count):
-            entry = raw[at + 2 + 12 * k : at + 14 + 12 * k]
-            tag, kind, n = struct.unpack(end + "HHI", entry[:8])
-            if kind not in _TIFF_TYPES:
-                continue
-            form = f"{end}{n}s" if kind == 2 else end + _TIFF_TYPES[kind] * n
-            size = struct.calcsize(form)
-            where = entry[8 : 8 + size] if size <= 4 else raw[(p := struct.unpack(end + "I", entry[8:])[0]) : p + size]
-            tags[tag] = struct.unpack(form, where)
-        height, width = tags[257][0], tags[256][0]
-        planes, bits, form = tags.get(277, (1,))[0], tags.get(258, (1,))[0], tags.get(339, (1,))[0]
-        packing = tags.get(259, (1,))[0]
-        if packing not in (1, 8, 32946) or bits % 8 or tags.get(284, (1,))[0] != 1:
-            raise ValueError("only uncompressed or deflate TIFF in chunky strips is supported")
-        strips = [raw[o : o + n] for o, n in zip(tags[273], tags[279])]
-        body = b"".join(strips if packing == 1 else map(zlib.decompress, strips))
-        kind = np.dtype(end + {1: "u", 2: "i", 3: "f"}[form] + str(bits // 8))
-        page = np.frombuffer(body, kind, height * width * planes).reshape(height, width, planes).astype(kind.newbyteorder("="))
-        if tags.get(317, (1,))[0] == 2:
-            page = np.cumsum(page, axis=1, dtype=page.dtype)
-        pages.append(page[..., 0] if planes == 1 else page)
-        description = description or tags.get(270, (b"",))[0].rstrip(b"\0").decode("utf-8", "replace")
-        at = struct.unpack(end + "I", raw[at + 2 + 12 * count : at + 6 + 12 * count])[0]
-    return TiffPages(pages, description)
+    found, description = tiff.pages(reading(raw))
+    return TiffPages([page.pixels(reading(raw)) for page in found], description)
 
 
 def encode_tiff(pages: np.ndarray, description: str = "") -> bytes:
@@ -235,14 +210,14 @@ class ImageStack:
         return "T" in self.axes
 
 
-def series_of(tiff: TiffPages) -> list[tuple[str, tuple[int, ...], list[int]]]:
+def series_of(found: list[tiff.Page], description: str) -> list[tuple[str, tuple[int, ...], list[int]]]:
     """(axes, shape, pages in the order T, Z, C) of each series: of the OME images, or else all pages of one size."""
-    height, width = tiff.pages[0].shape[:2]
-    if "<OME" not in tiff.description and "<Pixels" not in tiff.description:
-        n = len(tiff.pages)
+    height, width = found[0].height, found[0].width
+    if "<OME" not in description and "<Pixels" not in description:
+        n = len(found)
         return [("YX", (height, width), [0])] if n == 1 else [("ZYX", (n, height, width), list(range(n)))]
     out, at = [], 0
-    root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", tiff.description))
+    root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", description))
     for pixels in (e for e in root.iter() if e.tag.rsplit("}", 1)[-1] == "Pixels"):
         sizes = {a: int(pixels.get(f"Size{a}", 1)) for a in STACK_AXES}
         # DimensionOrder names the fastest axis first; pages are put into the order T, Z, C.
@@ -250,12 +225,12 @@ def series_of(tiff: TiffPages) -> list[tuple[str, tuple[int, ...], list[int]]]:
         number = np.arange(at, at + sizes["T"] * sizes["Z"] * sizes["C"]).reshape([sizes[a] for a in reversed(fast)])
         pages = number.transpose([list(reversed(fast)).index(a) for a in "TZC"]).ravel().tolist()
         at += len(pages)
-        if at > len(tiff.pages):
-            raise ValueError(f"OME sizes need {at} pages, the file has {len(tiff.pages)}")
+        if at > len(found):
+            raise ValueError(f"OME sizes need {at} pages, the file has {len(found)}")
         axes = "".join(a for a in STACK_AXES if a in "YX" or sizes[a] > 1)
         out.append((axes, tuple(sizes[a] for a in axes), pages))
-    if at != len(tiff.pages):
-        raise ValueError(f"OME sizes need {at} pages, the file has {len(tiff.pages)}")
+    if at != len(found):
+        raise ValueError(f"OME sizes need {at} pages, the file has {len(found)}")
     return out
 
 
@@ -269,15 +244,16 @@ def load_series(files: DataFrame, series_index: int = 0) -> DataFrame:
         for frame in frames:
             for path, raw in zip(frame["path"], frame["content"]):
                 try:
-                    tiff = decode_tiff(bytes(raw))
-                    found = series_of(tiff)
+                    read = reading(bytes(raw))
+                    every, description = tiff.pages(read)
+                    found = series_of(every, description)
                     if series_index >= len(found):
                         raise IndexError(f"series {series_index} of {len(found)}")
                     axes, shape, pages = found[series_index]
                     sizes = dict(zip(axes, shape))
                     for k, page in enumerate(pages):
                         t, z, c = np.unravel_index(k, [sizes.get(a, 1) for a in "TZC"])
-                        x = tiff.pages[page]
+                        x = every[page].pixels(read)
                         yield pd.DataFrame([(path, series_index, axes, list(shape), int(t), int(z), int(c), str(x.dtype), x.tobytes(), None)], columns=names)
                 except Exception as e:
                     yield pd.DataFrame([(path, series_index, None, None, None, None, None, None, None, str(e))], columns=names)
@@ -285,6 +261,25 @@ def load_series(files: DataFrame, series_index: int = 0) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SERIES_SCHEMA)
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write (name, content) as files below a folder of any store that Arrow opens; (path, size) of those written.
+
+    Names are unique, so a task that is run again writes the same file again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = located(folder)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            names, contents = batch.column("name").to_pylist(), batch.column("content").to_pylist()
+            for name, content in zip(names, contents):
+                with system.open_output_stream(f"{inner}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{n}" for n in names], "size": [len(c) for c in contents]})
+
+    return files.select("name", "content").mapInArrow(run, "path string, size long")
+
+
 def make_cells_image(n_cells: int = 200, size: int = 512, background: int = 60, noise: float = 4.0, seed: int = 0) -> np.ndarray:
     """An 8-bit test image: bright discs of radius 4 to 8 at random places on a noisy background."""
     rng = np.random.default_rng(seed)
@@ -295,8 +290,12 @@ def make_cells_image(n_cells: int = 200, size: int = 512, background: int = 60,
     return np.clip(image + rng.normal(0, noise, image.shape), 0, 255).astype(np.uint8)
 
 
+STACK_SCHEMA = "path string, page int, shape array<int>, dtype string, data binary, error string"
+
+
 def load_stacks(files: DataFrame, axes: str) -> DataFrame:
-    """TIFF files as stacks with declared axes (leading axes fill up with pages), one row per page: path, page, data."""
+    """TIFF files as stacks with declared axes (leading axes fill up with pages), one row per page, or a file's error."""
+    names = [c.split()[0] for c in STACK_SCHEMA.split(", ")]
     unknown = set(axes) - set(STACK_AXES)
     if unknown or len(set(axes)) != len(axes):
         raise ValueError(f"unknown or repeated axes: {axes}")
@@ -304,15 +303,19 @@ def load_stacks(files: DataFrame, axes: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, raw in zip(frame["path"], frame["content"]):
-                for k, page in enumerate(decode_tiff(bytes(raw)).pages):
-                    yield pd.DataFrame([(path, k, list(page.shape), str(page.dtype), page.tobytes())], columns=["path", "page", "shape", "dtype", "data"])
+                try:
+                    rows = [(path, k, list(page.shape), str(page.dtype), page.tobytes(), None) for k, page in enumerate(decode_tiff(bytes(raw)).pages)]
+                except Exception as e:
+                    rows = [(path, None, None, None, None, str(e))]
+                for row in rows:
+                    yield pd.DataFrame([row], columns=names)
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, shape array<int>, dtype string, data binary")
+    return files.select("path", "content").mapInPandas(run, STACK_SCHEMA)
 
 
 OME_SCHEMA = (
     "path string, size_x int, size_y int, size_z int, size_c int, size_t int, physical_x double, physical_y double, physical_z double, "
-    "unit_x string, unit_y string, unit_z string, n_pages int, dtype string, channel_names array<string>, error string"
+    "unit_x string, unit_y string, unit_z string, n_pages int, dtype string, axes string, shape array<int>, channel_names array<string>, error string"
 )
 
 
@@ -329,6 +332,15 @@ def ome_info(description: str) -> dict[str, object]:
     return out | {f"unit_{a.lower()}": pixels.get(f"PhysicalSize{a}Unit") for a in "XYZ"} | {"channel_names": names}
 
 
+def _axes(found: list[tiff.Page], description: str) -> dict[str, object]:
+    """Axes and shape of the first series, unknown where the sizes told don't fit the pages."""
+    try:
+        axes, shape, _ = series_of(found, description)[0]
+    except ValueError:
+        return {}
+    return {"axes": axes, "shape": list(shape)}
+
+
 def read_ome_info(files: DataFrame) -> DataFrame:
     """One row per file: its OME metadata, or the error of a file that has none."""
     names = [c.split()[0] for c in OME_SCHEMA.split(", ")]
@@ -338,9 +350,10 @@ def read_ome_info(files: DataFrame) -> DataFrame:
             for path, raw in zip(frame["path"], frame["content"]):
                 row: dict[str, object] = {"path": path}
                 try:
-                    tiff = decode_tiff(bytes(raw))
-                    row |= {"n_pages": len(tiff.pages), "dtype": str(tiff.pages[0].dtype)}
-                    row |= ome_info(tiff.description)
+                    found, description = tiff.pages(reading(bytes(raw)))  # directories alone
+                    row |= {"n_pages": len(found), "dtype": str(found[0].dtype)}
+                    row |= ome_info(description)
+                    row |= _axes(found, description)
                 except Exception as e:
                     row["error"] = str(e)
                 yield pd.DataFrame([[row.get(n) for n in names]], columns=names)

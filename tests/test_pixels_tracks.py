@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.functions import kernels as k
+from lumenframe.functions import kernels as k, tiff
 from lumenframe.operators import pixels, tracking, tracks
 from lumenframe.sources import images
 from lumenframe.streaming.tracking import link_stream
@@ -220,7 +220,10 @@ def test_image_sources(spark, tmp_path):
     tif = files.where("path LIKE '%.tif'")
     info = images.read_ome_info(tif).first()
     assert (info["size_z"], info["physical_x"], info["channel_names"], info["n_pages"]) == (3, 0.5, ["DAPI"], 3)
+    assert (info["axes"], info["shape"]) == ("ZYX", [3, 20, 20])
     assert images.load_stacks(tif, "ZYX").count() == 3
+    odd = images.load_stacks(files, "ZYX").where("error IS NOT NULL").select("path").collect()
+    assert len(odd) == 3  # files that are no TIFF tell it and don't end the job
     pages = images.load_series(tif).orderBy("z").collect()
     assert [(r["axes"], r["z"], r["shape"]) for r in pages] == [("ZYX", z, [3, 20, 20]) for z in range(3)]
     assert "series 4" in images.load_series(tif, 4).first()["error"]
@@ -232,9 +235,9 @@ def test_image_sources(spark, tmp_path):
     assert others["bare.tif"]["error"] and others["short.tif"]["error"] is None  # a file without metadata doesn't end the job
     assert "pages" in images.load_series(images.find_images(spark, str(bare)).where("path LIKE '%short%'")).first()["error"]
     cz = '<OME><Image><Pixels DimensionOrder="XYCZT" SizeX="20" SizeY="20" SizeZ="2" SizeC="2" SizeT="1"/></Image><Image><Pixels SizeX="20" SizeY="20"/></Image></OME>'
-    found = images.series_of(images.decode_tiff(images.encode_tiff(np.stack([deep + k for k in range(5)]), cz)))
+    found = images.series_of(*tiff.pages(images.reading(images.encode_tiff(np.stack([deep + k for k in range(5)]), cz))))
     assert found == [("ZCYX", (2, 2, 20, 20), [0, 1, 2, 3]), ("YX", (20, 20), [4])]
-    swapped = images.series_of(images.decode_tiff(images.encode_tiff(np.stack([deep + k for k in range(4)]), cz.split("<Image><Pixels SizeX")[0].replace("XYCZT", "XYZCT") + "</OME>")))
+    swapped = images.series_of(*tiff.pages(images.reading(images.encode_tiff(np.stack([deep + k for k in range(4)]), cz.split("<Image><Pixels SizeX")[0].replace("XYCZT", "XYZCT") + "</OME>"))))
     assert swapped == [("ZCYX", (2, 2, 20, 20), [0, 2, 1, 3])]
     stack = images.ImageStack("a", "TCYX", (2, 2, 5, 5), "uint8")
     assert stack.has_channel and stack.has_time and not stack.has_z
