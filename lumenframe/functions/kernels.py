@@ -78,7 +78,11 @@ def otsu(values: np.ndarray, low: float, high: float, bins: int = 256) -> float:
     if not len(values):
         return (low + high) / 2
     count, edge = np.histogram(values, bins, (low, high))
-    centre = (edge[:-1] + edge[1:]) / 2
+    return otsu_counts(count, (edge[:-1] + edge[1:]) / 2)
+
+
+def otsu_counts(count: np.ndarray, centre: np.ndarray) -> float:
+    """As :func:`otsu`, of a histogram."""
     w, m = np.cumsum(count), np.cumsum(count * centre)
     rest = w[-1] - w
     with np.errstate(divide="ignore", invalid="ignore"):

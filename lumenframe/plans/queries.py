@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe import scratch
 from lumenframe.functions import jpeg
 from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tracking, tracks, validation
 from lumenframe.plans import views
@@ -1022,7 +1023,7 @@ def tiff_pages(spark, sf_dir):
 
     packed = _packed(spark, sf_dir, "uint8").select(F.floor(F.col("image_id") / 50).alias("stack"), F.struct((F.col("image_id") % 50).alias("page"), "data").alias("part"))
     files = packed.groupBy("stack").agg(F.collect_list("part").alias("parts")).mapInPandas(stack, "name string, content binary")
-    folder = views.scratch_folder(spark, "stacks")
+    folder = scratch.folder(spark, "stacks")
     images.write_files(files, folder).count()
     read = pages.register(spark).read.format("tiff_pages").option("partition_bytes", 4096).load(folder).where("page >= 7 AND page <= 41")
     read = read.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "page", "first_row", F.element_at("shape", 2).alias("width"), F.hex("data").alias("hex"))
