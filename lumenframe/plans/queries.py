@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import scratch
 from lumenframe.functions import jpeg
-from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tracking, tracks, validation
+from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tiles, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
 from lumenframe.sources import images, pages
@@ -1000,6 +1000,28 @@ def jpeg_pixels(spark, sf_dir):
     return loaded.select("path", "width", F.posexplode(values).alias("at", "v")).select("path", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), "v")
 
 
+@query(
+    f"""WITH RECURSIVE {_BYTES}, gi AS (SELECT vec_id, trunc(greatest(0, least(255, CAST(e AS DOUBLE) * 100 + 100))) AS g, i FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)),
+    cells AS (SELECT vec_id // 256 AS image, vec_id % 256 // 16 * 8 + i // 8 AS y, vec_id % 16 * 8 + i % 8 AS x FROM gi WHERE g > 111),
+    reach AS (SELECT image, y, x, y AS ry, x AS rx FROM cells UNION
+      SELECT r.image, r.y, r.x, n.y, n.x FROM reach r JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true JOIN cells n ON n.image = r.image AND n.y = r.ry + dy AND n.x = r.rx + dx),
+    roots AS (SELECT image, y, x, min(ry * 1000000 + rx) AS root FROM reach GROUP BY 1, 2, 3)
+    SELECT image, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(dense_rank() OVER (PARTITION BY image ORDER BY root) AS INT) AS label FROM roots"""
+)
+def tiled_labels(spark, sf_dir):
+    """Objects of images of 128 x 128, each of 256 vectors as tiles of 8 x 8."""
+    packed = _packed(spark, sf_dir, "uint8").select(
+        F.floor(F.col("image_id") / 256).alias("image"), F.array(F.floor(F.col("image_id") % 256 / 16).cast("int"), (F.col("image_id") % 16).cast("int")).alias("tile"), "shape", "data"
+    )
+
+    def threshold(frames):
+        for frame in frames:
+            yield frame.assign(data=[(np.frombuffer(d, np.uint8) > 111).astype(np.uint8).tobytes() for d in frame["data"]])
+
+    masks = packed.mapInPandas(threshold, packed.schema)
+    return tiles.tile_cells(tiles.label_tiles(masks, ["image"], (8, 8)), ["image"], (8, 8))
+
+
 @query(f"WITH {_VOXELS} SELECT image_id, z, y, x, {r('CAST(label AS DOUBLE) AS v')} FROM vx")
 def canonical_axes(spark, sf_dir):
     """Stacks declared as X, Y, Z come out in the order Z, Y, X."""
