@@ -247,10 +247,61 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j])
 
 
-def gated_assign(distance: np.ndarray, limit: np.ndarray) -> list[tuple[int, int]]:
-    """Assignment in which pairs beyond the gate of their row cost more than any allowed one, and are dropped."""
-    if not distance.size:
-        return []
-    allowed = distance <= limit[:, None]
-    cost = np.where(allowed, distance, distance[allowed].sum() + limit.max() + 1 if allowed.any() else 1.0)
-    return [(r, c) for r, c in assign(cost) if allowed[r, c]]
+def near_pairs(a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the points of b within the limit of each of a, through cells as wide as the largest limit."""
+    rows, columns = (np.flatnonzero(np.isfinite(x).all(axis=1)) for x in (a, b))
+    if not len(rows) or not len(columns):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    low = np.minimum(a[rows].min(axis=0), b[columns].min(axis=0))
+    span = np.maximum(a[rows].max(axis=0), b[columns].max(axis=0)) - low
+    side = max(float(limit.max()), float(span.max()) / 1e5, 1e-300)  # cells numbered within 64 bits
+    strides = np.cumprod([1, *(np.floor(span / side).astype(np.int64) + 3)[:-1]])
+    cell = lambda x: (np.floor((x - low) / side).astype(np.int64) + 1) @ strides
+    order = columns[np.argsort(cell(b[columns]), kind="stable")]
+    filled, own, out = cell(b[order]), cell(a[rows]), []
+    for step in np.ndindex(*[3] * a.shape[1]):
+        wanted = own + (np.array(step) - 1) @ strides
+        first, stop = np.searchsorted(filled, wanted, "left"), np.searchsorted(filled, wanted, "right")
+        many = stop - first
+        r = np.repeat(rows, many)
+        c = order[np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        d = np.sqrt(((a[r] - b[c]) ** 2).sum(axis=1))
+        near = d <= limit[r]
+        out.append((r[near], c[near], d[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+
+
+def linked_groups(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of n nodes, the least one that each reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def sparse_assign(a: np.ndarray, b: np.ndarray, limit: np.ndarray, beyond: float | None = None) -> list[tuple[int, int, float]]:
+    """Optimal one-to-one (row, column, distance) within each row's limit: groups of points that are near are solved alone.
+
+    Pairs beyond the limit cost ``beyond``; without it more than all allowed ones, so that as many pairs as can be are
+    matched.  No matrix is larger than a group's.
+    """
+    r, c, d = near_pairs(a, b, limit)
+    group = linked_groups(len(a) + len(b), r, len(a) + c)[r]
+    order = np.argsort(group, kind="stable")
+    out = []
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(at) == 1:
+            out.append((int(r[at[0]]), int(c[at[0]]), float(d[at[0]])))
+        elif len(at):
+            rows, i = np.unique(r[at], return_inverse=True)
+            columns, j = np.unique(c[at], return_inverse=True)
+            cost = np.full((len(rows), len(columns)), d[at].sum() + float(limit.max()) + 1 if beyond is None else beyond)
+            allowed = np.zeros(cost.shape, bool)
+            cost[i, j], allowed[i, j] = d[at], True
+            out += [(int(rows[x]), int(columns[y]), float(cost[x, y])) for x, y in assign(cost) if allowed[x, y]]
+    return sorted(out)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.kernels import assign, gated_assign
+from lumenframe.functions.kernels import sparse_assign
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,13 @@ def advance(state: TrackState, frame: int, labels: list[int], points: np.ndarray
     rows, matched = [], set()
     if len(old) and len(labels):
         seen = at + speed * gaps[:, None] if config.use_velocity else at
-        distance = np.sqrt(((seen[:, None] - points[None]) ** 2).sum(axis=2))
         limit = config.max_distance * gaps
-        for r, c in gated_assign(distance, limit):
+        for r, c, distance in sparse_assign(seen, points, limit):
             track, last, before, velocity = old[r]
             step = (points[c] - np.array(before)) / gaps[r]
             a = config.velocity_smoothing
             state.active[track] = (frame, points[c].tolist(), (a * step + (1 - a) * np.array(velocity)).tolist())
-            rows.append((track, frame, labels[c], *points[c].tolist(), float(distance[r, c]), int(gaps[r]) - 1, float(max(0.0, 1 - distance[r, c] / limit[r]))))
+            rows.append((track, frame, labels[c], *points[c].tolist(), distance, int(gaps[r]) - 1, float(max(0.0, 1 - distance / limit[r]))))
             matched.add(c)
     for c, label in enumerate(labels):
         if c not in matched:
@@ -102,8 +101,7 @@ def match_instances(pred: DataFrame, truth: DataFrame, key: str, *, axes: tuple[
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf.loc[pdf["side"] == s, list(axes)].to_numpy(float) for s in (0, 1))
-        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-        tp = sum(d[r, c] <= max_distance for r, c in assign(np.where(d <= max_distance, d, max_distance + 1)))
+        tp = len(sparse_assign(a, b, np.full(len(a), max_distance), max_distance + 1))
         return pd.DataFrame([(pdf[key].iloc[0], int(tp), len(a) - int(tp), len(b) - int(tp))], columns=[key, "tp", "fp", "fn"])
 
     m = both.groupBy(key).applyInPandas(kernel, f"`{key}` {kind}, {MATCH_SCHEMA}")

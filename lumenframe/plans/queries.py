@@ -557,6 +557,18 @@ def link_frames_3d(spark, sf_dir):
     return tracking.link_frames(points, "series", axes=("z", "y", "x"), config=tracking.TrackingConfig(max_distance=4.0))
 
 
+@query(
+    f"""WITH {PIXELS_SQL}, {_LABELLED}, t AS (SELECT image_id, label, avg(y) AS y, avg(x) AS x FROM lp WHERE label > 0 GROUP BY 1, 2), p AS (SELECT image_id, label, avg(y) AS y, avg(x) AS x FROM lp WHERE label > 0 AND v > 112 GROUP BY 1, 2),
+    c AS (SELECT t.image_id, count(*) AS truth, count(p.label) AS predicted, count(*) FILTER (pow(p.y - t.y, 2) + pow(p.x - t.x, 2) <= 0.81) AS tp FROM t LEFT JOIN p USING (image_id, label) GROUP BY 1)
+    SELECT image_id, tp, predicted - tp AS fp, truth - tp AS fn, {r('CASE WHEN predicted > 0 THEN tp / predicted ELSE 1 END AS instance_precision', 'tp / truth AS instance_recall', '2 * tp / (predicted + truth) AS instance_f1')}, abs(predicted - truth) AS absolute_count_error FROM c"""
+)
+def match_instances_close(spark, sf_dir):
+    """Objects of different quarters are further apart than the gate, so each can match its own twin alone."""
+    px = _labelled(spark, sf_dir).withColumn("frame", F.lit(0))
+    truth, pred = (tracking.centroids(x, ["image_id"]) for x in (px, px.where("v > 112")))
+    return tracking.match_instances(pred, truth, "image_id", max_distance=0.9)
+
+
 @query()
 def match_instances(spark, sf_dir):
     px = _labelled(spark, sf_dir).withColumn("frame", F.lit(0))
