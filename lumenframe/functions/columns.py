@@ -40,15 +40,3 @@ def with_scalars(df: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
         return df.crossJoin(F.broadcast(stats))  # one row
     renamed = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in stats.columns if c not in keys])
     return df.join(renamed, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
-
-
-def median_mad(df: DataFrame, value: Column, keys: list[str], where: Column | None = None) -> DataFrame:
-    """Per key: __median, __mad, __std_samp, __std_pop, __n of ``value`` over the rows where ``where`` holds."""
-    base = (df if where is None else df.where(where)).select(*keys, value.alias("__v"))
-    first = base.groupBy(*keys).agg(
-        F.median("__v").alias("__median"), F.stddev_samp("__v").alias("__std_samp"), F.stddev_pop("__v").alias("__std_pop"), F.count("__v").alias("__n")
-    )
-    spread = with_scalars(base, keys, first.select(*keys, "__median")).groupBy(*keys).agg(F.median(F.abs(F.col("__v") - F.col("__median"))).alias("__mad"))
-    if not keys:
-        return first.crossJoin(F.broadcast(spread))
-    return with_scalars(first, keys, spread)

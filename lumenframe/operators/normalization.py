@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.columns import MAD_FACTOR, MAD_SCALE, median_mad, number, ratio, require, with_scalars
+from lumenframe.functions.columns import MAD_FACTOR, MAD_SCALE, number, ratio, require, with_scalars
+from lumenframe.operators.selection import median_mad, medians, select_medians
 
 SCRATCH = ["__median", "__mad", "__std_samp", "__std_pop", "__n"]
 QC_METRICS = ("focus_score", "brightness_mean", "saturation_fraction", "contrast_std", "estimated_cells", "segmentation_quality")
@@ -29,8 +30,8 @@ def adaptive_dataset_qc(df: DataFrame, *, z_limit: float = 3.5, metrics: tuple[s
     if present:
         values = [number(m).alias(f"__v_{m}") for m in present]
         base = df.select(*keys, *values)
-        med = base.groupBy(*keys).agg(*[F.median(f"__v_{m}").alias(f"__m_{m}") for m in present])
-        mad = with_scalars(base, keys, med).groupBy(*keys).agg(*[F.median(F.abs(F.col(f"__v_{m}") - F.col(f"__m_{m}"))).alias(f"__d_{m}") for m in present])
+        med = medians(base, {f"__m_{m}": F.col(f"__v_{m}") for m in present}, keys)
+        mad = medians(with_scalars(base, keys, med), {f"__d_{m}": F.abs(F.col(f"__v_{m}") - F.col(f"__m_{m}")) for m in present}, keys)
         out = with_scalars(with_scalars(df, keys, med), keys, mad)
         for m in present:
             z = F.when(F.col(f"__d_{m}") > 0, MAD_FACTOR * (number(m) - F.col(f"__m_{m}")) / F.col(f"__d_{m}")).when(F.coalesce(f"__d_{m}", F.lit(0.0)) == 0, 0.0)
@@ -71,7 +72,8 @@ def normalize_to_controls_ratio(
     require(df, value, control)
     if method not in ("median", "mean"):
         raise ValueError("method must be 'median' or 'mean'")
-    base = df.where(F.col(control) == F.lit(control_value)).groupBy(*keys).agg(getattr(F, method)(number(value)).alias("control_baseline"))
+    controls = df.where(F.col(control) == F.lit(control_value))
+    base = medians(controls, {"control_baseline": number(value)}, keys) if method == "median" else controls.groupBy(*keys).agg(F.avg(number(value)).alias("control_baseline"))
     joined = with_scalars(df, keys, base)
     usable = F.when(F.coalesce("control_baseline", F.lit(0.0)) != 0, F.col("control_baseline")).otherwise(
         F.raise_error(F.lit("control baseline is missing or zero")).cast("double")
@@ -130,13 +132,9 @@ def plate_edge_effect_robust(
     inner = median_mad(base, F.col("__m"), keys, ~F.col("__edge"))
     scale = F.coalesce(F.when(F.col("__mad") > 0, MAD_SCALE * F.col("__mad")), F.when(F.col("__std_samp") > 0, F.col("__std_samp")), F.lit(1.0))
     inner = inner.select(*keys, scale.alias("__scale"))
-    agg = base.groupBy(*keys).agg(
-        F.count_if("__edge").alias("edge_n"),
-        F.count_if(~F.col("__edge")).alias("interior_n"),
-        F.median(F.when(F.col("__edge"), F.col("__m"))).alias("edge_median"),
-        F.median(F.when(~F.col("__edge"), F.col("__m"))).alias("interior_median"),
-    )
-    out = with_scalars(agg, keys, inner).withColumn("difference", F.col("edge_median") - F.col("interior_median"))
+    counts = base.groupBy(*keys).agg(F.count_if("__edge").alias("edge_n"), F.count_if(~F.col("__edge")).alias("interior_n"))
+    middles = medians(base, {"edge_median": F.when(F.col("__edge"), F.col("__m")), "interior_median": F.when(~F.col("__edge"), F.col("__m"))}, keys)
+    out = with_scalars(with_scalars(counts, keys, middles), keys, inner).withColumn("difference", F.col("edge_median") - F.col("interior_median"))
     return out.withColumn("robust_effect", F.col("difference") / F.col("__scale")).drop("__scale")
 
 
@@ -146,28 +144,30 @@ def plate_edge_effect_ratio(df: DataFrame, value: str, *, well: str = "well", ke
     row = F.upper(F.substring(F.col(well), 1, 1))
     col = F.expr(f"substring(`{well}`, 2)").try_cast("int")
     edge = row.isin("A", "H") | col.isin(1, 12)
-    agg = df.groupBy(*keys).agg(F.median(F.when(edge, number(value))).alias("edge_median"), F.median(F.when(~edge, number(value))).alias("interior_median"))
+    agg = medians(df, {"edge_median": F.when(edge, number(value)), "interior_median": F.when(~edge, number(value))}, keys)
     return agg.withColumn("edge_interior_ratio", ratio(F.col("edge_median"), F.col("interior_median")))
 
 
 def plate_qc_summary(df: DataFrame, metrics: list[str], *, control_column: str | None = None, control_value: object = None) -> DataFrame:
     """Per metric: n, mean, median, std and, with controls, the share of values over 3 robust deviations from theirs.
 
-    All metrics are aggregated side by side, in one pass for medians and one each for the spreads that need them.
+    All metrics are aggregated side by side; medians of all metrics, and then all spreads, are selected together.
     """
     require(df, *metrics)
     names = list(dict.fromkeys(metrics))
     rows = df.select(*[number(m).alias(f"v{k}") for k, m in enumerate(names)], (F.col(control_column) == F.lit(control_value) if control_column else F.lit(False)).alias("control"))
     controls = lambda k: F.when(F.col("control"), F.col(f"v{k}"))
-    whole = (("n", F.count), ("mean", F.avg), ("median", F.median), ("std", F.stddev_samp))
+    whole = (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp))
     first = [f(f"v{k}").alias(f"{n}{k}") for k in range(len(names)) for n, f in whole]
+    middle = {f"median{k}": F.col(f"v{k}") for k in range(len(names))}
     if control_column:
-        first += [f(controls(k)).alias(f"{n}{k}") for k in range(len(names)) for n, f in (("cm", F.median), ("cs", F.stddev_samp))]
-    stats = rows.agg(*first)  # one row
+        first += [F.stddev_samp(controls(k)).alias(f"cs{k}") for k in range(len(names))]
+        middle |= {f"cm{k}": controls(k) for k in range(len(names))}
+    stats = rows.agg(*first).crossJoin(F.broadcast(select_medians(rows, middle)))  # one row
     parts = ["n", "mean", "median", "std"]
     if control_column:
         off = [F.abs(F.col(f"v{k}") - F.col(f"cm{k}")) for k in range(len(names))]
-        spread = rows.crossJoin(F.broadcast(stats)).agg(*[F.median(F.when(F.col("control"), o)).alias(f"cd{k}") for k, o in enumerate(off)])
+        spread = select_medians(rows.crossJoin(F.broadcast(stats)), {f"cd{k}": F.when(F.col("control"), o) for k, o in enumerate(off)})
         stats = stats.crossJoin(F.broadcast(spread))
         for k in range(len(names)):
             mad, std = F.col(f"cd{k}"), F.col(f"cs{k}")
@@ -186,12 +186,12 @@ def b_score(df: DataFrame, value: str, *, row: str = "row", column: str = "colum
     v = number(value)
     by_row = df.groupBy(*keys, row).agg(F.median(v).alias("__r"))
     by_col = df.groupBy(*keys, column).agg(F.median(v).alias("__c"))
-    grand = df.groupBy(*keys).agg(F.median(v).alias("__g"))
+    grand = medians(df, {"__g": v}, keys)
     out = with_scalars(with_scalars(with_scalars(df, [*keys, row], by_row), [*keys, column], by_col), keys, grand)
     out = out.withColumn("__x", v - F.col("__r") - F.col("__c") + F.col("__g"))
-    scale = out.groupBy(*keys).agg((MAD_SCALE * F.median(F.abs(F.col("__x")))).alias("__s1"), F.stddev_pop("__x").alias("__s2"))
-    out = with_scalars(out, keys, scale)
-    used = F.coalesce(F.when(F.col("__s1") > 0, F.col("__s1")), F.when(F.col("__s2") > 0, F.col("__s2")), F.lit(1.0))
+    spread, scale = out.groupBy(*keys).agg(F.stddev_pop("__x").alias("__s2")), medians(out, {"__s1": F.abs(F.col("__x"))}, keys)
+    out = with_scalars(with_scalars(out, keys, spread), keys, scale)
+    used = F.coalesce(F.when(F.col("__s1") > 0, MAD_SCALE * F.col("__s1")), F.when(F.col("__s2") > 0, F.col("__s2")), F.lit(1.0))
     return out.withColumn(output or f"{value}_b_score", F.col("__x") / used).drop("__r", "__c", "__g", "__x", "__s1", "__s2")
 
 
