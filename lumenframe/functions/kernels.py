@@ -181,41 +181,66 @@ def focus(gray: np.ndarray) -> float:
     return float((wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * wide[1:-1, 1:-1]).var())
 
 
+def windows(image: np.ndarray, lengths: list[int], how: np.ufunc) -> dict[int, np.ndarray]:
+    """Per length: the extreme of that many cells from each place of a row on (rows get shorter), from windows of powers of two."""
+    out, step, span = {}, image, 1
+    for length in sorted(lengths):
+        while 2 * span <= length:
+            step = how(step[:, :-span], step[:, span:])
+            span *= 2
+        rest = length - span
+        out[length] = how(step[:, : step.shape[1] - rest], step[:, rest:])
+    return out
+
+
+def disc_extreme(image: np.ndarray, radius: int, how: np.ufunc, outside: int) -> np.ndarray:
+    """Extreme over a disc around each cell.  The disc is a stack of chords, and a chord one window of its row."""
+    reach = [int((radius * radius - dy * dy) ** 0.5) for dy in range(radius + 1)]
+    wide = np.pad(image, radius, constant_values=outside)
+    chords = windows(wide, sorted({2 * r + 1 for r in reach}), how)
+    height, width = image.shape
+    out = np.full(image.shape, outside, image.dtype)
+    for dy in range(-radius, radius + 1):
+        half = reach[abs(dy)]
+        how(out, chords[2 * half + 1][radius + dy : radius + dy + height, radius - half : radius - half + width], out=out)
+    return out
+
+
 def top_hat(gray: np.ndarray, radius: int = 25) -> np.ndarray:
     """White top-hat with a disc."""
-    disc = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
-
-    def extreme(image: np.ndarray, how: np.ufunc, pad: int) -> np.ndarray:
-        wide = np.pad(image, radius, constant_values=pad)
-        out = image.copy()
-        for y, x in disc:
-            how(out, wide[radius + y : radius + y + image.shape[0], radius + x : radius + x + image.shape[1]], out=out)
-        return out
-
-    return gray - np.minimum(extreme(extreme(gray, np.minimum, 255), np.maximum, 0), gray)
-
-
-def perimeter(mask: np.ndarray) -> float:
-    """Length of the outer border by 8-connected steps between neighbouring border cells (Moore tracing)."""
-    wide = np.pad(np.asarray(mask, bool), 1)
-    cells = np.argwhere(wide)
-    if len(cells) < 2:
-        return 0.0
-    ring = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-    begin = here = tuple(cells[0])
-    back, total, first = 0, 0.0, None
-    while True:
-        for k in range(1, 9):
-            way = (back + k) % 8
-            there = (here[0] + ring[way][0], here[1] + ring[way][1])
-            if wide[there]:
-                break
-        if here == begin and first == way:
-            return total
-        if first is None:
-            first = way
-        total += 2**0.5 if way % 2 else 1.0
-        here, back = there, (way + 4) % 8  # the search resumes after the cell come from
+    opened = disc_extreme(disc_extreme(gray, radius, np.minimum, 255), radius, np.maximum, 0)
+    return gray - np.minimum(opened, gray)
+
+
+def perimeters(label: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, cells, border lengths) of labelled cells.  A border is traced by 8-connected steps from the label's first cell (Moore tracing).
+
+    All labels are traced side by side, one step of each at a time; cells are looked up among the sorted ones, so
+    memory follows the cells.  Of a label in several parts the one with its first cell counts.
+    """
+    ids, own, area = np.unique(label, return_inverse=True, return_counts=True)
+    length = np.zeros(len(ids))
+    if not len(ids):
+        return ids, area, length
+    y, x = y.astype(np.int64) - int(y.min()) + 1, x.astype(np.int64) - int(x.min()) + 1
+    width = int(x.max()) + 2
+    size = width * (int(y.max()) + 2)
+    cells = np.unique(own * size + y * width + x)  # by label, row and column
+    begin = cells[np.searchsorted(cells, np.arange(len(ids)) * size)]
+    ring = np.array([-1, -width - 1, -width, -width + 1, 1, width + 1, width, width - 1])
+    held = lambda at: cells[np.minimum(np.searchsorted(cells, at), len(cells) - 1)] == at
+    here, back, first = begin.copy(), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    live = np.flatnonzero(held(begin[:, None] + ring).any(axis=1))
+    while len(live):
+        ways = (back[live, None] + np.arange(1, 9)) % 8
+        way = ways[np.arange(len(live)), held(here[live, None] + ring[ways]).argmax(axis=1)]
+        open_ = (here[live] != begin[live]) | (first[live] != way)  # closed: the first step again
+        live, way = live[open_], way[open_]
+        first[live] = np.where(first[live] < 0, way, first[live])
+        length[live] += np.where(way % 2 == 1, 2**0.5, 1.0)
+        here[live] += ring[way]
+        back[live] = (way + 4) % 8  # the search resumes after the cell come from
+    return ids, area, length
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

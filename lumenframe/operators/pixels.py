@@ -211,25 +211,26 @@ def object_features(px: DataFrame, keys: list[str]) -> DataFrame:
 SHAPE_SCHEMA = "label int, perimeter double, circularity double"
 
 
-def object_shapes(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Per label: length of the outer border (8-connected steps) and circularity, 4 pi area over its square, in [0, 1]."""
+def object_shapes(px: DataFrame, keys: list[str], *, parts: int = 1) -> DataFrame:
+    """Per label: length of the outer border (8-connected steps) and circularity, 4 pi area over its square, in [0, 1].
+
+    The labels of an image are traced together in one task; those of a very large image fall into ``parts`` groups.
+    A lone cell has neither."""
     kinds, n = dict(px.dtypes), len(keys)
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
-        mask[y - y.min(), x - x.min()] = True
-        border = kernels.perimeter(mask)
-        shape = min(1.0, 4 * np.pi * len(y) / border**2) if border else 0.0
-        return pd.DataFrame([(*key[:n], int(key[n]), border, shape)], columns=[*keys, "label", "perimeter", "circularity"])
+        labels, area, border = kernels.perimeters(*(pdf[c].to_numpy() for c in ("label", "y", "x")))
+        shape = np.minimum(1.0, 4 * np.pi * area / np.where(border > 0, border, np.inf) ** 2)
+        return pd.DataFrame({**dict(zip(keys, ([k] * len(labels) for k in key[:n]))), "label": labels, "perimeter": border, "circularity": shape})
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), SHAPE_SCHEMA])
-    return px.where("label > 0").select(*keys, F.col("label").cast("int").alias("label"), "y", "x").groupBy(*keys, "label").applyInPandas(kernel, schema)
+    rows = px.where("label > 0").select(*keys, F.col("label").cast("int").alias("label"), "y", "x")
+    return rows.groupBy(*keys, F.pmod("label", F.lit(parts)).alias("__part")).applyInPandas(kernel, schema)
 
 
-def extract_object_features(px: DataFrame, keys: list[str]) -> DataFrame:
-    """:func:`object_features` with perimeter and circularity; an object's pixels meet in one task."""
-    return object_features(px, keys).join(object_shapes(px, keys), [*keys, "label"])
+def extract_object_features(px: DataFrame, keys: list[str], *, parts: int = 1) -> DataFrame:
+    """:func:`object_features` with perimeter and circularity; the pixels of an image (or of a part of its labels) meet in one task."""
+    return object_features(px, keys).join(object_shapes(px, keys, parts=parts), [*keys, "label"])
 
 
 def object_channel_intensity(px: DataFrame, keys: list[str]) -> DataFrame:

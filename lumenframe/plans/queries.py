@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import scratch
 from lumenframe.functions import jpeg
-from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, tiles, tracking, tracks, validation
+from lumenframe.operators import gates, groups, normalization, pixels, quality, reporting, resampling, segmentation, tiles, tracking, tracks, validation
 from lumenframe.plans import views
 from lumenframe.plans.views import EVENTS_SQL, PIXELS_SQL, TRACKS_SQL, WELLS_SQL
 from lumenframe.sources import images, pages
@@ -780,6 +780,19 @@ def object_shapes(spark, sf_dir):
     return pixels.object_shapes(views.pixels(spark, sf_dir).withColumn("label", F.expr(_BOX).cast("int")), ["image_id"])
 
 
+_NOTCHED = """CASE WHEN y < 3 + image_id % 5 AND x < 3 + image_id % 4 AND NOT (y >= 2 + image_id % 5 - image_id % 2 AND x >= 2 + image_id % 4 - image_id % 2) THEN 1 WHEN x = 7 THEN 2 ELSE 0 END"""
+
+
+@query(
+    f"""WITH {PIXELS_SQL}, b AS (SELECT DISTINCT image_id, 3 + image_id % 5 AS h, 3 + image_id % 4 AS w, 1 + image_id % 2 AS cut FROM px),
+    s AS (SELECT image_id, 1 AS label, h * w - cut * cut AS area, 2 * (h + w - 3) + sqrt(2) AS border FROM b UNION ALL SELECT image_id, 2, 8, 14.0 FROM b)
+    SELECT image_id, label, {r('border AS perimeter', 'least(1, 4 * pi() * area / pow(border, 2)) AS circularity')} FROM s"""
+)
+def notched_shapes(spark, sf_dir):
+    """Two objects an image: a rectangle without one corner, and a line."""
+    return pixels.object_shapes(views.pixels(spark, sf_dir).withColumn("label", F.expr(_NOTCHED).cast("int")), ["image_id"])
+
+
 @query(f"WITH {_VOXELS}, l AS (SELECT image_id, label, count(*) AS volume FROM vx WHERE label = 2 AND image_id % 3 > 0 GROUP BY 1, 2), i AS (SELECT DISTINCT image_id FROM vx) SELECT image_id, count(volume) AS object_count, {r('coalesce(sum(volume), 0) AS total_volume', 'avg(volume) AS mean_volume', 'median(volume) AS median_volume', 'coalesce(sum(volume), 0) / 64 AS volume_fraction', 'count(volume) / (64 / 1e9) AS density_per_mm3')} FROM i LEFT JOIN l USING (image_id) GROUP BY 1")
 def volume_summary_with_empty(spark, sf_dir):
     vx = pixels.validate_labels(_voxels(spark, sf_dir))
@@ -953,6 +966,21 @@ def benchmark_segmentation(spark, sf_dir):
     return validation.benchmark_segmentation(paired).select("pairs", *[f"{m}_mean" for m in _SCORED_PAIRS])
 
 
+@query(
+    f"""WITH {PIXELS_SQL}, c AS (SELECT image_id, count(*) FILTER (v > 112) AS tp, count(*) FILTER (v > 112) AS p, count(*) FILTER (v > 110) AS t,
+      avg(y) FILTER (v > 112) AS py, avg(x) FILTER (v > 112) AS px, avg(y) FILTER (v > 110) AS ty, avg(x) FILTER (v > 110) AS tx FROM px GROUP BY 1),
+    m AS (SELECT *, CAST(p > 0 AS INT) AS np, CAST(t > 0 AS INT) AS nt, CAST(coalesce(sqrt(pow(py - ty, 2) + pow(px - tx, 2)) <= 1.5, false) AS INT) AS hit FROM c),
+    s AS (SELECT CASE WHEN p + t - tp > 0 THEN tp / (p + t - tp) ELSE 1 END AS iou, CASE WHEN p + t > 0 THEN 2 * tp / (p + t) ELSE 1 END AS dice, CASE WHEN p > 0 THEN tp / p ELSE 1 END AS precision, CASE WHEN t > 0 THEN tp / t ELSE 1 END AS recall,
+      CASE WHEN np > 0 THEN hit / np ELSE 1 END AS instance_precision, CASE WHEN nt > 0 THEN hit / nt ELSE 1 END AS instance_recall, CASE WHEN np + nt > 0 THEN 2 * hit / (np + nt) ELSE 1 END AS instance_f1, abs(np - nt) AS absolute_count_error FROM m)
+    SELECT count(*) AS pairs, {r(*[f'avg({m}) AS {m}_mean' for m in validation.METRICS])} FROM s"""
+)
+def benchmark_all_metrics(spark, sf_dir):
+    """Pixel and instance metrics of pairs of one object each at most."""
+    px = views.pixels(spark, sf_dir)
+    pred, truth = (px.select("image_id", "y", "x", (F.col("v") > t).cast("int").alias("label")) for t in (112, 110))
+    return validation.benchmark_segmentation(validation.paired_segmentation_metrics(pred, truth, "image_id", max_distance=1.5))
+
+
 def _packed(spark, sf_dir, kind: str) -> DataFrame:
     """8 x 8 images as packed rows: image_id, shape, dtype, data."""
 
@@ -972,6 +1000,37 @@ def threshold_runs(spark, sf_dir):
     return validation.threshold_runs(_packed(spark, sf_dir, "uint8"), "image_id", [95, 105, 95]).drop("object_count")
 
 
+_SPOTS = f"""{_BYTES}, gi AS (SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, trunc(greatest(0, least(255, CAST(e AS DOUBLE) * 100 + 100))) AS g FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_SPOTS}, cells AS (SELECT image_id, CAST(t AS DOUBLE) AS threshold, y, x, g >= t AS on_ FROM gi CROSS JOIN (VALUES (95), (105)) AS t(t)),
+    reach AS (SELECT image_id, threshold, y, x, y AS ry, x AS rx FROM cells WHERE on_ UNION
+      SELECT r.image_id, r.threshold, r.y, r.x, n.y, n.x FROM reach r JOIN cells n ON n.image_id = r.image_id AND n.threshold = r.threshold AND n.on_ AND abs(n.y - r.ry) <= 1 AND abs(n.x - r.rx) <= 1),
+    roots AS (SELECT image_id, threshold, y, x, min(8 * ry + rx) AS root FROM reach GROUP BY 1, 2, 3, 4),
+    found AS (SELECT image_id, threshold, count(DISTINCT root) AS n FROM roots GROUP BY 1, 2)
+    SELECT image_id, threshold, coalesce(n, 0) AS object_count, {r('f AS foreground_fraction')} FROM (SELECT image_id, threshold, avg(CAST(on_ AS INT)) AS f FROM cells GROUP BY 1, 2) LEFT JOIN found USING (image_id, threshold)"""
+)
+def threshold_runs_objects(spark, sf_dir):
+    """Whole output of the runs at fixed thresholds, objects counted."""
+    return validation.threshold_runs(_packed(spark, sf_dir, "uint8"), "image_id", [95, 105, 95])
+
+
+_DISC = "(SELECT a AS dy, b AS dx FROM range(-2, 3) AS a(a), range(-2, 3) AS b(b) WHERE a * a + b * b <= 4)"
+
+
+@query(
+    f"""WITH {_SPOTS}, low AS (SELECT p.image_id, p.y, p.x, any_value(p.g) AS g, min(q.g) AS e FROM gi p CROSS JOIN {_DISC} JOIN gi q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3),
+    back AS (SELECT p.image_id, p.y, p.x, any_value(p.g) AS g, max(q.e) AS o FROM low p CROSS JOIN {_DISC} JOIN low q ON q.image_id = p.image_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY 1, 2, 3)
+    SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(g - least(o, g) AS INT) AS v FROM back"""
+)
+def background_corrected(spark, sf_dir):
+    """What is left of images after their opening with a disc is taken off."""
+    out = segmentation.preprocess(_packed(spark, sf_dir, "uint8"), [{"name": "top_hat", "radius": 2}]).select("image_id", F.hex("data").alias("hex"))
+    values = F.transform(F.sequence(F.lit(0), (F.length("hex") / 2 - 1).cast("int")), lambda i: F.conv(F.substr("hex", (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    return out.select("image_id", F.posexplode(values).alias("at", "v")).select("image_id", F.floor(F.col("at") / 8).cast("int").alias("y"), (F.col("at") % 8).alias("x"), "v")
+
+
 def _files(spark, sf_dir) -> DataFrame:
     """The images as PNG files: path, content, length."""
 
