@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.columns import dealt
 from lumenframe.functions.kernels import sparse_assign
 
 
@@ -76,19 +77,24 @@ def centroids(labels: DataFrame, keys: list[str], *, axes: tuple[str, ...] = ("x
 
 
 def link_frames(points: DataFrame, series: str, *, axes: tuple[str, ...] = ("x", "y"), config: TrackingConfig = TrackingConfig()) -> DataFrame:
-    """Tracks of every series, from centroid rows (series, frame, label, axes); series run in parallel."""
+    """Tracks of every series, from centroid rows (series, frame, label, axes); series run in parallel.
+
+    They are dealt out by their number: the rows are small, and by bytes a million of them would be one task's.
+    """
     config.validate()
     kind = dict(points.dtypes)[series]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         state, rows = TrackState(), []
-        for frame, group in pdf.sort_values(["frame", "label"]).groupby("frame", sort=True):
-            rows += advance(state, int(frame), group["label"].astype(int).tolist(), group[list(axes)].to_numpy(float), config)
+        frame, label, at = pdf["frame"].to_numpy(), pdf["label"].to_numpy(int), pdf[list(axes)].to_numpy(float)
+        order = np.lexsort((label, frame))
+        for own in np.split(order, np.flatnonzero(np.diff(frame[order])) + 1):
+            rows += advance(state, int(frame[own[0]]), label[own].tolist(), at[own], config)
         out = pd.DataFrame(rows, columns=track_columns(axes))
         out.insert(0, series, pdf[series].iloc[0])
         return out
 
-    return points.select(series, "frame", "label", *axes).groupBy(series).applyInPandas(kernel, f"`{series}` {kind}, {track_schema(axes)}")
+    return dealt(points.select(series, "frame", "label", *axes).where("frame IS NOT NULL"), series).groupBy(series).applyInPandas(kernel, f"`{series}` {kind}, {track_schema(axes)}")
 
 
 MATCH_SCHEMA = "tp long, fp long, fn long"
@@ -104,7 +110,7 @@ def match_instances(pred: DataFrame, truth: DataFrame, key: str, *, axes: tuple[
         tp = len(sparse_assign(a, b, np.full(len(a), max_distance), max_distance + 1))
         return pd.DataFrame([(pdf[key].iloc[0], int(tp), len(a) - int(tp), len(b) - int(tp))], columns=[key, "tp", "fp", "fn"])
 
-    m = both.groupBy(key).applyInPandas(kernel, f"`{key}` {kind}, {MATCH_SCHEMA}")
+    m = dealt(both, key).groupBy(key).applyInPandas(kernel, f"`{key}` {kind}, {MATCH_SCHEMA}")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision, recall = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0), F.when(tp + fn > 0, tp / (tp + fn)).otherwise(1.0)
     f1 = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(1.0)
