@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -16,10 +18,22 @@ Held = TypeVar("Held")
 _HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Memory that a dropped cache took goes back to the system, as far as the allocators can tell."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def claim(key: object, make: Callable[[], Held]) -> Held:
     """This worker's cache under ``key``; workers are used again, so one that another operator left goes first."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]  # type: ignore[return-value]
 

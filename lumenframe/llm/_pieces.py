@@ -19,7 +19,7 @@ from pathlib import Path
 
 import numpy as np
 
-from lumenframe.llm._memory import CACHE_BYTES, claim
+from lumenframe.llm._memory import CACHE_BYTES, claim, give_back
 
 #: Bytes that the cache holds of a piece, besides its characters and ids, about.
 PIECE_BYTES = 200
@@ -81,13 +81,14 @@ class _Grown:
         self.size = end
 
 
-def encoder(path: str) -> PieceEncoder:
-    """This worker's encoder of a tokenizer file."""
-    return claim(("tokenizer", path), lambda: PieceEncoder(path))
+def encoder(path: str, *, marks: bool = True, cache_bytes: int | None = None) -> PieceEncoder:
+    """This worker's encoder of a tokenizer file; without ``marks`` it doesn't look for sentence ends."""
+    return claim(("tokenizer", path, marks, cache_bytes), lambda: PieceEncoder(path, marks, cache_bytes))
 
 
 class PieceEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, marks: bool = True, cache_bytes: int | None = None) -> None:
+        self.marks, self.cache_bytes = marks, cache_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -127,7 +128,11 @@ class PieceEncoder:
 
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = []
+        plain = self.cuts == "spaces"
         for piece in pieces:
+            if plain and piece.isalpha() and piece.isascii():
+                out.append([t.id for t in self.model.tokenize(piece.lower())])
+                continue
             letters = piece.rstrip(_SIGNS)
             if not _LATIN(letters):
                 out.append(None)
@@ -152,7 +157,8 @@ class PieceEncoder:
         self.start.add(self.flat.size + np.cumsum(lengths) - lengths)
         self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
         self.lengths.add(lengths)
-        self.ends.add(np.fromiter((_SENTENCE_END.search(p) is not None for p in new), bool, len(new)))
+        if self.marks:
+            self.ends.add(np.fromiter((_SENTENCE_END.search(p) is not None for p in new), bool, len(new)))
         self.held += PIECE_BYTES * len(new) + 2 * sum(map(len, new)) + 4 * int(lengths.sum())
         self.index.pending.clear()
 
@@ -168,8 +174,9 @@ class PieceEncoder:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """(pieces of all texts in a row, each text's piece count, ids of texts encoded whole)."""
-        if self.held > CACHE_BYTES:  # the cache starts afresh; results don't change
+        if self.held > (CACHE_BYTES if self.cache_bytes is None else self.cache_bytes):  # the cache starts afresh; results don't change
             self._reset()
+            give_back()
         cuts = list(map(self.cut, texts))
         whole = {i: self.library([text])[0] for i, text in enumerate(texts) if text and not cuts[i]}
         counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -188,18 +195,19 @@ class PieceEncoder:
         return out
 
     def ids(self, texts: list[str], end_id: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of each text (with ``end_id`` at its end), and where sentences end in all of them in a row."""
+        """Ids of each text (with ``end_id`` at its end), and where sentences end in all of them in a row (nowhere without marks)."""
         pieces, counts, whole = self.batch(texts)
         flat, bounds = gather(self.flat.held, self.start.held.take(pieces), self.lengths.held.take(pieces))
         stop = np.cumsum(counts)
         edges = bounds[np.concatenate([np.zeros(1, np.int64), stop])]  # of texts, in ``flat``
-        closing = self.ends.held.take(pieces)
+        closing = self.ends.held.take(pieces) if self.marks else np.zeros(len(pieces), bool)
         extra = 0 if end_id is None else 1
         if not whole:  # end ids are put in by one copy
             marks = bounds[1:][closing]
             if extra:
                 flat = np.insert(flat, edges[1:], end_id)
-                marks = marks + np.repeat(np.arange(len(counts)), counts)[closing]
+                if self.marks:
+                    marks = marks + np.repeat(np.arange(len(counts)), counts)[closing]
                 edges = edges + np.arange(len(edges))
             return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], marks
         out, marks, at = [], [], 0

@@ -34,6 +34,8 @@ from lumenframe.llm._pieces import encoder
 SEQUENCE_COST, TRUNCATION_COST, SENTENCE_COST = 512, 4, 32
 #: Ids of a stream, about: it ends with the document that reaches so many.
 STREAM_IDS = 1 << 20
+#: Bytes of the pieces that a worker keeps: streams and their cuts lie beside them.
+PIECES_BYTES = 80 << 20
 #: Within sentences of more thirty-seconds of a sequence than these, a cut may fall at each of them.
 LONG_SENTENCE = 4
 PIECE_SCHEMA = (
@@ -122,7 +124,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: in
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], PIECE_NAMES)
 
         for batch in sliced(batches):
-            ids, ends = encoder(tokenizer_path).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
+            ids, ends = encoder(tokenizer_path, cache_bytes=PIECES_BYTES).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
             bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids])])
             ends_at = np.searchsorted(ends, bounds, side="right")
             for i, (doc, own) in enumerate(zip(batch.column("doc_id").to_pylist(), ids)):

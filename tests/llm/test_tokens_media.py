@@ -127,6 +127,29 @@ def test_other_tokenizer_files_go_to_the_library(tmp_path):
         assert own.ids([text])[0][0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_do_not_depend_on_marks_or_cache():
+    """Token output asks for no sentence ends, and packing for a smaller cache; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    texts = ["The Cat sat. on it", "", "Éa ünder ÀB 12 x's", "naïve.  two", "one two " * 50]
+    for path in (BYTES, WORDS):
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        for own in (PieceEncoder(path, marks=False), PieceEncoder(path, cache_bytes=1)):
+            for _ in range(2):
+                ids, marks = own.ids(texts)
+                assert [x.tolist() for x in ids] == want and (own.marks or not len(marks))
+                assert own.held > 0 and (own.marks or own.ends.size == 0)
+
+
+def test_a_claim_returns_what_the_cache_before_took(monkeypatch):
+    given = []
+    monkeypatch.setattr(_memory, "_HELD", {})
+    monkeypatch.setattr(_memory, "give_back", lambda: given.append(len(_memory._HELD)))
+    for key in ("a", "a", "b"):
+        _memory.claim(key, object)
+    assert given == [0]  # once, with nothing held any more
+
+
 def test_slices_and_caches_are_bounded(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": ["ab", None, "x" * 90, "", "c" * 5, "d"], "n": list(range(6))})
     parts = list(_memory.sliced(iter([batch, batch.slice(0, 0)]), "text", 10))
