@@ -60,7 +60,7 @@ def write_token_ids(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], _names(BLOCK_SCHEMA))
 
         for batch in sliced(batches):
-            found, _ = encoder(tokenizer_path).ids([t or "" for t in batch.column("text").to_pylist()], end_id)
+            found, _ = encoder(tokenizer_path, marks=False).ids([t or "" for t in batch.column("text").to_pylist()], end_id)
             for name, own in zip(batch.column("doc_id").to_pylist(), found):
                 docs.append(name)
                 ids.append(own)
