@@ -5,7 +5,8 @@ blanks, the library encodes each distinct piece once, and a text's ids are those
 these are is read from the file itself; texts of any other file, and texts that can't be cut so (runs of white
 space, control characters that count as white space in Python alone), go to the library whole.  Pieces of Latin
 letters with some signs after them, which most are, go to the library's model without its text handling: of new
-pieces that takes about 70 instead of 112 to 157 CPU seconds a GB of text.
+pieces that takes about 70 instead of 112 to 157 CPU seconds a GB of text.  Where white space is dropped and letters
+lose their case, the letters and the signs of such pieces are words, and the model sees each distinct word once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import gc
 import json
 import os
 import re
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 from pathlib import Path
 
 import numpy as np
@@ -24,12 +26,14 @@ from lumenframe.llm._memory import CACHE_BYTES, claim, give_back
 #: Bytes that the cache holds of a piece, besides its characters and ids, about.
 PIECE_BYTES = 200
 #: White space in Python alone: never taken as a cut.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 _SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _ALL_SPACES = _SPACES + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Signs that are one word of their own behind letters, and letters that no normalisation but lower case changes.
 _SIGNS = "!\"#$%&()*+,./:;=?@[]^_`{|}~-"
-_LATIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
+_LATIN = re.compile(f" ?{_LETTERS}").fullmatch
+_WORDS = re.compile(f"^(?:({_LETTERS})([{re.escape(_SIGNS)}]*)|.+)$", re.MULTILINE).findall  # of a line: letters and signs, or neither
 _SENTENCE_END = re.compile("[.!?…。][\"')\\]»”]*$|\n")
 
 #: What files say of which the texts can be cut.
@@ -67,6 +71,19 @@ class _Index(dict):
         return n
 
 
+class _Numbered(defaultdict):
+    """The same without a call of Python for each new one; ``fresh`` gives those met since it was asked last."""
+
+    def __init__(self) -> None:
+        super().__init__(count().__next__)
+        self.known = 0
+
+    def fresh(self) -> list:
+        new = list(islice(reversed(self), len(self) - self.known))[::-1]
+        self.known = len(self)
+        return new
+
+
 class _Grown:
     """An array that grows by doubling; ``held`` may be longer than ``size``."""
 
@@ -102,9 +119,15 @@ class PieceEncoder:
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.alphabet = {n: byte_level.pre_tokenize_str(chr(n))[0][0] for n in (0x20, *range(0xC0, 0x180))}
         self._reset()
+        self._reset_words()
+
+    def _reset_words(self) -> None:
+        self.words = _Numbered()
+        self.word_flat, self.word_start, self.word_lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int32)
+        self.words_held = 0
 
     def _reset(self) -> None:
-        self.index = _Index()
+        self.index = _Numbered()
         self.signs: dict[str, list[int]] = {}
         self.flat, self.start, self.lengths, self.ends = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int32), _Grown(bool)
         self.held = 0
@@ -114,25 +137,45 @@ class PieceEncoder:
 
     def latin(self, letters: str) -> list[int]:
         """Ids of Latin letters, with the blank in front if it counts."""
-        letters = letters.lower() if self.cuts == "spaces" else letters
         letters = letters.replace(" ", self.alphabet[0x20]) if letters.isascii() else letters.translate(self.alphabet)
         return [t.id for t in self.model.tokenize(letters)]
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece."""
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
         gc.disable()  # so many lists that nothing refers to in circles would have it run again and again
         try:
-            return self._pieces(pieces)
+            return self._by_words(pieces) if self.cuts == "spaces" else _flat(self._pieces(pieces))
         finally:
             gc.enable()
 
+    def _by_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces whose letters lose their case; two words a piece, which may be empty."""
+        pairs = _WORDS("\n".join(pieces))
+        words = np.fromiter(map(self.words.__getitem__, " ".join(chain.from_iterable(pairs)).lower().split(" ")), np.int64, 2 * len(pairs))
+        self._learn_words()
+        start, sizes = self.word_start.held.take(words), self.word_lengths.held.take(words)
+        others = [at for at, (letters, _) in enumerate(pairs) if not letters]
+        known = self.word_flat.held[: self.word_flat.size]
+        if others:  # their ids follow those of words, and take the place of the first
+            flat, lengths = _flat([x for at in range(0, len(others), 4096) for x in self.library([pieces[k] for k in others[at : at + 4096]])])
+            spots = 2 * np.array(others)
+            start[spots], sizes[spots] = len(known) + np.cumsum(lengths) - lengths, lengths
+            known = np.concatenate([known, flat])
+        ids, _ = gather(known, start, sizes)
+        return ids, sizes[::2].astype(np.int64) + sizes[1::2]
+
+    def _learn_words(self) -> None:
+        """Ids of the words met since the last call, as the library's model has them."""
+        new = self.words.fresh()
+        ids, lengths = _flat([[t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.alphabet))] if w else [] for w in new])
+        self.word_start.add(self.word_flat.size + np.cumsum(lengths) - lengths)
+        self.word_flat.add(ids)
+        self.word_lengths.add(lengths)
+        self.words_held += PIECE_BYTES * len(new) + 2 * sum(map(len, new)) + 4 * len(ids)
+
     def _pieces(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int] | None] = []
-        plain = self.cuts == "spaces"
         for piece in pieces:
-            if plain and piece.isalpha() and piece.isascii():
-                out.append([t.id for t in self.model.tokenize(piece.lower())])
-                continue
             letters = piece.rstrip(_SIGNS)
             if not _LATIN(letters):
                 out.append(None)
@@ -149,23 +192,21 @@ class PieceEncoder:
 
     def _learn(self) -> None:
         """Encode the pieces met since the last call.  A text's first piece is the key (piece,): no blank precedes it."""
-        new = [k[0] if k.__class__ is tuple else k if self.cuts == "spaces" else f" {k}" for k in self.index.pending]
+        new = [k[0] if k.__class__ is tuple else k if self.cuts == "spaces" else f" {k}" for k in self.index.fresh()]
         if not new:
             return
-        ids = self.pieces(new)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, lengths = self.pieces(new)
         self.start.add(self.flat.size + np.cumsum(lengths) - lengths)
-        self.flat.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        self.flat.add(ids)
         self.lengths.add(lengths)
         if self.marks:
             self.ends.add(np.fromiter((_SENTENCE_END.search(p) is not None for p in new), bool, len(new)))
         self.held += PIECE_BYTES * len(new) + 2 * sum(map(len, new)) + 4 * int(lengths.sum())
-        self.index.pending.clear()
 
     def cut(self, text: str) -> list:
         """The pieces of a text; none where the library has to see it whole."""
         if self.cuts == "spaces":
-            return [] if _ODD.search(text) else text.split()
+            return [] if any(c in text for c in _ODD) else text.split()
         if self.cuts == "none" or "  " in text or text[-1:] == " " or any(f"{c} " in text for c in (_SPACES if text.isascii() else _ALL_SPACES)):
             return []  # a run of white space is a piece of its own
         parts = text.split(" ")
@@ -174,8 +215,11 @@ class PieceEncoder:
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """(pieces of all texts in a row, each text's piece count, ids of texts encoded whole)."""
-        if self.held > (CACHE_BYTES if self.cache_bytes is None else self.cache_bytes):  # the cache starts afresh; results don't change
+        limit = CACHE_BYTES if self.cache_bytes is None else self.cache_bytes
+        if self.held + self.words_held > limit:  # the cache starts afresh, and words when they take half of it; results don't change
             self._reset()
+            if self.words_held > limit // 2:
+                self._reset_words()
             give_back()
         cuts = list(map(self.cut, texts))
         whole = {i: self.library([text])[0] for i, text in enumerate(texts) if text and not cuts[i]}
@@ -221,6 +265,12 @@ class PieceEncoder:
         return out, np.concatenate(marks)
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists in a row, and how many each has."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
 def gather(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the slices of ``flat`` of these starts and sizes; also their bounds."""
     bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])

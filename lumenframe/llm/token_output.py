@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents, running_offsets, scratch_path
@@ -26,7 +26,8 @@ from lumenframe.llm._memory import sliced
 from lumenframe.llm._pieces import encoder
 from lumenframe.llm.range_coder import BlockError, decode_block, encode_block
 
-BLOCK_IDS = 1 << 20
+#: Ids of a block, at least, and bytes that the cache of pieces holds, about.
+BLOCK_IDS, CACHE_BYTES = 1 << 20, 288 << 20
 BLOCK_SCHEMA = "part int, block long, ids_before long, doc_ids array<long>, lengths array<long>, n_ids long, directory_crc32 long, coded binary"
 READ_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids array<int>"
 
@@ -42,6 +43,15 @@ def _directory_crc32(doc_ids: list[int | None], lengths: list[int]) -> int:
     return zlib.crc32(known.tobytes() + named.tobytes() + np.array(lengths, "<i8").tobytes())
 
 
+def _range(source: DataFrame, parts: int) -> Column:
+    """The range of each row's id, null ids first.  Bounds come from the ids alone; repartitionByRange would read texts twice."""
+    cuts = sorted({int(x) for x in source.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (8 * parts))}) if parts > 1 else []
+    if not cuts:
+        return F.lit(0)
+    bounds, steps = F.lit(cuts), F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))  # beyond the last bound: null
+
+
 def write_token_ids(
     df: DataFrame, path: str, tokenizer_path: str, *, vocabulary: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
@@ -60,7 +70,7 @@ def write_token_ids(
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], _names(BLOCK_SCHEMA))
 
         for batch in sliced(batches):
-            found, _ = encoder(tokenizer_path, marks=False).ids([t or "" for t in batch.column("text").to_pylist()], end_id)
+            found, _ = encoder(tokenizer_path, marks=False, cache_bytes=CACHE_BYTES).ids([t or "" for t in batch.column("text").to_pylist()], end_id)
             for name, own in zip(batch.column("doc_id").to_pylist(), found):
                 docs.append(name)
                 ids.append(own)
@@ -73,7 +83,7 @@ def write_token_ids(
 
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = source.repartitionById(parts, _range(source, parts)).sortWithinPartitions("doc_id", "text")
     ranges.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 

@@ -141,6 +141,26 @@ def test_ids_do_not_depend_on_marks_or_cache():
                 assert own.held > 0 and (own.marks or own.ends.size == 0)
 
 
+def test_the_model_sees_a_word_once():
+    """Token output: letters and signs of pieces are looked up before the model, whatever their case."""
+    texts = ["Word word, WORD. word! été", "ÉTÉ, (word) naïve word, other.", "12 x's <|endoftext|> word<|endoftext|>. İ ŉ ﬁ"]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    own, seen = PieceEncoder(WORDS, marks=False), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            seen.append(word)
+            return self.model.tokenize(word)
+
+    own.model = Counted(own.model)
+    for part in (slice(0, 2), slice(1, 3)):
+        assert [x.tolist() for x in own.ids(texts[part])[0]] == want[part]
+    assert seen.count("word") == 1 and len(seen) == len(set(seen))
+
+
 def test_a_claim_returns_what_the_cache_before_took(monkeypatch):
     given = []
     monkeypatch.setattr(_memory, "_HELD", {})
@@ -178,6 +198,25 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_output.read_token_ids(spark, f"{path}0").count() == 0
 
 
+def test_texts_are_read_once_for_token_files(spark, tmp_path):
+    """Ranges of ids are found from the ids alone; ids that repeat, null ids and few ids keep their order."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f"text {n}"
+
+    ids = [None, 5, -7, 2**60, 5, *range(40, 90, 3), None, 5]
+    rows = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, n long").repartition(3)
+    for at, df in enumerate((rows, rows.where("n < 3"), rows.where("doc_id IS NULL"))):
+        before, path = seen.value, f"file://{tmp_path}/ids{at}"
+        token_output.write_token_ids(df.select("doc_id", text("n").alias("text")), path, WORDS, vocabulary=49408)
+        assert seen.value - before == df.count()
+        got = [r["doc_id"] for r in token_output.read_token_ids(spark, path).orderBy("start").collect()]
+        assert got == sorted([r["doc_id"] for r in df.collect()], key=lambda x: (x is not None, x or 0))
+
+
 def test_streams_round_trip():
     for n in [*range(0, 380), 4095, 4096, 4097, 8192, 40_000]:
         payload = os.urandom(n)
