@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents, materialize, scratch_path
 from lumenframe.llm._memory import sliced
-from lumenframe.llm._pieces import encoder
+from lumenframe.llm._pieces import TEXT_BYTES, encoder
 
 #: Repeated digests are broadcast up to so many (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -35,7 +35,7 @@ def encode_counts(texts: DataFrame, path: str) -> DataFrame:
     """(digest, n_tokens) of (digest, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=TEXT_BYTES):
             counts = encoder(path).counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 

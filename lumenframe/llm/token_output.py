@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm._common import documents, running_offsets, scratch_path
 from lumenframe.llm._memory import sliced
-from lumenframe.llm._pieces import encoder
+from lumenframe.llm._pieces import TEXT_BYTES, encoder
 from lumenframe.llm.range_coder import BlockError, decode_block, encode_block
 
 #: Ids of a block, at least, and bytes that the cache of pieces holds, about.
-BLOCK_IDS, CACHE_BYTES = 1 << 20, 288 << 20
+BLOCK_IDS, CACHE_BYTES = 1 << 20, 128 << 20
 BLOCK_SCHEMA = "part int, block long, ids_before long, doc_ids array<long>, lengths array<long>, n_ids long, directory_crc32 long, coded binary"
 READ_SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids_crc32 long, ids array<int>"
 
@@ -69,7 +69,7 @@ def write_token_ids(
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], _names(BLOCK_SCHEMA))
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=TEXT_BYTES):
             found, _ = encoder(tokenizer_path, marks=False, cache_bytes=CACHE_BYTES).ids([t or "" for t in batch.column("text").to_pylist()], end_id)
             for name, own in zip(batch.column("doc_id").to_pylist(), found):
                 docs.append(name)

@@ -161,6 +161,48 @@ def test_the_model_sees_a_word_once():
     assert seen.count("word") == 1 and len(seen) == len(set(seen))
 
 
+class Seen:
+    """A model that notes the words it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.words = model, []
+
+    def tokenize(self, word):
+        self.words.append(word)
+        return self.model.tokenize(word)
+
+
+def test_packing_asks_for_a_word_once():
+    """Whatever its signs, and on both sides of a line end; what follows a line end is cut there instead of going to the library."""
+    texts = ["Word word, (x word. word!\nOf word,\n\nOf.", "été word: other.\nOf été word"]
+    want = [e.ids for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    own, asked = PieceEncoder(BYTES), []
+    library = own.library
+    own.model, own.library = Seen(own.model), lambda x: asked.extend(x) or library(x)
+    ids, marks = own.ids(texts)
+    assert [x.tolist() for x in ids] == want and own.model.words.count("Ġword") == 1 == own.model.words.count("Of")
+    assert len(own.model.words) == len(set(own.model.words)) and set(asked) <= {" (x", ""}
+    # Sentences end behind their signs, in front of the line end.
+    said = [own.tokenizer.decode(np.concatenate(ids)[:m].tolist()) for m in marks]
+    assert len(said) == 6 and all(map(str.endswith, said, ["word.", "word!", "Of word,", "Of word,\n", "Of.", "other."]))
+
+
+def test_words_take_little_of_the_cache():
+    """Token output and packing keep words as Arrow does: more than twice as many as Python strings in a dictionary."""
+    words = ["".join(chr(97 + int(d)) for d in str(k * 7919)) for k in range(100, 5000)]
+    for path in (BYTES, WORDS):
+        own = PieceEncoder(path)
+        own.ids([" ".join(words)])
+        assert own.held < 110 * len(words)
+
+
+@pytest.mark.parametrize("text", ["a\n", "a\n\n", "\na", "a\n\nb", "a\n\n\nb", "a \nb", "a\r\nb", "a\n\tb", "a\x85\nb", "日\n本", "a\n\n<|endoftext|>b", "a\n<|endoftext|>", "<|ENDOFTEXT|> A", "a\x1f\nb", "\x1eA b", "J\u030c I\u0307 A", "a\x00B\nc"])
+def test_line_ends_and_case_as_the_library_has_them(encoders, text):
+    for own, library in encoders.values():
+        want = library.encode(text, add_special_tokens=False).ids
+        assert own.ids([text, "œ B\nC", text])[0][2].tolist() == want == own.ids([text])[0][0].tolist() and own.counts([text])[0] == len(want)
+
+
 def test_a_claim_returns_what_the_cache_before_took(monkeypatch):
     given = []
     monkeypatch.setattr(_memory, "_HELD", {})
