@@ -34,8 +34,8 @@ from lumenframe.llm._pieces import encoder
 SEQUENCE_COST, TRUNCATION_COST, SENTENCE_COST = 512, 4, 32
 #: Ids of a stream, about: it ends with the document that reaches so many.
 STREAM_IDS = 1 << 20
-#: Bytes of the pieces that a worker keeps: streams and their cuts lie beside them.
-PIECES_BYTES = 80 << 20
+#: Bytes of the pieces that a worker keeps, and of texts encoded at once: streams and their cuts lie beside them.
+PIECES_BYTES, SLICE_BYTES = 80 << 20, 4 << 20
 #: Within sentences of more thirty-seconds of a sequence than these, a cut may fall at each of them.
 LONG_SENTENCE = 4
 PIECE_SCHEMA = (
@@ -46,8 +46,12 @@ PIECE_SCHEMA = (
 def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int]:
     """Indices of the cuts chosen among ``pos`` (ascending, from 0, steps up to ``capacity``; the last is the end)."""
     at, cost = pos.tolist(), penalty.tolist()
-    where = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(capacity.bit_length()) if capacity // 8 <= 1 << k < capacity]
+    exact: dict[int, list[int]] = {}  # predecessors at a power of two, by the cut they precede
+    for p in (1 << k for k in range(capacity.bit_length()) if capacity // 8 <= 1 << k < capacity):
+        near = np.minimum(np.searchsorted(pos, pos - p), len(pos) - 1)
+        found = np.flatnonzero(pos.take(near) == pos - p)
+        for j, k in zip(found.tolist(), near.take(found).tolist()):
+            exact.setdefault(j, []).append(k)
     dp, back = [0.0] * len(at), [0] * len(at)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (dp[i] + pos[i], i), ascending in both
     for j in range(1, len(at)):
@@ -56,9 +60,8 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, capacity: int) -> list[int
             queue.popleft()
         key, i = queue[0]
         best = key + capacity - here
-        for p in powers:
-            k = where.get(here - p)
-            if k is not None and dp[k] < best:
+        for k in exact.get(j, ()):
+            if dp[k] < best:
                 best, i = dp[k], k
         dp[j] = best = best + cost[j] + SEQUENCE_COST
         back[j] = i
@@ -123,7 +126,7 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: in
             columns = [pa.array(open_docs, pa.int64()).take(pa.array(doc)), start, length, crc, sizes[doc], np.full(n, part, np.int32), sequence + done, offset]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], PIECE_NAMES)
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=SLICE_BYTES):
             ids, ends = encoder(tokenizer_path, cache_bytes=PIECES_BYTES).ids([x or "" for x in batch.column("text").to_pylist()], end_id)
             bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids])])
             ends_at = np.searchsorted(ends, bounds, side="right")
