@@ -63,6 +63,26 @@ def test_draws_of_permutations_stay_where_they_are_made(spark):
     assert out[0]["n_a"] == out[0]["n_b"] == 10_000 and 0 < out[0]["p_value"] <= 1
 
 
+@pytest.mark.parametrize("draws", [7, 200])
+def test_digests_of_odd_names(spark, monkeypatch, draws):
+    """Names of several blocks, empty, null and beyond ASCII, of keys that share a batch, by the digests of any engine."""
+    monkeypatch.setattr(resampling, "HANDED_ON", 50)
+    monkeypatch.setattr(resampling, "DRAWS", draws)
+    seed = 12345678901
+    names = [None, "", "\u00e4\u00f6", *("x" * n + str(n) for n in (30, 36, 37, 38, 44, 99, 100, 101, 102, 163, 300))]
+    rows = [(k, n, bool((i + len(k)) % 2), float(i * i % 11 + i)) for k in ("a", "bb") for i, n in enumerate(names * (1 if k == "a" else 2))]
+    monkeypatch.setattr(resampling, "SLACK", 1.0)
+    monkeypatch.setattr(resampling, "DEVIATIONS", 2.0)
+    out = {r["k"]: r for r in resampling.permutation_pvalues(table(spark, rows).repartition(2), "v", F.col("a"), "name", n_permutations=130, seed=seed, keys=["k"]).collect()}
+    for key in ("a", "bb"):
+        own = [(n, a, v) for k, n, a, v in rows if k == key]
+        n_a = sum(a for _, a, _ in own)
+        gap = lambda side: abs(np.mean(side[:n_a]) - np.mean(side[n_a:]))
+        seen = gap([v for _, _, v in sorted(own, key=lambda x: not x[1])])
+        draws_of = [gap([v for _, v in sorted((digest(seed, k, *([n] if n is not None else [])), v) for n, _, v in own)]) for k in range(130)]
+        assert out[key]["p_value"] == pytest.approx((sum(d >= seen - 1e-9 for d in draws_of) + 1) / 131), key
+
+
 def test_rows_alike_in_name_and_value_are_counted(spark):
     rows = table(spark, [("k", f"r{i % 5}", i < 9, float(i % 5)) for i in range(20)])
     got = {resampling.permutation_pvalues(rows.repartition(n), "v", F.col("a"), "name", n_permutations=120).first()["p_value"] for n in (1, 6)}
